@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets
 
-_MODULES = (mixing,)
+_MODULES = (mixing, secrets)
 
 
 def queries() -> dict:
