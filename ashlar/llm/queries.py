@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import decontam, mixing, secrets, urls
 
-_MODULES = (mixing, secrets)
+_MODULES = (decontam, mixing, secrets, urls)
 
 
 def queries() -> dict:
