@@ -74,7 +74,8 @@ def search(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
     vocabulary = durable(item_shingles(items), "item-shingles")
     if vocabulary.count() <= BROADCAST_SHINGLES:
         vocabulary = F.broadcast(vocabulary)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(shingles(F.col("text"))).alias("s"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_hash"), shingles(F.col("text")).alias("set"))
+    rows = rows.select("rid", "doc_id", "text_hash", F.explode("set").alias("s"))
     hits = rows.join(vocabulary, "s").groupBy("rid", "doc_id", "text_hash", "item_id", "n_shingles")
     found = hits.agg(F.count(F.lit(1)).alias("n_shared"), F.max("in_sketch").alias("candidate")).filter("candidate")
     found = found.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= similarity)
