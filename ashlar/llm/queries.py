@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, secrets, urls
+from . import decontam, licenses, mixing, quality, secrets, urls
 
-_MODULES = (decontam, mixing, secrets, urls)
+_MODULES = (licenses, quality, secrets, decontam, mixing, urls)
 
 
 def queries() -> dict:
