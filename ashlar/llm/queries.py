@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, mixing, quality, secrets, urls
+from . import decontam, html, licenses, mixing, neardup, quality, secrets, urls
 
-_MODULES = (licenses, quality, secrets, decontam, mixing, urls)
+_MODULES = (neardup, licenses, html, quality, secrets, decontam, mixing, urls)
 
 
 def queries() -> dict:
