@@ -41,6 +41,7 @@ FREQUENT = 100_000
 NAMED = 5
 WIDTH, NOISE, STEPS, BATCH = 24, 12, 700, 4096
 CHUNK = 200
+FLOOR = 0.05
 END = 0
 
 
@@ -220,7 +221,8 @@ def train(counts: np.ndarray) -> np.ndarray:
     hidden = (p["prev"] @ p["mix"])[None] + p["topic"][:, None]
     logit = hidden @ p["out"].T + p["bias"]
     logit -= logit.max(2, keepdims=True)
-    return (logit - np.log(np.exp(logit).sum(2, keepdims=True))) / np.log(10.0)
+    model = np.exp(logit) / np.exp(logit).sum(2, keepdims=True)
+    return np.log10((1.0 - FLOOR) * model + FLOOR * noise)  # no context costs more than a factor 1 / FLOOR
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def source_targets(stats: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     The total ``share`` * all sizes is dealt by weight; a source stops at
     ``max_epochs`` times its size and the excess is dealt anew until none is
     above. That fixpoint is the water level: sources in order of cap / weight
-    are full as long as the level of the rest lies above their cap. Works on
+    are full as long as the level of the rest lies above their cap, and the first
+    that is not has the level (further on it only falls). Works on
     one row a source.
     """
     by_name = W.orderBy("skey")
@@ -52,7 +53,7 @@ def source_targets(stats: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
         ranked.withColumn("total", F.sum("source_size").over(every) * F.lit(share))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(fill), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(fill), F.lit(0.0))))
         .withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-        .withColumn("at", F.min(F.when(F.col("open"), F.col("level"))).over(every))
+        .withColumn("at", F.max(F.when(F.col("open"), F.col("level"))).over(every))
         .withColumn("target", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("at") * F.col("weight"))))
         .drop("total", "level", "open", "at", "cap")
     )
@@ -120,7 +121,7 @@ with sized as (
   select *, (sum(source_size) over () * 1.5::double - coalesce(sum(source_size * 2.0::double) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as level
   from stats window w as (order by source_size * 2.0::double / weight, skey rows between unbounded preceding and 1 preceding)
 ), filled as (
-  select *, min(case when level * weight <= source_size * 2.0::double then level end) over () as water from levels
+  select *, max(case when level * weight <= source_size * 2.0::double then level end) over () as water from levels
 ), plan as (
   select skey, source_size, case when water is null then source_size * 2.0::double else least(source_size * 2.0::double, water * weight) end as target from filled
 ), ordered as (

@@ -1,7 +1,53 @@
-"""placeholder until the stages exist"""
-STAGES = []
+"""A training corpus from the table ``documents`` in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
+and returns a DataFrame that is written as Parquet and read again for the next.
+All but the last return the columns of ``documents``; the last returns the mix:
+doc_id, source, size, target and taken of every document that it takes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ashlar.llm import decontam, mixing, neardup, quality, secrets
+from ashlar.llm.common import durable, table
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.drop_near_copies(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix of sources takes, with the words it takes."""
+    return mixing.mix(docs).filter(F.col("taken") > 0).select("doc_id", "source", "size", "target", "taken")
+
+
+STAGES = [("quality", good), ("near_dedup", distinct), ("decontaminate", clean), ("secrets", redacted), ("mix", mixed)]
+
+#: The quality and near-dedup stages can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return docs
