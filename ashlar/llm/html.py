@@ -131,6 +131,13 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
                     if stack[i].tag not in _INLINE:
                         break
             continue
+        if tag in _RAW and not m[2]:  # does not end a block
+            end = re.compile(rf"</{tag}[\s>/]", re.I).search(page, at)
+            at = n if end is None else end.start()
+            if end is not None:
+                gt = page.find(">", at)
+                at = n if gt < 0 else gt + 1
+            continue
         flush()
         if m[2]:
             for i in range(len(stack) - 1, 0, -1):
@@ -140,13 +147,6 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
                 if tag not in _SCOPES and stack[i].tag in _SCOPES:
                     break
             continue
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}[\s>/]", re.I).search(page, at)
-            at = n if end is None else end.start()
-            if end is not None:
-                gt = page.find(">", at)
-                at = n if gt < 0 else gt + 1
-            continue
         if tag in _VOID or m[4].endswith("/") and tag not in _SCOPES:
             continue
         if tag == "body" and stack[-1].tag == "head":
