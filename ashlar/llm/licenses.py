@@ -89,8 +89,8 @@ RULES = (
     ("MPL-2.0", ("mpl-form",)),
     ("Unlicense", ("public-domain",)),
 )
-#: Sentences end after .!? (or :; in licence texts), at empty lines, and before lines that open a licence.
-BOUNDARY = r"(?<=[.!?:;])[\x20\x09-\x0D]+|\n[\x20\t\r]*\n|\n(?=[\x20\t]*(?:[#*/;-]+[\x20\t]*)?(?:This|Licen[cs]ed|Released|Distributed|Published|Permission|SPDX|Copyright|Redistribution|THE|You|Unless)\b)"
+#: Sentences end after . ! ? ;, at empty lines, and before lines that open a licence.
+BOUNDARY = r"(?<=[.!?;])[\x20\x09-\x0D]+|\n[\x20\t\r]*\n|\n(?=[\x20\t]*(?:[#*/;-]+[\x20\t]*)?(?:This|Licen[cs]ed|Released|Distributed|Published|Permission|SPDX|Copyright|Redistribution|THE|You|Unless)\b)"
 
 
 def normalise(sentence: Column) -> Column:
