@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -17,24 +16,28 @@ def clamp(c: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
-def matches(df: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
-    """One row a non-overlapping match of ``pattern`` in column ``text``: the key
-    columns, n (its number), start (0-based), line (1-based) and match.
+def match_array(c: Column, pattern: str) -> Column:
+    """Array of (start 0-based, line 1-based, match) of the non-overlapping matches.
 
-    Positions come from the gaps between matches: running sums over the rows of
-    one text, which a document bounds, never over a whole table in one task.
+    Positions are running sums over the gaps between matches, kept within the
+    row: nothing is shuffled. Null where nothing matches.
     """
-    rows = df.filter(F.col(text).rlike(pattern))
-    gaps = F.split(F.col(text), pattern, -1)
-    hits = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    rows = rows.select(*key, F.monotonically_increasing_id().alias("__rid"), gaps.alias("__gaps"), hits.alias("__hits"))
-    rows = rows.select(*key, "__rid", "__gaps", F.posexplode("__hits").alias("n", "match"))
-    rows = rows.withColumn("__gap", F.get("__gaps", F.col("n"))).drop("__gaps")
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    upto = W.partitionBy("__rid").orderBy("n")
-    start = F.sum(F.length("__gap") + F.length("match")).over(upto) - F.length("match")
-    line = F.sum(breaks(F.col("__gap")) + breaks(F.col("match"))).over(upto) - breaks(F.col("match")) + 1
-    return rows.select(*key, "n", start.alias("start"), line.alias("line"), "match")
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    sizes = F.zip_with(F.slice(F.split(c, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), breaks(g).alias("gl"), F.length(h).alias("h"), breaks(h).alias("hl")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<start:int,line:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        here = F.struct((acc["at"] + x["g"]).alias("start"), (acc["line"] + x["gl"]).alias("line"))
+        return F.struct((acc["at"] + x["g"] + x["h"]).alias("at"), (acc["line"] + x["gl"] + x["hl"]).alias("line"), F.array_append(acc["out"], here).alias("out"))
+
+    places = F.aggregate(sizes, start, step)["out"]
+    return F.when(c.rlike(pattern), F.zip_with(places, hits, lambda o, h: F.struct(o["start"].alias("start"), o["line"].alias("line"), h.alias("match"))))
+
+
+def matches(df: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
+    """One row a match of ``pattern`` in column ``text``: the key columns, start, line, match."""
+    return df.select(*key, F.explode(match_array(F.col(text), pattern)).alias("__m")).select(*key, "__m.start", "__m.line", "__m.match")
 
 
 def entropy(c: Column) -> Column:

@@ -1,0 +1,132 @@
+"""Queries over files, pages, events and conversations: detectors, hosts, logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import logs, rules, web
+from ..operators.findings import first_wins
+from .bindings import Corpus, oracle
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None, *views: str):
+    def keep(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = oracle(sql, *views) if views else sql
+        return f
+
+    return keep
+
+
+@query()
+def rule_findings(c):
+    """Every rule of the catalogue over all files."""
+    return rules.detect(c.files()).drop("snippet")
+
+
+@query()
+def rule_findings_deduped(c):
+    return first_wins(rules.detect(c.files()).drop("snippet"), "id", ["repo", "path", "ordinal", "start"])
+
+
+_EMAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"
+#: Positions by splitting, in DuckDB: running sums over gaps and matches.
+_OFFSETS = f"""m as (select repo, path, unnest(regexp_extract_all(content, '{_EMAIL}')) as match, unnest(string_split_regex(content, '{_EMAIL}')[1:len(regexp_extract_all(content, '{_EMAIL}'))]) as gap,
+  generate_subscripts(regexp_extract_all(content, '{_EMAIL}'), 1) as n from files where regexp_matches(content, '{_EMAIL}'))"""
+
+
+@query(f"""with {_OFFSETS} select repo, path, match, (sum(length(gap) + length(match)) over w - length(match))::int as start, (sum(length(gap) - length(replace(gap, chr(10), ''))) over w + 1)::int as line
+from m window w as (partition by repo, path order by n)""", "files")
+def regex_match_offsets(c):
+    return tx.matches(c.files(), ["repo", "path"], "content", _EMAIL)
+
+
+@query("select doc_id, round(case when length(text) > 0 then entropy_of else 0 end, 9) as bits from (select doc_id, text, list_entropy(string_split(text, '')) as entropy_of from documents)")
+def text_entropy(c):
+    return c.table("documents").select("doc_id", F.round(tx.entropy(F.col("text")), 9).alias("bits"))
+
+
+@query("select doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::int as lines, length(text)::int as chars from documents")
+def line_counts(c):
+    return c.table("documents").select("doc_id", F.size(tx.lines(F.col("text"))).alias("lines"), F.length("text").alias("chars"))
+
+
+@query()
+def entropy_literals(c):
+    """Quoted literals of 3.5 bits and more near a credential name."""
+    return rules.high_entropy(c.files(), 3.5)
+
+
+@query("""select repo, path, case when path like 'tests/%' then 'test' when path like 'docs/%' or path like '%.md' then 'docs' else 'production' end as context from files""", "files")
+def path_context(c):
+    return c.files().select("repo", "path", tx.path_class(F.col("path")).alias("context"))
+
+
+@query("select md5(text) as content, min(doc_id) as doc_id, count(*)::bigint as copies from documents group by md5(text)")
+def duplicate_texts(c):
+    return c.table("documents").groupBy(F.md5("text").alias("content")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+_URL = "case when regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then"
+
+
+@query("""select host, case when host like '%.net' then 'internal' else 'external' end as boundary, count(*)::bigint as pages from (select lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) as host from pages) group by all""")
+def hosts_and_boundaries(c):
+    got = c.table("pages").select(web.host(F.col("url")).alias("host"))
+    return got.groupBy("host", web.boundary(F.col("host"), (".net",)).alias("boundary")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("select page_id, regexp_replace(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/$', '') as route from pages")
+def routes_normalised(c):
+    return c.table("pages").select("page_id", web.route(F.col("url")).alias("route"))
+
+
+@query("select page_id, url from pages where regexp_matches(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/de/|/beta')")
+def deprecated_routes(c):
+    return c.table("pages").filter(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).rlike("/de/|/beta")).select("page_id", "url")
+
+
+@query("select repo, bool_or(regexp_matches(content, '[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+')) as has_email, bool_or(regexp_matches(content, '[0-9]{16}')) as has_card, bool_or(contains(lower(content), 'license')) as has_license from files group by repo", "files")
+def repo_facts(c):
+    return web.facts(c.files(), {"has_email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+", "has_card": "[0-9]{16}", "has_license": "(?i)license"})
+
+
+@query("""with e as (select user_id, event_id, ts, (epoch(ts)::bigint % 86400)::bigint as second_of_day from events where event_id % 7 <> 3 union all select user_id, event_id, ts, null from events where event_id % 7 = 3),
+k as (select *, last_value(second_of_day ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as known, last_value(second_of_day ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) as at_s from e),
+r as (select *, sum(case when second_of_day < known then 86400 else 0 end) over (partition by user_id order by event_id rows between unbounded preceding and current row) as days from k)
+select user_id, event_id, (coalesce(at_s, 0) + days)::bigint as ts from r""")
+def log_clock_rollover(c):
+    second = F.when(F.col("event_id") % 7 != 3, F.unix_seconds(F.col("ts").cast("timestamp")) % 86400)
+    rows = c.table("events").select("user_id", "event_id", second.alias("second_of_day"))
+    return logs.clock(rows, "user_id", "event_id", "second_of_day").select("user_id", "event_id", "ts")
+
+
+@query("""select event_id, user_id, (coalesce(lead(epoch(ts)::bigint) over (partition by user_id order by ts, event_id), max(epoch(ts)::bigint) over (partition by user_id)) - epoch(ts)::bigint)::bigint as duration from events""")
+def batch_durations(c):
+    rows = c.table("events").select("event_id", "user_id", "ts", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    ends = rows.groupBy("user_id").agg(F.max("s").alias("end"))
+    return logs.durations(rows.join(ends, "user_id"), "user_id", ["ts", "event_id"], "s", "end").select("event_id", "user_id", "duration")
+
+
+@query("select user_id, min(ts) filter (event_type = 'click') as clicked, min(ts) filter (event_type = 'view') as viewed, min(ts) filter (event_type = 'purchase') as bought from events group by user_id")
+def phase_bounds(c):
+    return logs.phases(c.table("events"), "user_id", {"clicked": "click", "viewed": "view", "bought": "purchase"}, "event_type", "ts")
+
+
+@query("select event_type, date_trunc('day', ts)::timestamp as day, count(*)::bigint as n, round(sum(value), 4) as total from events group by all")
+def events_daily(c):
+    return c.table("events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("select conv_id, count(*)::bigint as turns, count(*) filter (role = 'user')::bigint as user_turns, max(turn) as last_turn, arg_min(role, turn) as first_role from conversations group by conv_id")
+def conversation_shape(c):
+    return c.table("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.max("turn").alias("last_turn"), F.min_by("role", "turn").alias("first_role"))
+
+
+@query("select d.doc_id, l.quality, l.toxic, length(d.text)::int as chars from documents d left join labels l using (doc_id)")
+def label_outer_join(c):
+    return c.table("documents").join(c.table("labels"), "doc_id", "left").select("doc_id", "quality", "toxic", F.length("text").alias("chars"))
