@@ -97,7 +97,7 @@ def import_cycles(edges: DataFrame) -> DataFrame:
                     place[node] = len(path)
                     path.append(node)
                     stack.append(iter(graph.get(node, ())))
-        return pd.DataFrame({"group": rows["group"].iloc[0], "cycle": sorted(cycles)})
+        return pd.DataFrame({"group": [rows["group"].iloc[0]] * len(cycles), "cycle": sorted(cycles)}, dtype=object)
 
     return edges.groupBy("group").applyInPandas(walk, "group string, cycle string")
 

@@ -95,7 +95,7 @@ def repo_facts(c):
     return web.facts(c.files(), {"has_email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+", "has_card": "[0-9]{16}", "has_license": "(?i)license"})
 
 
-@query("""with e as (select user_id, event_id, ts, (epoch(ts)::bigint % 86400)::bigint as second_of_day from events where event_id % 7 <> 3 union all select user_id, event_id, ts, null from events where event_id % 7 = 3),
+@query("""with e as (select user_id, event_id, ts, (floor(epoch(ts))::bigint % 86400)::bigint as second_of_day from events where event_id % 7 <> 3 union all select user_id, event_id, ts, null from events where event_id % 7 = 3),
 k as (select *, last_value(second_of_day ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as known, last_value(second_of_day ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) as at_s from e),
 r as (select *, sum(case when second_of_day < known then 86400 else 0 end) over (partition by user_id order by event_id rows between unbounded preceding and current row) as days from k)
 select user_id, event_id, (coalesce(at_s, 0) + days)::bigint as ts from r""")
@@ -105,7 +105,7 @@ def log_clock_rollover(c):
     return logs.clock(rows, "user_id", "event_id", "second_of_day").select("user_id", "event_id", "ts")
 
 
-@query("""select event_id, user_id, (coalesce(lead(epoch(ts)::bigint) over (partition by user_id order by ts, event_id), max(epoch(ts)::bigint) over (partition by user_id)) - epoch(ts)::bigint)::bigint as duration from events""")
+@query("""select event_id, user_id, (coalesce(lead(floor(epoch(ts))::bigint) over (partition by user_id order by ts, event_id), max(floor(epoch(ts))::bigint) over (partition by user_id)) - floor(epoch(ts))::bigint)::bigint as duration from events""")
 def batch_durations(c):
     rows = c.table("events").select("event_id", "user_id", "ts", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
     ends = rows.groupBy("user_id").agg(F.max("s").alias("end"))
