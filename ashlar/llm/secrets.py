@@ -206,4 +206,45 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_secret_scan": op7_secret_scan}
-ORACLES: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    patterns = (ASSIGN, ACCESS, HEX, TOKEN.split(")", 1)[1])  # runs are maximal, so the look-behind changes nothing
+    quoted = [p.replace("'", "''") for p in patterns]
+    hits = "\n  union all ".join(
+        f"select rid, {k} as kind, unnest(regexp_extract_all(text, '{q}')) as hit, unnest(string_split_regex(text, '{q}')[1:len(regexp_extract_all(text, '{q}'))]) as gap, "
+        f"generate_subscripts(regexp_extract_all(text, '{q}'), 1) as i from docs where regexp_matches(text, '{q}')"
+        for k, q in enumerate(quoted)
+    )
+    alphabet = "case " + " ".join(f"when regexp_matches(body, '{p}') then '{a}'" for p, a in ENCODINGS[:-1]) + f" else '{ENCODINGS[-1][1]}' end"
+    tail = lambda z: f"(t_{z} * (0.254829592 + t_{z} * (-0.284496736::double + t_{z} * (1.421413741 + t_{z} * (-1.453152027::double + t_{z} * 1.061405429::double)))) * exp(-{z} * {z} / 2.0::double))"
+    name = "['" + "', '".join(KINDS) + "'][kind + 1]"
+    joined = f"coalesce(string_agg({name} || ':' || start || ':' || stop, ',' order by start, kind"
+    return f"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+hits as ({hits}),
+placed as (select *, (sum(length(gap) + length(hit)) over (partition by rid, kind order by i))::bigint as stop from hits),
+kept as (select rid, kind, hit, stop - length(hit) as start, stop, rtrim(hit, '=') as body from placed
+  where case kind when 0 then length(regexp_extract(hit, '{quoted[0]}', 1)) >= 8 when 3 then regexp_matches(hit, '[a-z]')::int + regexp_matches(hit, '[A-Z]')::int + regexp_matches(hit, '[0-9]')::int >= 2 else true end),
+coded as (select *, {alphabet} as alphabet from kept where kind = 3),
+listed as (select *, list_transform(string_split(body, ''), lambda c: (instr(alphabet, c) - 1)::double) as codes, length(alphabet)::double as k, length(body)::double as n from coded),
+sums as (select *, list_sum(list_transform(list_distinct(codes), lambda c: power(len(list_filter(codes, lambda x: x = c)), 2)))::double as counted,
+  list_sum(list_transform(range(1, n::bigint), lambda j: case when (codes[j] < k / 2) <> (codes[j + 1] < k / 2) then 1.0::double else 0 end))::double as changes,
+  list_sum(list_transform(range(1, n::bigint), lambda j: (codes[j] - (k - 1) / 2) * (codes[j + 1] - (k - 1) / 2)))::double as serial from listed),
+tests as (select *, (power(greatest(k / n * counted - n, 0.0::double) / (k - 1), 1.0::double / 3.0::double) - (1.0::double - 2.0::double / (9.0::double * (k - 1)))) / sqrt(2.0::double / (9.0::double * (k - 1))) as za,
+  (changes - (n - 1) / 2) / sqrt((n - 1) / 4) as zb, serial / (sqrt(n - 1) * (k * k - 1) / 12) as zc from sums),
+tails as (select *, 1.0::double / (1.0::double + 0.3275911::double * abs(za) / sqrt(2.0::double)) as t_za, 1.0::double / (1.0::double + 0.3275911::double * abs(zb) / sqrt(2.0::double)) as t_zb, 1.0::double / (1.0::double + 0.3275911::double * abs(zc) / sqrt(2.0::double)) as t_zc from tests),
+judged as (select rid, start, stop, floor(log2(length(hit)))::int as length_class, least(1.0::double, 3.0::double * least({tail("za")}, {tail("zb")}, {tail("zc")})) as p from tails),
+bins as (select length_class, least(floor(p * {BINS}), {BINS - 1})::bigint as bin, count(*) as n from judged group by all),
+shares as (select *, 1.0::double - sum(case when bin >= {BINS // 2} then n else 0 end) over (partition by length_class) * 2.0::double * (1.0::double - bin / {float(BINS)}::double)
+  / sum(n) over (partition by length_class order by bin desc) as false_share from bins),
+cuts as (select length_class, greatest(min(bin) / {float(BINS)}::double, {LEAST_P}::double) as cut from shares where false_share <= {MAX_FALSE}::double group by length_class),
+spans as (select rid, kind, start, stop from kept where kind < 3
+  union all select j.rid, 3, j.start, j.stop from judged j join cuts c using (length_class) where j.p >= c.cut and not exists (select 1 from kept b where b.kind < 3 and b.rid = j.rid and b.start < j.stop and j.start < b.stop))
+select any_value(d.doc_id) as doc_id, count(*) filter (kind = 0)::bigint as n_assign, count(*) filter (kind = 1)::bigint as n_access, count(*) filter (kind = 2)::bigint as n_hex, count(*) filter (kind = 3)::bigint as n_random,
+  sha256({joined}) filter (kind < 3), '')) as base_sha256, {joined}) filter (kind is not null), '') as spans
+from docs d left join spans s on s.rid = d.rid group by d.rid
+"""
+
+
+ORACLES = {"op7_secret_scan": _oracle()}
