@@ -7,7 +7,10 @@ path class. Add a rule by adding a row (or pass another table).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +29,16 @@ class Rule:
     guard: str | None = None
     config_only: bool = False
     entropy: bool = False
-    path: str | None = field(default=None)
+    path: str | None = None
+    #: Literals in lower case of which a file with a match holds one; the cheap test before the pattern.
+    anchors: tuple[str, ...] = ()
 
 
 def _sdk(slug: str, module: str, category: str, label: str, severity: int, *names: str) -> Rule:
     """A rule for a library: its import in Python or JavaScript, or its names."""
     more = "".join(f"|{n}" for n in names)
-    return Rule(slug, category, label, severity, rf"(?m)^[ \t]*(?:import|from)[ \t]+{module}\b|require\(['\"]{module}['\"]\)|from[ \t]+['\"]{module}['\"]{more}")
+    anchors = tuple(re.match(r"[a-z0-9_.]+", n.replace("\\", "").lower())[0].split("_in_")[0] for n in (module, *names))
+    return Rule(slug, category, label, severity, rf"(?m)^[ \t]*(?:import|from)[ \t]+{module}\b|require\(['\"]{module}['\"]\)|from[ \t]+['\"]{module}['\"]{more}", anchors=anchors)
 
 
 API, LOCAL, EMB, RAG, TUNE, ML, SEC, AGENT, GW, INFRA = "External AI API", "Local LLM Runtime", "Embeddings", "RAG/Vector DB", "Fine-tuning/Training", "ML Library", "Security", "Agent Framework", "AI Proxy/Gateway", "Infrastructure AI Config"
@@ -41,20 +47,20 @@ RULES = (
     _sdk("google_gemini_vertexai", "google\\.generativeai", API, "LLM/Completion", 2, r"GenerativeModel\("), _sdk("mistral_ai", "mistralai", API, "LLM/Completion", 2, r"MistralClient\("), _sdk("groq", "groq", API, "LLM/Completion", 2, r"Groq\("),
     _sdk("langchain", "langchain", API, "LLM Orchestration", 2, r"ChatOpenAI\("), _sdk("llama_index", "llama_index", API, "RAG/Orchestration", 2), _sdk("huggingface_hub", "huggingface_hub", API, "LLM/Inference", 2, r"InferenceClient\("),
     _sdk("transformers", "transformers", LOCAL, "Local Inference", 3, r"AutoModelForCausalLM"), _sdk("vllm", "vllm", LOCAL, "Local Inference Server", 3), _sdk("llama_cpp", "llama_cpp", LOCAL, "Local Inference", 3), _sdk("ollama", "ollama", LOCAL, "Local Inference", 3, r"ollama\.(?:chat|generate)"),
-    _sdk("sentence_transformers", "sentence_transformers", EMB, "Embedding Generation", 3, r"SentenceTransformer\("), Rule("openai_embeddings", EMB, "Embedding Generation", 2, r"embeddings\.create\(|text-embedding-[a-z0-9-]+"),
-    _sdk("faiss", "faiss", RAG, "Vector Search", 3, r"faiss\.Index\w+"), _sdk("chromadb", "chromadb", RAG, "Vector DB", 3), _sdk("qdrant", "qdrant_client", RAG, "Vector DB", 3, r"QdrantClient\("), _sdk("weaviate", "weaviate", RAG, "Vector DB", 3), _sdk("milvus", "pymilvus", RAG, "Vector DB", 3), _sdk("pinecone", "pinecone", RAG, "Vector DB", 2), Rule("pgvector", RAG, "Vector DB (Postgres)", 3, r"(?i)create\s+extension[^;\n]*\bvector\b|pgvector"),
+    _sdk("sentence_transformers", "sentence_transformers", EMB, "Embedding Generation", 3, r"SentenceTransformer\("), Rule("openai_embeddings", EMB, "Embedding Generation", 2, r"embeddings\.create\(|text-embedding-[a-z0-9-]+", anchors=("embedding",)),
+    _sdk("faiss", "faiss", RAG, "Vector Search", 3, r"faiss\.Index\w+"), _sdk("chromadb", "chromadb", RAG, "Vector DB", 3), _sdk("qdrant", "qdrant_client", RAG, "Vector DB", 3, r"QdrantClient\("), _sdk("weaviate", "weaviate", RAG, "Vector DB", 3), _sdk("milvus", "pymilvus", RAG, "Vector DB", 3), _sdk("pinecone", "pinecone", RAG, "Vector DB", 2), Rule("pgvector", RAG, "Vector DB (Postgres)", 3, r"(?i)create\s+extension[^;\n]*\bvector\b|pgvector", anchors=("vector",)),
     _sdk("peft_lora", "peft", TUNE, "Fine-tuning (LoRA/PEFT)", 2, r"LoraConfig\("), _sdk("trl", "trl", TUNE, "RLHF/Fine-tuning", 2, r"SFTTrainer\("), _sdk("accelerate", "accelerate", TUNE, "Distributed Training", 3), _sdk("bitsandbytes", "bitsandbytes", TUNE, "Quantization/Fine-tuning", 3, r"load_in_[48]bit"),
     _sdk("pytorch", "torch", ML, "Deep Learning", 4), _sdk("tensorflow", "tensorflow", ML, "Deep Learning", 4), _sdk("scikit_learn", "sklearn", ML, "ML Algorithms", 4), _sdk("xgboost", "xgboost", ML, "Gradient Boosting", 4), _sdk("lightgbm", "lightgbm", ML, "Gradient Boosting", 4),
     _sdk("litellm", "litellm", GW, "LLM Proxy/Gateway", 3), _sdk("portkey", "portkey_ai", GW, "LLM Gateway", 3), _sdk("autogen", "autogen", AGENT, "Multi-Agent Orchestration", 2), _sdk("crewai", "crewai", AGENT, "Multi-Agent Orchestration", 2), _sdk("langgraph", "langgraph", AGENT, "Stateful Agent Graph", 2, r"StateGraph\("), _sdk("semantic_kernel", "semantic_kernel", AGENT, "Agent/Plugin Orchestration", 2),
-    Rule("direct_http_ai", API, "Direct HTTP Call", 2, r"https?://api\.(?:openai|anthropic|cohere|mistral|groq)\.(?:com|ai)"),
-    Rule("hardcoded_credential", SEC, "Hardcoded Credential", 1, r"(?i)(?:password|passwd|secret|token|api_?key)[ \t]*[:=][ \t]*[\"'][^\"'\s]{8,}[\"']", entropy=True),
-    Rule("plain_credential", SEC, "Credential Assignment", 2, r"(?i)(?:password|passwd|secret|api_?key)=[A-Za-z0-9+/_.-]{8,}", entropy=True),
-    Rule("aws_access_key", SEC, "AWS Access Key Exposed", 1, r"AKIA[0-9A-Z]{16}"), Rule("google_api_key", SEC, "Google API Key Exposed", 1, r"AIza[0-9A-Za-z_-]{35}"), Rule("github_token", SEC, "GitHub Token Exposed", 1, r"gh[pousr]_[A-Za-z0-9]{36}"), Rule("slack_token", SEC, "Slack API Token Exposed", 1, r"xox[abprs]-[0-9A-Za-z-]{10,}"), Rule("openai_key_pattern", SEC, "Secret Exposure", 1, r"sk-[A-Za-z0-9]{32,}"), Rule("anthropic_key_pattern", SEC, "Secret Exposure", 1, r"sk-ant-[A-Za-z0-9_-]{20,}"), Rule("stripe_key", SEC, "Stripe Live API Key Exposed", 1, r"[rs]k_live_[0-9A-Za-z]{20,}"),
-    Rule("unsafe_code_exec", SEC, "Code Execution Risk", 1, r"\b(?:eval|exec)\([^)\n]*(?:response|output|completion|request|input)|os\.system\("), Rule("unsafe_pickle_model", SEC, "Unsafe Deserialisation (pickle/joblib)", 2, r"(?:pickle|joblib|marshal)\.loads?\("), Rule("trust_remote_code", SEC, "trust_remote_code=True", 1, r"trust_remote_code\s*=\s*True"), Rule("unsafe_numpy_pickle", SEC, "Unsafe NumPy Pickle Load", 2, r"allow_pickle\s*=\s*True"),
-    Rule("sql_injection_direct", SEC, "SQL Injection Risk", 1, r"(?i)execute\(\s*f[\"']|execute\([^)\n]*(?:%|\+|\.format\()"), Rule("debug_mode", SEC, "Debug Mode Active", 3, r"(?i)\bdebug\s*=\s*True|FLASK_DEBUG\s*=\s*1"), Rule("prompt_injection_risk", SEC, "Prompt Injection", 2, r"(?i)prompt\s*[+=]+[^\n]*(?:request|user_input|body|form)", guard=r"(?i)openai|anthropic|langchain|llm"), Rule("jailbreak_pattern", SEC, "Jailbreak Pattern in Codebase", 2, r"(?i)ignore (?:all |any )?(?:previous|prior|above) (?:instructions|rules)"),
-    Rule("logging_risk", SEC, "Logging Risk", 2, r"(?i)(?:print|logger\.\w+)\([^)\n]*(?:prompt|api_key|completion)"), Rule("markdown_exfil", SEC, "Markdown Data Exfiltration Pattern", 2, r"!\[[^\]\n]*\]\(https?://[^)\n]*\?[^)\n]*=\{"),
-    Rule("env_file_key", SEC, "Secret in Config File", 2, r"(?m)^[ \t]*(?:export[ \t]+)?[A-Z_]*(?:API_KEY|TOKEN|SECRET)[ \t]*[:=][ \t]*\S{8,}", config_only=True, entropy=True), Rule("dependency_declaration", API, "AI Dependency", 4, r"(?m)^[ \t\"']*(?:openai|anthropic|langchain|transformers|torch)[\"']?[ \t]*(?:[=~<>:]|$)", config_only=True), Rule("k8s_model_serving", LOCAL, "Model Serving (Kubernetes)", 3, r"image:[ \t]*\S*(?:ollama|vllm|triton|torchserve)", config_only=True),
-    Rule("email_address", "Personal Data", "E-mail Address", 3, r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"), Rule("card_number", "Personal Data", "Card-like Number", 2, r"[0-9]{16}"), Rule("licence_line", "License", "License Line", 4, r"(?i)licen[cs]ed under|released under"),
+    Rule("direct_http_ai", API, "Direct HTTP Call", 2, r"https?://api\.(?:openai|anthropic|cohere|mistral|groq)\.(?:com|ai)", anchors=("://api.",)),
+    Rule("hardcoded_credential", SEC, "Hardcoded Credential", 1, r"(?i)(?:password|passwd|secret|token|api_?key)[ \t]*[:=][ \t]*[\"'][^\"'\s]{8,}[\"']", entropy=True, anchors=("password", "passwd", "secret", "token", "api_key", "apikey")),
+    Rule("plain_credential", SEC, "Credential Assignment", 2, r"(?i)(?:password|passwd|secret|api_?key)=[A-Za-z0-9+/_.-]{8,}", entropy=True, anchors=("password", "passwd", "secret", "api_key", "apikey")),
+    Rule("aws_access_key", SEC, "AWS Access Key Exposed", 1, r"AKIA[0-9A-Z]{16}", anchors=("akia",)), Rule("google_api_key", SEC, "Google API Key Exposed", 1, r"AIza[0-9A-Za-z_-]{35}", anchors=("aiza",)), Rule("github_token", SEC, "GitHub Token Exposed", 1, r"gh[pousr]_[A-Za-z0-9]{36}", anchors=("gho_", "ghp_", "ghu_", "ghs_", "ghr_")), Rule("slack_token", SEC, "Slack API Token Exposed", 1, r"xox[abprs]-[0-9A-Za-z-]{10,}", anchors=("xox",)), Rule("openai_key_pattern", SEC, "Secret Exposure", 1, r"sk-[A-Za-z0-9]{32,}", anchors=("sk-",)), Rule("anthropic_key_pattern", SEC, "Secret Exposure", 1, r"sk-ant-[A-Za-z0-9_-]{20,}", anchors=("sk-ant-",)), Rule("stripe_key", SEC, "Stripe Live API Key Exposed", 1, r"[rs]k_live_[0-9A-Za-z]{20,}", anchors=("k_live_",)),
+    Rule("unsafe_code_exec", SEC, "Code Execution Risk", 1, r"\b(?:eval|exec)\([^)\n]*(?:response|output|completion|request|input)|os\.system\(", anchors=("eval(", "exec(", "os.system(")), Rule("unsafe_pickle_model", SEC, "Unsafe Deserialisation (pickle/joblib)", 2, r"(?:pickle|joblib|marshal)\.loads?\(", anchors=("pickle.load", "joblib.load", "marshal.load")), Rule("trust_remote_code", SEC, "trust_remote_code=True", 1, r"trust_remote_code\s*=\s*True", anchors=("trust_remote_code",)), Rule("unsafe_numpy_pickle", SEC, "Unsafe NumPy Pickle Load", 2, r"allow_pickle\s*=\s*True", anchors=("allow_pickle",)),
+    Rule("sql_injection_direct", SEC, "SQL Injection Risk", 1, r"(?i)execute\(\s*f[\"']|execute\([^)\n]*(?:%|\+|\.format\()", anchors=("execute(",)), Rule("debug_mode", SEC, "Debug Mode Active", 3, r"(?i)\bdebug\s*=\s*True|FLASK_DEBUG\s*=\s*1", anchors=("debug",)), Rule("prompt_injection_risk", SEC, "Prompt Injection", 2, r"(?i)prompt\s*[+=]+[^\n]*(?:request|user_input|body|form)", guard=r"(?i)openai|anthropic|langchain|llm", anchors=("prompt",)), Rule("jailbreak_pattern", SEC, "Jailbreak Pattern in Codebase", 2, r"(?i)ignore (?:all |any )?(?:previous|prior|above) (?:instructions|rules)", anchors=("ignore ",)),
+    Rule("logging_risk", SEC, "Logging Risk", 2, r"(?i)(?:print|logger\.\w+)\([^)\n]*(?:prompt|api_key|completion)", anchors=("print(", "logger.")), Rule("markdown_exfil", SEC, "Markdown Data Exfiltration Pattern", 2, r"!\[[^\]\n]*\]\(https?://[^)\n]*\?[^)\n]*=\{", anchors=("](http",)),
+    Rule("env_file_key", SEC, "Secret in Config File", 2, r"(?m)^[ \t]*(?:export[ \t]+)?[A-Z_]*(?:API_KEY|TOKEN|SECRET)[ \t]*[:=][ \t]*\S{8,}", config_only=True, entropy=True, anchors=("api_key", "token", "secret")), Rule("dependency_declaration", API, "AI Dependency", 4, r"(?m)^[ \t\"']*(?:openai|anthropic|langchain|transformers|torch)[\"']?[ \t]*(?:[=~<>:]|$)", config_only=True, anchors=("openai", "anthropic", "langchain", "transformers", "torch")), Rule("k8s_model_serving", LOCAL, "Model Serving (Kubernetes)", 3, r"image:[ \t]*\S*(?:ollama|vllm|triton|torchserve)", config_only=True, anchors=("image:",)),
+    Rule("email_address", "Personal Data", "E-mail Address", 3, r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", anchors=("@",)), Rule("card_number", "Personal Data", "Card-like Number", 2, r"[0-9]{16}"), Rule("licence_line", "License", "License Line", 4, r"(?i)licen[cs]ed under|released under", anchors=("licensed under", "licenced under", "released under")),
 )
 CODE = r"\.(py|ipynb|js|ts|jsx|tsx|java|go|rb|cs|php|rs|scala|c|cc|cpp|h|sh|sql)$"
 CONFIG = r"\.(ya?ml|toml|ini|cfg|conf|env|properties|tf|json)$|(^|/)(\.env[^/]*|Dockerfile|requirements[^/]*\.txt)$"
@@ -68,6 +74,9 @@ def applies(r: Rule) -> Column:
     others skip config files, files that are neither take all."""
     code, config = F.lower("path").rlike(CODE), F.lower("path").rlike(CONFIG)
     fits = (~code | config) if r.config_only else (~config | code)
+    if r.anchors:
+        held = [F.contains(F.col("lowered"), F.lit(a)) for a in r.anchors]
+        fits = reduce(or_, held) & fits
     if r.guard:
         fits = fits & F.col("content").rlike(r.guard)
     return fits & F.lower("path").rlike(r.path) if r.path else fits
@@ -98,6 +107,7 @@ def detect(files: DataFrame, rules=RULES, bump: bool = True) -> DataFrame:
             hits = F.filter(hits, lambda m: ~low_entropy(m["match"]))
         tagged = (lambda i: lambda m: F.struct(m["start"].alias("start"), m["line"].alias("line"), m["match"].alias("match"), F.lit(i).alias("ordinal")))(i)
         found.append(F.coalesce(F.transform(hits, tagged), none))
+    files = files.withColumn("lowered", F.lower("content"))
     out = files.select("repo", "path", "content", F.explode(F.concat(*found)).alias("m")).select("repo", "path", "content", "m.*")
     of = lambda name: F.element_at(F.array(*[F.lit(getattr(r, name)) for r in rules]), F.col("ordinal") + 1)
     out = out.withColumns({"rule": of("slug"), "category": of("category"), "capability": of("label"), "base": of("severity")})
