@@ -6,11 +6,13 @@ labelled with its occurrence number. For each of ``SKETCHES`` hash functions the
 texts that share many shingles in the same order share keys.
 
 Equal texts are one node. Nodes that share ``AGREE`` keys or more become
-candidates: all pairs of a bucket of up to ``SMALL`` nodes; in a larger one every
-node with the bucket's hub, the node whose buckets are fullest, as the original of
-many copies is. Nodes of large buckets outside their hub's class go through rounds: in each they
-meet ``PIVOTS`` nodes of each of their buckets, chosen anew by hash, until a round
-links none. So a crowded bucket costs a few pairs a node, never the square. A
+candidates: all pairs of a bucket of up to ``SMALL`` nodes, keys of larger ones
+counted too; in a larger one every node with the bucket's hub, the node whose
+buckets are fullest, as the original of many copies is. What then lies in one
+large bucket but in several classes is searched again, without sampling, by a
+prefix filter on its shingles, rare ones first: sets of Jaccard similarity
+``SIMILARITY`` share one of the first ``1 - SIMILARITY`` of each, and early enough
+in both. So passages that many texts share bring no pairs, and no pair is lost. A
 pair is linked if the Jaccard similarity of its shingle sets is ``SIMILARITY`` or
 more and an alignment within the band that this allows matches that share of the
 words in order. Classes are the connected components of the links.
@@ -34,10 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ORDER, SKETCHES, AGREE = 3, 20, 2
 SMALL = 24
-#: Keys shared by the pairs of a round: at similarity 0.8 a pair shares fewer with chance 0.5 %.
-AGREE_ROUND = 5
-#: Nodes of a large bucket that a round compares with those outside the hub's class.
-PIVOTS = 8
+#: Rows of a shingle that are paired with the others of it in one task.
+BLOCK = 256
 
 _RNG = np.random.default_rng(20_000_003)
 _ODD = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -221,13 +221,40 @@ def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return durable(texts.groupBy("node", "gid").agg(F.any_value("text").alias("text")).select("node", "text"), "texts")
 
 
-def _met(open_: DataFrame, spokes: DataFrame, turn: int) -> DataFrame:
-    """node, pivot: every node of ``open_`` (j, key, node) with ``PIVOTS`` nodes
-    of each of its large buckets, chosen by a hash that changes with the turn."""
-    least = [F.min_by("node", F.xxhash64("node", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)]
-    chosen = spokes.groupBy("j", "key").agg(F.array(*least).alias("pivots"))
-    met = open_.select("j", "key", "node").join(chosen, ["j", "key"]).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))
-    return met.select("node", F.explode("pivots").alias("pivot")).filter("node <> pivot")
+def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words = Words()
+    for b in batches:
+        sets = [np.unique(shingle_hashes(words(t))).view(np.int64) for t in b["text"]]
+        yield pd.DataFrame({"node": b["node"], "size": [len(s) for s in sets], "shingles": sets})
+
+
+def _across(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different roots in ``crowd`` (node, root) whose shingle
+    sets can have the similarity ``SIMILARITY``; none that has it is missing.
+
+    Shingles are ordered by the number of texts that hold them. Those of one
+    text come first and pair nothing, so only their number is needed.
+    """
+    sets = texts.join(crowd.select("node"), "node", "left_semi").mapInPandas(_shingled, "node long, size int, shingles array<long>")
+    each = sets.select("node", "size", F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    order = each.join(held, "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("order"))
+    own = F.col("size") - F.size("order")
+    first = F.floor(F.col("size") * (1.0 - SIMILARITY) + 1e-9).cast("int") + 1
+    order = order.withColumns({"own": own, "first": first}).filter("first > own")
+    prefix = order.select("node", "size", "own", F.posexplode(F.slice("order", F.lit(1), F.col("first") - F.col("own"))).alias("i", "s"))
+    prefix = prefix.select("node", "size", F.col("s.shingle").alias("shingle"), (F.col("own") + F.col("i")).alias("place"))
+    prefix = durable(prefix.join(crowd, "node"), "prefixes")
+    mixed = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    prefix = prefix.join(mixed.select("shingle", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "shingle")
+    side = lambda x, block: prefix.select("shingle", block.alias("block"), *[F.col(c).alias(x + c) for c in ("node", "root", "size", "place")])
+    left = side("a_", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    right = side("b_", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # The first shingle that a similar pair has in common leaves enough behind it in both.
+    behind = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    enough = behind * (1.0 + SIMILARITY) >= SIMILARITY * (F.col("a_size") + F.col("b_size")) - 1e-6
+    both = left.join(right, ["shingle", "block"]).filter(F.expr("a_node < b_node and a_root <> b_root") & enough)
+    return both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -251,39 +278,30 @@ def classes(docs: DataFrame) -> DataFrame:
 
     left = small.select("j", "key", F.col("node").alias("a"))
     near = left.join(small.select("j", "key", F.col("node").alias("b")), ["j", "key"]).filter("a < b")
-    near = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= AGREE).select("a", "b")
+    near = durable(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), "near")
+    # A pair with one small bucket may share its other keys in large ones.
+    crowded = large.select("node").distinct()
+    weak = near.filter(F.col("c") < AGREE).join(crowded.toDF("a"), "a", "left_semi").join(crowded.toDF("b"), "b", "left_semi")
+    near = near.filter(F.col("c") >= AGREE).select("a", "b").unionByName(_agreeing(weak.select("a", "b"), nodes, AGREE))
     # The hub of a large bucket: the node whose large buckets are fullest in sum (a node has SKETCHES at most).
     of_node = W.partitionBy("node")
-    large = large.withColumn("fullness", F.sum("n").over(of_node)).withColumn("crowded", F.count(F.lit(1)).over(of_node))
+    large = large.withColumn("fullness", F.sum("n").over(of_node))
     hubs = large.groupBy("j", "key").agg(F.max(F.struct("fullness", "node"))["node"].alias("hub"))
-    spokes = durable(large.join(hubs, ["j", "key"]).select("j", "key", "node", "hub", "crowded"), "spokes")
+    spokes = durable(large.join(hubs, ["j", "key"]).select("j", "key", "node", "hub"), "spokes")
     star = _agreeing(spokes.filter("node <> hub").select(*pair("node", "hub")).distinct(), nodes, AGREE)
     pairs = durable(near.unionByName(star).distinct(), "pairs")
     texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(spokes.select("node")), nodes, docs)
     links = _links(pairs, texts)
 
-    # Not linked with the hub itself. A pair that shares AGREE_ROUND keys, and fewer
-    # than AGREE in small buckets, shares the others in large ones.
-    linked = links.select("a", "b").union(links.select("b", "a")).toDF("node", "hub")
-    spokes = spokes.filter(F.col("crowded") > AGREE_ROUND - AGREE).select("j", "key", "node", "hub")
-    apart = durable(spokes.filter("node <> hub").join(linked, ["node", "hub"], "left_anti"), "apart")
-    alone = apart.join(linked.select("node"), "node", "left_anti")  # those without any link go first
-    if apart.limit(1).count():
-        met = durable(_agreeing(_met(alone, spokes, 0).select(*pair("node", "pivot")).distinct(), nodes, AGREE_ROUND), "pairs")
-        links = links.unionByName(_links(met, texts))
     found = components(links)
 
-    turn = 0
-    while apart.limit(1).count():
-        turn += 1
-        root = found.select("id", "root")
-        placed = apart.join(root.toDF("node", "r"), "node", "left").join(root.toDF("hub", "hub_r"), "hub", "left")
-        apart = durable(placed.filter("coalesce(r, node) <> coalesce(hub_r, hub)").select("j", "key", "node", "hub"), "apart")
-        met = _met(apart, spokes, turn).join(root.toDF("node", "r"), "node", "left").join(root.toDF("pivot", "p"), "pivot", "left")
-        met = met.filter("coalesce(r, node) <> coalesce(p, pivot)").select(*pair("node", "pivot")).distinct()
-        fresh = _links(durable(_agreeing(met, nodes, AGREE_ROUND), "pairs"), texts)
-        if not fresh.limit(1).count():
-            break
+    # Pairs that are left share AGREE large buckets or more, and each of these holds several classes.
+    placed = spokes.select("j", "key", "node").join(found.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("j", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    crowd = placed.join(mixed, ["j", "key"]).groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= AGREE).select("node", "root")
+    crowd = durable(crowd, "crowd")
+    if crowd.limit(1).count():
+        fresh = _links(durable(_agreeing(_across(crowd, texts), nodes, AGREE), "pairs"), texts)
         found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh))
 
     member = nodes.select("node", "doc_id").join(found.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -109,3 +109,17 @@ def test_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "other words are here now")], "doc_id long, text string")
     assert neardup.classes(docs).count() == 3
     assert neardup.drop_near_copies(docs).count() == 2
+
+
+def test_pairs_away_from_the_hub_in_a_crowded_bucket(spark):
+    """Texts that share a passage but are not alike, and pairs among them that share a little more."""
+    rng = random.Random(3)
+    new = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage = new(160)
+    rows = [passage + new(30) for _ in range(540)]
+    for _ in range(30):
+        more = new(11)
+        rows += [passage + more + new(19), passage + more + new(19)]
+    rows = list(enumerate(" ".join(r) for r in rows))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - (i - 540) % 2 if i >= 540 else i for i, _ in rows}
