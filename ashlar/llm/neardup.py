@@ -258,8 +258,8 @@ def _across(crowd: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_id: for every row of ``docs`` the hash of its text
-    and the least doc_id of its class.
+    """doc_id, node, class_id, root: for every row of ``docs`` the hash of its
+    text, the least doc_id of its class, and the class itself (its least hash).
 
     A null text is an empty one; texts without words are copies of each other
     only if equal. Null ids count as larger than any. Columns other than doc_id
@@ -306,18 +306,18 @@ def classes(docs: DataFrame) -> DataFrame:
 
     member = nodes.select("node", "doc_id").join(found.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    member = member.join(least, "root").select("node", "class_id")
+    member = member.join(least, "root").select("node", "class_id", "root")
     return signed.select("doc_id", "node").join(member, "node")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each class, the one of the least id; all columns kept."""
-    found = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # One text of each class, also where ids repeat.
-    kept = found.groupBy(F.col("class_id").alias("__id")).agg(F.min("node").alias("__node"))
+    # The row of a class is chosen by its root: ids may be null or repeat in others.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("s")
+    kept = classes(docs).groupBy("root").agg(least).select(F.col("s.doc_id").alias("__id"), F.col("s.node").alias("__node"))
     rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__node")))
-    once = F.row_number().over(W.partitionBy("__id", "__h").orderBy("__id"))
+    once = F.row_number().over(W.partitionBy("__h").orderBy("__id"))  # a text is in one class
     return rows.withColumn("__n", once).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

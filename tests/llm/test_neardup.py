@@ -123,3 +123,11 @@ def test_pairs_away_from_the_hub_in_a_crowded_bucket(spark):
     rows = list(enumerate(" ".join(r) for r in rows))
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - (i - 540) % 2 if i >= 540 else i for i, _ in rows}
+
+
+def test_one_row_of_every_class_where_ids_are_null_or_repeat(spark):
+    words = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(None, words("a")), (None, words("b")), (None, words("c")), (None, words("c")), (5, words("d")), (5, words("e")), (9, words("e")), (None, words("e") + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in neardup.drop_near_copies(docs).collect())
+    assert kept == [(0, words("a")), (0, words("b")), (0, words("c")), (5, words("d")), (5, words("e"))]
