@@ -4,8 +4,9 @@ Unit vectors are cut into halves, each with a codebook of k-means centres, whose
 product is a grid of cells; every distinct vector is indexed in the cell of its
 two nearest centres. A query visits cells in order of the sum of its two squared
 distances (multi-sequence traversal) and is compared with all vectors there. How
-many cells it visits is measured: on sample queries the true links are found by
-brute force, and the traversal goes on until ``TARGET`` of them are reached.
+many cells it visits is measured: the true links of sample queries to all other
+vectors are found by brute force, and the traversal goes on until ``TARGET`` of
+them are reached.
 
 The grid grows with the root of the number of vectors, so a cell holds
 ``CELL_ROWS`` on the mean. Equal vectors are one entry with a count. Cells are
@@ -86,8 +87,7 @@ class MultiIndex:
         k = min(MAX_CENTRES, max(1, math.ceil(math.sqrt(n / CELL_ROWS))), len(sample))
         self.books = [centres(sample[:, :half], k), centres(sample[:, half:], k)] if half else [np.zeros((1, 0)), centres(sample, k)]
         self.width = len(self.books[1])
-        self.visits = 1
-        self.visits = self._calibrated(sample)
+        self.visits = min(len(self.books[0]) * self.width, 8)  # until calibrated
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple((c * c).sum(1)[None, :] - 2.0 * (h @ c.T) for c, h in zip(self.books, (x[:, : self.half], x[:, self.half :]), strict=True))
@@ -103,18 +103,32 @@ class MultiIndex:
         most = most or self.visits
         return [[int(oa[r, i]) * self.width + int(ob[r, j]) for i, j in traverse(sa[r], sb[r], most)] for r in range(len(x))]
 
-    def _calibrated(self, sample: np.ndarray) -> int:
-        """Visits that reach ``TARGET`` of the true links of sample queries."""
-        queries = sample[:SAMPLE_QUERIES]
-        homes = self.homes(sample)
-        rank = []
-        cells = len(self.books[0]) * self.width
-        for q, order in zip(queries, self.visited(queries, min(cells, 1024)), strict=True):
-            place = {c: i + 1 for i, c in enumerate(order)}
-            rank += [place.get(int(c), cells) for c in homes[sample @ q >= COSINE]]
-        if not rank:
-            return min(cells, 8)
-        return int(min(cells, max(2, np.quantile(rank, TARGET, method="higher") + 1)))
+    def rank(self, a: np.ndarray, b: np.ndarray, cell: int) -> int:
+        """Place of a cell in the traversal of a query with distances a and b."""
+        far = a[cell // self.width] + b[cell % self.width]
+        return int(np.searchsorted(np.sort(b), far - a + 1e-12, side="right").sum())
+
+
+def calibrated(nodes: DataFrame, index: MultiIndex, asked: np.ndarray, queries: np.ndarray, cosine: float) -> int:
+    """Visits that reach ``TARGET`` of the links of the queries (their nodes are
+    ``asked``) to all of ``nodes`` but themselves."""
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        da, db = index.distances(queries)
+        for batch in batches:
+            if len(batch):
+                x = np.array(batch["x"].tolist())
+                q, hit = np.nonzero((queries @ x.T >= cosine) & (asked[:, None] != batch["node"].to_numpy()[None, :]))
+                found, n = np.unique(np.c_[q, index.homes(x)[hit]], axis=0, return_counts=True)
+                yield pd.DataFrame({"rank": pd.Series([index.rank(da[r], db[r], c) for r, c in found], dtype="int64"), "n": pd.Series(n, dtype="int64")})
+
+    ranks = nodes.select("node", "x").mapInPandas(ranked, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
+    ranks = sorted((r["rank"], r["n"]) for r in ranks.collect())  # a row a rank, so no more than cells
+    if not ranks:
+        return index.visits
+    reached = np.cumsum([n for _, n in ranks])
+    at = ranks[int(np.searchsorted(reached, TARGET * reached[-1]))][0]
+    return int(min(len(index.books[0]) * index.width, max(2, at + 1)))
 
 
 def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -141,6 +155,8 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         part = nodes.filter(F.col("dim") == r["dim"])
         sample = part.orderBy(F.xxhash64("node")).limit(SAMPLE).select("x").collect()  # a bounded sample trains the codebooks
         index = MultiIndex(np.array([s["x"] for s in sample]), r["n"])
+        asked = part.orderBy(F.xxhash64("node", F.lit(1))).limit(SAMPLE_QUERIES).select("node", "x").collect()  # not those that lie nearest to centres
+        index.visits = calibrated(part, index, np.array([s["node"] for s in asked]), np.array([s["x"] for s in asked]), cosine)
         found = _searched(part, index, cosine)
         sums.append(found.filter("b is null").select(F.col("a").alias("node"), "n"))
         edges.append(found.filter("b is not null").select("a", "b"))
