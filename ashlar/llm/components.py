@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, edges = edges, durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        release(before)
         now = _mark(edges)
         if now == seen:
             break

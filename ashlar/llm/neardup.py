@@ -3,41 +3,46 @@
 A text is its lower-case words; its k-mers are shingles of five words, each
 labelled with its occurrence number. For each of ``SKETCHES`` hash functions the
 ``ORDER`` smallest labelled shingles, put in text order, are hashed to one key:
-texts that share many shingles in the same order share keys.
-
-Equal texts are one node. Nodes that share ``AGREE`` keys or more become
-candidates: all pairs of a bucket of up to ``SMALL`` nodes, keys of larger ones
-counted too; in a larger one every node with the bucket's hub, the node whose
-buckets are fullest, as the original of many copies is. What then lies in one
-large bucket but in several classes is searched again, without sampling, by a
-prefix filter on its shingles, rare ones first: sets of Jaccard similarity
-``SIMILARITY`` share one of the first ``1 - SIMILARITY`` of each, and early enough
-in both. So passages that many texts share bring no pairs, and no pair is lost. A
-pair is linked if the Jaccard similarity of its shingle sets is ``SIMILARITY`` or
-more and an alignment within the band that this allows matches that share of the
-words in order. Classes are the connected components of the links.
+texts that share many shingles in the same order share keys. Equal texts are one
+node; nodes that share ``AGREE`` keys or more are candidates. A candidate is
+linked if the Jaccard similarity of its shingle sets is ``SIMILARITY`` or more and
+an alignment within the band that this allows matches that share of the words in
+order. Classes are the connected components of the links.
+
+Candidates are searched in two steps, which hold for buckets of any size:
+
+1. Every node of a bucket is compared with its hub alone, the node whose buckets
+   are fullest, as the original of many copies is. So the pairs grow with the
+   nodes, and what links is one class.
+2. A pair that is left lies in two classes and shares ``AGREE`` buckets, each of
+   which holds both. The nodes of such buckets (similar sets have similar sizes,
+   so buckets are split by size first) are searched by a prefix filter: of two sets
+   of the similarity ``SIMILARITY`` the first ``1 - SIMILARITY`` of each share a
+   shingle, early enough in both. Rare shingles come first, so passages that many
+   texts share bring no pairs, and of the nodes that hold one shingle those of the
+   largest class meet only the others. This is exact: no link is lost to the size
+   of a bucket, and no pair within one class is tried.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, release, table
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ORDER, SKETCHES, AGREE = 3, 20, 2
-SMALL = 24
-#: Rows of a shingle that are paired with the others of it in one task.
-BLOCK = 256
+#: Rows of one shingle that meet the others of it in one block of the join.
+BLOCK = 1024
 
 _RNG = np.random.default_rng(20_000_003)
 _ODD = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,7 +69,7 @@ class Words:
         for w in words:
             v = get(w)
             if v is None:
-                v = zlib.crc32(w.encode("utf-8", "surrogatepass")) | (len(w) & 0xFFFF) << 32
+                v = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
                 if len(seen) >= self.most:
                     seen.clear()
                 seen[w] = v
@@ -84,29 +89,31 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def sketch(words: np.ndarray) -> np.ndarray:
-    """The keys of a text: one for each hash function, none for no words."""
+def sketch(words: np.ndarray) -> tuple[np.ndarray, int]:
+    """The keys of a text, one for each hash function, none for no words; and the
+    number of its distinct shingles."""
     h = shingle_hashes(words)
     n = len(h)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), 0
     order = np.argsort(h, kind="stable")
     s = h[order]
     first = np.r_[True, s[1:] != s[:-1]]
-    if not first.all():
+    size = int(first.sum())
+    if size < n:
         starts = np.flatnonzero(first)
         occurrence = np.empty(n, np.uint64)
         occurrence[order] = np.arange(n, dtype=np.uint64) - np.repeat(starts, np.diff(np.r_[starts, n])).astype(np.uint64)
         h = _scramble(h + occurrence * _GOLD)
     take = min(ORDER, n)
-    keys = np.zeros(SKETCHES, np.uint64)
+    keys = np.arange(1, SKETCHES + 1, dtype=np.uint64)  # the hash function's number is part of its key
     step = max(1, 400_000 // n)  # hash functions at once, so that long texts need no more memory
     for j in range(0, SKETCHES, step):
         v = h[None, :] * _ODD[j : j + step, None]
         at = np.sort(np.argpartition(v, take - 1, axis=1)[:, :take], axis=1) if take < n else np.tile(np.arange(n), (len(v), 1))
         for p in range(take):
             keys[j : j + step] = _scramble(keys[j : j + step] * _MIX[0] + h[at[:, p]])
-    return keys.view(np.int64)
+    return keys.view(np.int64), size
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -182,7 +189,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words = Words()
     for b in batches:
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "node": b["node"], "keys": [sketch(words(t)) for t in b["text"]]})
+        made = [sketch(words(t)) for t in b["text"]]
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "node": b["node"], "keys": [k for k, _ in made], "size": [n for _, n in made]})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,65 +204,72 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["a", "b"]]
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) that share ``least`` keys or more."""
-    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(nodes.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
-    shared = F.aggregate(F.zip_with("ka", "kb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return both.filter(shared >= least).select("a", "b")
+def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words = Words()
+    for b in batches:
+        yield pd.DataFrame({"node": b["node"], "shingles": [np.unique(shingle_hashes(words(t))).view(np.int64) for t in b["text"]]})
+
+
+def _may_be_alike(a: str, b: str) -> Column:
+    """Sets of these sizes can have the similarity."""
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
+
+
+def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share ``AGREE`` keys or more."""
+    keys = lambda x: nodes.select(F.col("node").alias(x), F.col("keys").alias(f"keys_{x}"))
+    both = pairs.join(keys("b"), "b").join(keys("a"), "a")
+    shared = F.aggregate(F.zip_with("keys_a", "keys_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return both.filter(shared >= AGREE).select("a", "b")
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+    """The pairs (a, b) whose texts are similar. The many ``b`` get their texts
+    first, so that the text of an ``a`` of many pairs is sent once."""
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return durable(joined.mapInPandas(_verified, "a long, b long"), "links")
 
 
 def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, text: one text of each needed node. The join is always partitioned
-    by its keys, so that rows that repeat are grouped without another shuffle."""
+    """node, text: one text of each needed node. They meet on node and id, so a
+    text that many rows repeat is no hot key."""
     gid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("gid")
     text = F.coalesce("text", F.lit(""))
-    first = needed.distinct().join(nodes, "node").select("node", gid)
+    first = needed.join(nodes, "node").select("node", gid)
     texts = docs.select(F.xxhash64(text).alias("node"), gid, text.alias("text"))
     texts = first.join(texts.hint("merge"), ["node", "gid"])
     return durable(texts.groupBy("node", "gid").agg(F.any_value("text").alias("text")).select("node", "text"), "texts")
 
 
-def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = Words()
-    for b in batches:
-        sets = [np.unique(shingle_hashes(words(t))).view(np.int64) for t in b["text"]]
-        yield pd.DataFrame({"node": b["node"], "size": [len(s) for s in sets], "shingles": sets})
-
-
 def _across(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different roots in ``crowd`` (node, root) whose shingle
-    sets can have the similarity ``SIMILARITY``; none that has it is missing.
+    """The pairs (a, b) of different roots in ``crowd`` (node, root, size) whose
+    shingle sets can have the similarity ``SIMILARITY``; none that has it is missing.
 
     Shingles are ordered by the number of texts that hold them. Those of one
     text come first and pair nothing, so only their number is needed.
     """
-    sets = texts.join(crowd.select("node"), "node", "left_semi").mapInPandas(_shingled, "node long, size int, shingles array<long>")
-    each = sets.select("node", "size", F.explode("shingles").alias("shingle"))
+    sets = crowd.select("node", "size").join(texts, "node").select("node", "size", "text")
+    sets = durable(sets.select("node", "text").mapInPandas(_shingled, "node long, shingles array<long>"), "shingles")
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
     held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    order = each.join(held, "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("order"))
-    own = F.col("size") - F.size("order")
+    order = each.join(held, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("order"))
+    order = order.join(crowd, "node").withColumn("own", F.col("size") - F.size("order"))
     first = F.floor(F.col("size") * (1.0 - SIMILARITY) + 1e-9).cast("int") + 1
-    order = order.withColumns({"own": own, "first": first}).filter("first > own")
-    prefix = order.select("node", "size", "own", F.posexplode(F.slice("order", F.lit(1), F.col("first") - F.col("own"))).alias("i", "s"))
-    prefix = prefix.select("node", "size", F.col("s.shingle").alias("shingle"), (F.col("own") + F.col("i")).alias("place"))
-    prefix = durable(prefix.join(crowd, "node"), "prefixes")
-    mixed = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    prefix = prefix.join(mixed.select("shingle", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "shingle")
-    side = lambda x, block: prefix.select("shingle", block.alias("block"), *[F.col(c).alias(x + c) for c in ("node", "root", "size", "place")])
-    left = side("a_", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    right = side("b_", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    prefix = order.withColumn("first", first).filter("first > own").select("node", "root", "size", "own", F.posexplode(F.slice("order", F.lit(1), F.col("first") - F.col("own"))).alias("i", "s"))
+    prefix = durable(prefix.select("node", "root", "size", F.col("s.shingle").alias("shingle"), (F.col("own") + F.col("i")).alias("place")), "prefixes")
+    classes_of = prefix.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle")
+    top = classes_of.agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    prefix = prefix.join(top.select("shingle", "top", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "shingle")
+    side = lambda rows, x, block: rows.select("shingle", block.alias("block"), "top" if x == "a_" else F.col("top").alias("t"), *[F.col(c).alias(x + c) for c in ("node", "root", "size", "place")])
+    left = side(prefix.filter("root <> top"), "a_", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = side(prefix, "b_", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("t")
     # The first shingle that a similar pair has in common leaves enough behind it in both.
     behind = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
     enough = behind * (1.0 + SIMILARITY) >= SIMILARITY * (F.col("a_size") + F.col("b_size")) - 1e-6
-    both = left.join(right, ["shingle", "block"]).filter(F.expr("a_node < b_node and a_root <> b_root") & enough)
-    return both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    both = left.join(right, ["shingle", "block"]).filter(F.expr("a_root <> b_root and (b_root = top or a_node < b_node)") & enough)
+    pair = (F.col("b_node").alias("a"), F.col("a_node").alias("b"))  # a node of the largest class may have many partners
+    return durable(both.select(*pair).distinct(), "across")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -267,42 +282,31 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    signed = durable(rows.mapInPandas(_sketched, "doc_id long, node long, keys array<long>"), "sketches")
-    nodes = durable(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys")), "nodes")
-
-    entries = nodes.select("node", F.posexplode("keys").alias("j", "key"))
-    buckets = entries.groupBy("j", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    entries = durable(entries.join(buckets, ["j", "key"]), "entries")
-    small, large = entries.filter(F.col("n") <= SMALL), entries.filter(F.col("n") > SMALL)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    left = small.select("j", "key", F.col("node").alias("a"))
-    near = left.join(small.select("j", "key", F.col("node").alias("b")), ["j", "key"]).filter("a < b")
-    near = durable(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), "near")
-    # A pair with one small bucket may share its other keys in large ones.
-    crowded = large.select("node").distinct()
-    weak = near.filter(F.col("c") < AGREE).join(crowded.toDF("a"), "a", "left_semi").join(crowded.toDF("b"), "b", "left_semi")
-    near = near.filter(F.col("c") >= AGREE).select("a", "b").unionByName(_agreeing(weak.select("a", "b"), nodes, AGREE))
-    # The hub of a large bucket: the node whose large buckets are fullest in sum (a node has SKETCHES at most).
-    of_node = W.partitionBy("node")
-    large = large.withColumn("fullness", F.sum("n").over(of_node))
-    hubs = large.groupBy("j", "key").agg(F.max(F.struct("fullness", "node"))["node"].alias("hub"))
-    spokes = durable(large.join(hubs, ["j", "key"]).select("j", "key", "node", "hub"), "spokes")
-    star = _agreeing(spokes.filter("node <> hub").select(*pair("node", "hub")).distinct(), nodes, AGREE)
-    pairs = durable(near.unionByName(star).distinct(), "pairs")
-    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(spokes.select("node")), nodes, docs)
-    links = _links(pairs, texts)
-
-    found = components(links)
-
-    # Pairs that are left share AGREE large buckets or more, and each of these holds several classes.
-    placed = spokes.select("j", "key", "node").join(found.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("j", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    crowd = placed.join(mixed, ["j", "key"]).groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= AGREE).select("node", "root")
+    signed = durable(rows.mapInPandas(_sketched, "doc_id long, node long, keys array<long>, size int"), "sketches")
+    nodes = durable(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"), F.any_value("size").alias("size")), "nodes")
+
+    entries = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = durable(entries.join(buckets, "key"), "shared")
+    # The hub of a bucket: the node whose buckets are fullest in sum. A node without AGREE buckets has no candidate.
+    fullness = shared.groupBy("node").agg(F.sum("n").alias("fullness"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= AGREE).select("node", "fullness")
+    shared = durable(shared.join(fullness, "node").select("key", "node", "size", "fullness"), "spokes")
+    hubs = shared.groupBy("key").agg(F.max(F.struct("fullness", "node", "size")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"))
+    star = shared.join(hubs, "key").filter((F.col("node") != F.col("hub")) & _may_be_alike("size", "hub_size"))
+    star = durable(_agreeing(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes), "pairs")
+    texts = _texts(fullness.select("node"), nodes, docs)
+    found = components(_links(star, texts))
+
+    # Each bucket that two classes share, by size: sets of a similarity have sizes of one class or of two that follow.
+    placed = shared.select("key", "node", "size").join(found.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    size_class = F.floor(F.log(F.col("size").cast("double")) / -F.log(F.lit(SIMILARITY)) + 1e-9)
+    placed = placed.withColumn("c", F.explode(F.array(size_class, size_class + 1)))
+    mixed = placed.groupBy("key", "c").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "c")
+    crowd = placed.join(mixed, ["key", "c"]).groupBy("node", "root", "size").agg(F.count_distinct("key").alias("c")).filter(F.col("c") >= AGREE).select("node", "root", "size")
     crowd = durable(crowd, "crowd")
-    if crowd.limit(1).count():
-        fresh = _links(durable(_agreeing(_across(crowd, texts), nodes, AGREE), "pairs"), texts)
-        found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh))
+    fresh = _links(durable(_agreeing(_across(crowd, texts), nodes), "pairs"), texts)
+    found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh))
+    release(texts)
 
     member = nodes.select("node", "doc_id").join(found.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("class_id"))
