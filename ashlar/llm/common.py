@@ -64,9 +64,9 @@ def holdout(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A uniform number in (0, 1) fixed by id and seed: 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary"))
+def uniform(name: Column, seed: str) -> Column:
+    """A uniform number in (0, 1) fixed by name and seed: 52 bits of an MD5."""
+    digest = F.md5(F.concat(name, F.lit(":" + seed)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 

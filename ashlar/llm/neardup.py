@@ -260,7 +260,8 @@ def _across(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     prefix = durable(prefix.select("node", "root", "size", F.col("s.shingle").alias("shingle"), (F.col("own") + F.col("i")).alias("place")), "prefixes")
     classes_of = prefix.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle")
     top = classes_of.agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    prefix = prefix.join(top.select("shingle", "top", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "shingle")
+    top = durable(top.select("shingle", "top", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "tops")  # so that Spark can split the join below
+    prefix = prefix.join(top, "shingle")
     side = lambda rows, x, block: rows.select("shingle", block.alias("block"), "top" if x == "a_" else F.col("top").alias("t"), *[F.col(c).alias(x + c) for c in ("node", "root", "size", "place")])
     left = side(prefix.filter("root <> top"), "a_", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = side(prefix, "b_", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("t")
@@ -305,7 +306,8 @@ def classes(docs: DataFrame) -> DataFrame:
     crowd = placed.join(mixed, ["key", "c"]).groupBy("node", "root", "size").agg(F.count_distinct("key").alias("c")).filter(F.col("c") >= AGREE).select("node", "root", "size")
     crowd = durable(crowd, "crowd")
     fresh = _links(durable(_agreeing(_across(crowd, texts), nodes), "pairs"), texts)
-    found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh))
+    if not fresh.isEmpty():
+        found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(fresh))
     release(texts)
 
     member = nodes.select("node", "doc_id").join(found.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
