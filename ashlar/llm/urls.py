@@ -6,13 +6,17 @@ counted by host and typed path, and the counts of all prefixes form one tree a
 host. In it, a position under which most children are seen once or twice is
 variable: its children become ``*``. Siblings whose share of bad labels does
 not differ (two-proportion z-test) merge into ``~``. What is left is the
-template; it is rejected if the share of bad among its labelled URLs, smoothed
-by a prior, reaches ``REJECT``.
+template; it is rejected if the share of bad labels among all of its URLs,
+smoothed by a prior, reaches ``REJECT``.
 
-Labels: a URL decided by a rule carries the rule's verdict; one whose host or
-path has a word of ``BAD_WORDS`` counts as bad; others are not labelled and
-count only for the tree's shape. Pages are read for their URL alone, and after
-the first grouping the work is on distinct typed paths.
+Labels have two sides. A URL decided by a rule carries the rule's verdict; of the
+others one whose host or path has a word of ``BAD_WORDS`` counts as bad and one
+without as good. So a word alone rejects nothing: a template goes with all its
+URLs if most of them are bad, and stays with all if few are. Labels of the user's
+own (url, bad) take the place of the words where they are given.
+
+Pages are read for their URL alone, and after the first grouping the work is on
+distinct typed paths. Segments below ``LEVELS`` are one last segment, by its hash.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from .common import table
 #: verdict, host, start of path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BAD_WORDS = ("adult", "ads", "bets", "casino", "escort", "gambling", "malware", "phishing", "pills", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx")
-MAX_DEPTH = 8
+LEVELS = 8
 VARIABLE_CHILDREN, VARIABLE_MEAN = 20, 3.0
 MERGE_LABELS, MERGE_Z = 5, 1.96
 PRIOR, STRENGTH, REJECT = 0.05, 4.0, 0.5
@@ -54,19 +58,19 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def typed_path(path: Column) -> Column:
-    """Typed segments, joined by ``/``; what lies below ``MAX_DEPTH`` is ``**``."""
-    typed = F.regexp_replace(F.regexp_replace(F.lower(path), r"[0-9a-f]*[0-9][0-9a-f]{15,}", "{h}"), r"[0-9]+", "{n}")
+    """Typed segments, joined by ``/``; all below ``LEVELS`` are one, their MD5."""
+    typed = F.regexp_replace(F.regexp_replace(F.lower(path), r"[0-9a-f]{16,}", "{h}"), r"[0-9]+", "{n}")
     segments = F.split(F.regexp_replace(typed, r"^/+", ""), "/")
-    short = F.concat(F.slice(segments, 1, MAX_DEPTH), F.when(F.size(segments) > MAX_DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
-    return F.array_join(short, "/")
+    rest = F.array(F.md5(F.array_join(F.slice(segments, F.lit(LEVELS + 1), F.size(segments)), "/")))
+    return F.array_join(F.when(F.size(segments) > LEVELS, F.concat(F.slice(segments, 1, LEVELS), rest)).otherwise(segments), "/")
 
 
 def template_verdicts(urls: DataFrame) -> DataFrame:
     """host, typed, rejected: the method's verdict for every distinct typed path.
 
-    ``urls`` has host, typed, labelled (0 or 1) and bad (0 or 1).
+    ``urls`` has host, typed and bad (0 or 1; null: no label).
     """
-    paths = urls.groupBy("host", "typed").agg(F.count(F.lit(1)).alias("n"), F.sum("labelled").alias("lab"), F.sum("bad").alias("bad"))
+    paths = urls.groupBy("host", "typed").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     segments = F.split("typed", "/")
     steps = paths.select("host", "typed", "n", "lab", "bad", F.posexplode(segments).alias("pos", "seg"))
     steps = steps.withColumn("above", F.array_join(F.slice(F.split("typed", "/"), F.lit(1), F.col("pos")), "/"))
@@ -88,20 +92,24 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     return named.join(templates, ["host", "template"]).select("host", "typed", "rejected")
 
 
-def judge(pages: DataFrame, rules=RULES, bad_words=BAD_WORDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, bad_words=BAD_WORDS, labels: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url).
 
-    Null and malformed URLs have empty host and path; with no label their
-    template keeps the prior, so they are allowed. Repeated rows are judged
-    alike and each counts as a URL; an empty table gives no rows.
+    ``labels`` (url, bad: 0 or 1) replaces the bad words; a URL with both labels
+    has none, and one without label counts only for the tree's shape. Null and
+    malformed URLs have empty host and path and are judged by that template. Repeated
+    rows are judged alike and each counts as a URL; an empty table gives no rows.
     """
     host, path = split_url(F.col("url"))
-    urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
+    urls = pages.select("page_id", "url").select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    lexical = F.lower(F.concat("host", "path")).rlike(f"(^|[^a-z])({'|'.join(bad_words)})([^a-z]|$)")
+    if labels is None:
+        own = F.coalesce(F.lower(F.concat("host", "path")).rlike(f"(^|[^a-z])({'|'.join(bad_words)})([^a-z]|$)").cast("int"), F.lit(0))
+    else:
+        agreed = labels.select("url", F.col("bad").cast("int").alias("own")).groupBy("url").agg(F.min("own").alias("own"), F.max("own").alias("most")).filter("own = most")
+        urls, own = urls.join(agreed.select("url", "own"), "url", "left"), F.col("own")
     urls = urls.withColumns({"rule": rule, "by_rule": verdict, "typed": typed_path(F.col("path"))})
-    urls = urls.withColumn("bad", F.when(F.col("by_rule").isNotNull(), F.col("by_rule") == "block").otherwise(lexical).cast("int"))
-    urls = urls.withColumn("labelled", F.when(F.col("by_rule").isNotNull() | lexical, 1).otherwise(0))
+    urls = urls.withColumn("bad", F.when(F.col("by_rule").isNotNull(), (F.col("by_rule") == "block").cast("int")).otherwise(own))
     decided = urls.filter(F.col("by_rule").isNotNull()).select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"))
     rest = urls.filter(F.col("by_rule").isNull()).join(template_verdicts(urls), ["host", "typed"], "left")
     judged = rest.select("page_id", "host", "path", "rule", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
@@ -125,13 +133,13 @@ with parts as (
       when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
       when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule,
     regexp_matches(lower(host || path), '(^|[^a-z])({"|".join(BAD_WORDS)})([^a-z]|$)') as lexical,
-    string_split(regexp_replace(regexp_replace(regexp_replace(lower(path), '[0-9a-f]*[0-9][0-9a-f]{{15,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g'), '^/+', ''), '/') as segs
+    string_split(regexp_replace(regexp_replace(regexp_replace(lower(path), '[0-9a-f]{{16,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g'), '^/+', ''), '/') as segs
   from urls
 ), labelled as (
-  select *, array_to_string(segs[1:8] || case when len(segs) > 8 then ['**'] else []::varchar[] end, '/') as typed,
+  select *, array_to_string(segs[1:8] || case when len(segs) > 8 then [md5(array_to_string(segs[9:], '/'))] else []::varchar[] end, '/') as typed,
     case rule when 'net/' then 'block' when 'example.com/de/' then 'block' when 'example.net/en/' then 'allow' when 'org/fr/' then 'allow' end as by_rule from ruled
 ), paths as (
-  select host, typed, count(*) as n, sum(case when by_rule is not null or lexical then 1 else 0 end) as lab,
+  select host, typed, count(*) as n, count(*) as lab,
     sum(case when coalesce(by_rule = 'block', lexical) then 1 else 0 end) as bad from labelled group by host, typed
 ), steps as (
   select host, typed, n, lab, bad, pos - 1 as pos, s[pos] as seg, array_to_string(s[1:pos - 1], '/') as above
