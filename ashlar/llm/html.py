@@ -4,10 +4,16 @@ A page is cut into blocks, each with its path of tags and classes from the root.
 Text length and punctuation are summed a path and divided by its number of
 blocks; both ratios are smoothed over the blocks in page order, multiplied, and
 the paths above a threshold (a share of the standard deviation) are content.
-The nearest element that holds nearly all of their weight is the article. All of
-its blocks in page order are the text, but for those inside elements that are no
-article by their tag, class, id or role. Rows are independent, so pages are read
-in Arrow batches and nothing is shuffled.
+
+The article grows from the content paths: it begins with the innermost element
+that holds nearly all of their weight (no list, table or quote), and takes in the
+element around it as long as what that adds is on content paths or a heading. So a
+lead or a title outside the innermost element belongs to it, and a menu or a list
+of links does not. The text is all of its blocks in page order, headings and list
+items as well, but for elements that are no article by tag, role, state (hidden) or
+by a word of their class or id; an element that such a word names but that holds
+most of the page's text is kept. Rows are independent, so pages are read in Arrow
+batches and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -28,7 +34,13 @@ THRESHOLD = 0.5
 SMOOTH = (1, 2, 1)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: A class that says what an element around it has is no name of the element.
+_ABOUT = re.compile(r"(?:^|\s)(?:has|no|with|without)-[^\s]*", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_LISTS = frozenset("ul ol dl li dt dd table thead tbody tfoot tr td th blockquote figure p pre".split()) | _HEADINGS
+MOST = 0.6
 # Fixed values of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes".split())
@@ -53,29 +65,37 @@ _WORDS = re.compile(r"[A-Za-z]+")
 class _Node:
     __slots__ = ("tag", "path", "parent", "skip", "depth")
 
-    def __init__(self, tag: str, key: str, parent: _Node | None, skip: bool, paths: dict[tuple[int, str], int]):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, key: str, parent: _Node | None, aside: str, paths: dict[tuple[int, str], int]):
+        self.tag, self.parent = tag, parent
         self.path = paths.setdefault((parent.path, key), len(paths) + 1) if parent else 0  # equal paths, equal numbers
         self.depth = parent.depth + 1 if parent else 0
+        #: The outermost element around that is no article, and whether only a word says so.
+        self.skip = parent.skip if parent and parent.skip else (self, aside == "word") if aside else None
+
+
+def _attributes(text: str | None) -> dict[str, str]:
+    return {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(text)} if text else {}
 
 
-def _aside(tag: str, attrs: dict[str, str], within_article: bool) -> bool:
-    """The element is no part of an article."""
-    if tag in _SKIP_TAGS or attrs.get("role", "").lower() in _SKIP_ROLES or "hidden" in attrs:
-        return True
+def _aside(tag: str, attrs: dict[str, str], within_article: bool) -> str:
+    """Why the element is no part of an article: by its tag, role or state
+    ("kind"), or by a word of its class or id ("word"); empty if it may be."""
+    if tag in _SKIP_TAGS or attrs.get("role", "").lower() in _SKIP_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(attrs.get("style", "")):
+        return "kind"
     if tag == "header":
-        return not within_article
-    words = {w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get("class", "") + " " + attrs.get("id", "")))}
+        return "" if within_article else "kind"
+    named = _ABOUT.sub(" ", attrs.get("class", "") + " " + attrs.get("id", ""))
+    words = {w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named))}
     if "header" in words and tag not in ("h1", "h2", "h3") and not words & _ARTICLE_WORDS and not within_article:
-        return True
-    return tag not in ("html", "body", "article", "main") and bool(words & _SKIP_WORDS)
+        return "word"
+    return "word" if tag not in ("html", "body", "article", "main") and words & _SKIP_WORDS else ""
 
 
 def blocks(page: str) -> list[tuple[_Node, str]]:
     """Blocks of a page in order: the element that holds them and their text,
     decoded, white space as single spaces; blocks without text are left out."""
     paths: dict[tuple[int, str], int] = {}
-    root = _Node("", "", None, False, paths)
+    root = _Node("", "", None, "", paths)
     stack, found, parts = [root], [], []
     articles = 0
 
@@ -115,12 +135,11 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
                 parts.append(" ")
             elif not m[2]:
                 if tag not in _VOID:
-                    attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[4])} if m[4] else {}
-                    if attrs and _aside(tag, attrs, articles > 0):
+                    attrs = _attributes(m[4])
+                    aside = _aside(tag, attrs, articles > 0) if attrs else ""
+                    if aside:
                         flush()
-                        stack.append(_Node(tag, tag, stack[-1], True, paths))
-                    else:
-                        stack.append(_Node(tag, tag, stack[-1], stack[-1].skip, paths))
+                    stack.append(_Node(tag, tag, stack[-1], aside, paths))
             else:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
@@ -159,11 +178,11 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
                 break
         while stack[-1].tag in _INLINE and not stack[-1].skip:  # unclosed formatting does not nest blocks
             stack.pop()
-        attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[4])} if m[4] else {}
+        attrs = _attributes(m[4])
         key = tag + ("." + ".".join(attrs["class"].split()) if attrs.get("class") else "")
-        skip = stack[-1].skip or _aside(tag, attrs, articles > 0)
+        aside = _aside(tag, attrs, articles > 0)
         articles += tag in ("article", "main")
-        stack.append(_Node(tag, key, stack[-1], skip, paths))
+        stack.append(_Node(tag, key, stack[-1], aside, paths))
     flush()
     return found
 
@@ -190,7 +209,14 @@ def path_scores(found: list[tuple[_Node, str]]) -> dict[int, float]:
 
 def extract(page: str | None) -> str:
     """The article of a page, one line a block; empty if there is none."""
-    found = [(n, t) for n, t in blocks(page or "") if not n.skip]
+    every = blocks(page or "")
+    named: dict[int, int] = defaultdict(int)
+    for node, text in every:
+        if node.skip and node.skip[1]:
+            named[id(node.skip[0])] += len(text)
+    whole = sum(len(t) for _, t in every)
+    kept = {k for k, n in named.items() if n >= MOST * whole}
+    found = [(n, t) for n, t in every if not n.skip or id(n.skip[0]) in kept]
     if not found:
         return ""
     scores = path_scores(found)
@@ -198,29 +224,39 @@ def extract(page: str | None) -> str:
     mean = sum(values) / len(values)
     spread = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
     content = {p for p, v in scores.items() if v >= THRESHOLD * spread} or set(scores)
-    weight: dict[int, float] = defaultdict(float)
+    weight: dict[int, float] = defaultdict(float)  # of content paths, by element
+    foreign: dict[int, int] = defaultdict(int)  # blocks that are neither content nor heading
+    held: dict[int, int] = defaultdict(int)
     nodes: dict[int, _Node] = {}
     total = 0.0
     for node, text in found:
-        if node.path in content:
-            total += len(text)
-            up = node
-            while up is not None:
-                weight[id(up)] += len(text)
-                nodes[id(up)] = up
-                up = up.parent
-    holders = [nodes[k] for k, w in weight.items() if w >= HOLDS * total]
-    articles = [n for n in holders if n.tag in ("article", "main")]
-    # The leaf of a page with one paragraph is not the article: its parent may hold the heading.
-    best = max(articles, key=lambda n: n.depth) if articles else max((n for n in holders if n.tag in _SCOPES or n.parent is None), key=lambda n: n.depth)
-    kept = []
+        on_path = node.path in content
+        total += len(text) * on_path
+        other = not on_path and node.tag not in _HEADINGS
+        up = node
+        while up is not None:
+            k = id(up)
+            weight[k] += len(text) * on_path
+            foreign[k] += other
+            held[k] += 1
+            nodes[k] = up
+            up = up.parent
+    best = max((n for k, n in nodes.items() if weight[k] >= HOLDS * total and n.tag not in _INLINE and n.tag not in _LISTS), key=lambda n: n.depth)
+    up = best.parent
+    while up is not None:
+        if up.tag in _LISTS or foreign[id(up)] == foreign[id(best)]:
+            best = up
+        elif held[id(up)] > held[id(best)]:
+            break
+        up = up.parent
+    out = []
     for node, text in found:
         up = node
         while up is not None and up is not best:
             up = up.parent
         if up is best:
-            kept.append(text)
-    return "\n".join(kept)
+            out.append(text)
+    return "\n".join(out)
 
 
 def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
