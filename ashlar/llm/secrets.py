@@ -5,15 +5,18 @@ or more encoding characters that mixes two of lower case, upper case and digits
 is a candidate. Its encoding is inferred (hexadecimal to base 64), and three
 tests ask whether its symbols could be uniform random draws from that alphabet:
 chi-squared uniformity, runs above and below the middle of the alphabet, and
-lag-one serial correlation. The p-value of a token is Bonferroni's of the three.
-
-Random tokens have uniform p-values, structured ones pile up near 0. So in each
-class of length the number of random tokens is estimated from the upper half of
-the p-values, and the cut is the smallest p at which the share of structured
-tokens above it is estimated at ``MAX_FALSE`` or less, ``LEAST_P`` at least. Long tokens, whose tests
-have more power, thus get another cut than short ones. The p-values are counted
-in ``BINS`` bins a class of length, so nothing grows with the corpus but the
-span rows themselves.
+lag-one serial correlation. A token's p-value is Sidak's of the least of the three,
+``1 - (1 - p) ** 3``, which is uniform for random tokens.
+
+Structured ones pile up near 0. So in each class of length the number of random
+tokens is estimated from the upper half of the p-values, and the cut is the
+smallest p at which the share of structured tokens above it is estimated at
+``MAX_FALSE`` or less, ``LEAST_P`` at least. Long tokens, whose tests have more
+power, thus get another cut than short ones. Classes of fewer than ``SUPPORT``
+tokens are estimated together; if these are fewer as well, no share can be
+estimated and the cut is ``LEAST_P``, the plain test of each token. The p-values are
+counted in ``BINS`` bins a class of length, so nothing grows with the corpus but
+the span rows themselves.
 
 Everything is DataFrame functions. Positions count code points.
 """
@@ -37,6 +40,7 @@ KINDS = ("assign", "access", "hex", "random")
 BINS = 100
 MAX_FALSE = 0.05
 LEAST_P = 0.01
+SUPPORT = 100
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings in the order in which they are tried: pattern and alphabet.
@@ -89,7 +93,7 @@ def battery(token: Column) -> Column:
         mean = (k - 1.0) / 2.0
         serial = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["a"] - mean) * (p["b"] - mean))
         z_serial = serial / (F.sqrt(n - 1.0) * (k * k - 1.0) / 12.0)
-        return F.least(F.lit(1.0), 3.0 * F.least(two_sided(z_chi), two_sided(z_runs), two_sided(z_serial)))
+        return 1.0 - F.pow(1.0 - F.least(F.lit(1.0), two_sided(z_chi), two_sided(z_runs), two_sided(z_serial)), F.lit(3.0))
 
     codes = F.transform(F.split(body, ""), lambda c: (F.instr(inferred, c) - 1).cast("double"))
     state = F.array(F.struct(codes.alias("codes"), F.length(inferred).cast("double").alias("k")))
@@ -123,15 +127,22 @@ def matches(docs: DataFrame) -> DataFrame:
 
 
 def cuts(spans: DataFrame) -> DataFrame:
-    """For each class of length (a power of two) the p-value from which on a
-    token counts as random; see the module's text. No row: no token does."""
+    """length_class, cut: for each class of length (a power of two) the p-value
+    from which on a token counts as random; see the module's text. Null: none does."""
     bins = spans.filter("kind = 3").groupBy("length_class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    down = W.partitionBy("length_class").orderBy(F.col("bin").desc())
-    whole = W.partitionBy("length_class")
-    above = F.sum("n").over(down)
+    alone = F.sum("n").over(W.partitionBy("length_class")) >= SUPPORT
+    bins = bins.withColumn("pool", F.when(alone, F.col("length_class")).otherwise(-1))
+    pools = bins.groupBy("pool", "bin").agg(F.sum("n").alias("n"))
+    above = F.sum("n").over(W.partitionBy("pool").orderBy(F.col("bin").desc()))
+    whole = W.partitionBy("pool")
     rate = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(whole) * 2.0
     false = 1.0 - rate * (1.0 - F.col("bin") / float(BINS)) / above
-    return bins.withColumn("false", false).filter(F.col("false") <= MAX_FALSE).groupBy("length_class").agg(F.greatest(F.min("bin") / float(BINS), F.lit(LEAST_P)).alias("cut"))
+    pools = pools.withColumn("false", false).withColumn("known", F.sum("n").over(whole) >= SUPPORT)
+    cut = F.when(F.max("known"), F.greatest(F.min(F.when(F.col("false") <= MAX_FALSE, F.col("bin"))) / float(BINS), F.lit(LEAST_P))).otherwise(F.lit(LEAST_P))
+    # greatest() leaves nulls out, so a pool without any such bin is asked for by itself.
+    none = F.max("known") & (F.count_if(F.col("false") <= MAX_FALSE) == 0)
+    found = pools.groupBy("pool").agg(F.when(~none, cut).alias("cut"))
+    return bins.select("length_class", "pool").distinct().join(found, "pool").select("length_class", "cut")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -184,7 +195,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     text = F.col("text")
     tokens = docs.select(F.explode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("hit")).filter(mixed(F.col("hit")))
     measured = tokens.select(F.lit(3).alias("kind"), F.floor(F.log2(F.length("hit").cast("double"))).cast("int").alias("length_class"), battery(F.col("hit")).alias("p"))
-    bounds = {r["length_class"]: r["cut"] for r in cuts(measured).collect()}
+    bounds = {r["length_class"]: r["cut"] for r in cuts(measured).collect() if r["cut"] is not None}
     cut = F.array(*[F.lit(bounds.get(k, 2.0)) for k in range(32)])
 
     def rewritten(text: Column, pattern: str, secret) -> Column:
@@ -234,11 +245,15 @@ sums as (select *, list_sum(list_transform(list_distinct(codes), lambda c: power
 tests as (select *, (power(greatest(k / n * counted - n, 0.0::double) / (k - 1), 1.0::double / 3.0::double) - (1.0::double - 2.0::double / (9.0::double * (k - 1)))) / sqrt(2.0::double / (9.0::double * (k - 1))) as za,
   (changes - (n - 1) / 2) / sqrt((n - 1) / 4) as zb, serial / (sqrt(n - 1) * (k * k - 1) / 12) as zc from sums),
 tails as (select *, 1.0::double / (1.0::double + 0.3275911::double * abs(za) / sqrt(2.0::double)) as t_za, 1.0::double / (1.0::double + 0.3275911::double * abs(zb) / sqrt(2.0::double)) as t_zb, 1.0::double / (1.0::double + 0.3275911::double * abs(zc) / sqrt(2.0::double)) as t_zc from tests),
-judged as (select rid, start, stop, floor(log2(length(hit)))::int as length_class, least(1.0::double, 3.0::double * least({tail("za")}, {tail("zb")}, {tail("zc")})) as p from tails),
+judged as (select rid, start, stop, floor(log2(length(hit)))::int as length_class, 1.0::double - power(1.0::double - least(1.0::double, {tail("za")}, {tail("zb")}, {tail("zc")}), 3.0::double) as p from tails),
 bins as (select length_class, least(floor(p * {BINS}), {BINS - 1})::bigint as bin, count(*) as n from judged group by all),
-shares as (select *, 1.0::double - sum(case when bin >= {BINS // 2} then n else 0 end) over (partition by length_class) * 2.0::double * (1.0::double - bin / {float(BINS)}::double)
-  / sum(n) over (partition by length_class order by bin desc) as false_share from bins),
-cuts as (select length_class, greatest(min(bin) / {float(BINS)}::double, {LEAST_P}::double) as cut from shares where false_share <= {MAX_FALSE}::double group by length_class),
+pooled as (select *, case when sum(n) over (partition by length_class) >= {SUPPORT} then length_class else -1 end as pool from bins),
+pools as (select pool, bin, sum(n) as n from pooled group by all),
+shares as (select *, 1.0::double - sum(case when bin >= {BINS // 2} then n else 0 end) over (partition by pool) * 2.0::double * (1.0::double - bin / {float(BINS)}::double)
+  / sum(n) over (partition by pool order by bin desc) as false_share, sum(n) over (partition by pool) >= {SUPPORT} as known from pools),
+pool_cuts as (select pool, case when not any_value(known) then {LEAST_P}::double else greatest(min(bin) filter (false_share <= {MAX_FALSE}::double) / {float(BINS)}::double, {LEAST_P}::double) end as cut,
+  any_value(known) and count(*) filter (false_share <= {MAX_FALSE}::double) = 0 as none_passes from shares group by pool),
+cuts as (select distinct length_class, cut from pooled join pool_cuts using (pool) where not none_passes),
 spans as (select rid, kind, start, stop from kept where kind < 3
   union all select j.rid, 3, j.start, j.stop from judged j join cuts c using (length_class) where j.p >= c.cut and not exists (select 1 from kept b where b.kind < 3 and b.rid = j.rid and b.start < j.stop and j.start < b.stop))
 select any_value(d.doc_id) as doc_id, count(*) filter (kind = 0)::bigint as n_assign, count(*) filter (kind = 1)::bigint as n_access, count(*) filter (kind = 2)::bigint as n_hex, count(*) filter (kind = 3)::bigint as n_random,
