@@ -5,20 +5,21 @@ and inner dots only) and mapped to the identifier of a known licence sentence.
 The identifiers in text order, with a break where more than ``MAX_GAP`` other
 sentences lie between two, are matched against licence rules in order: first the
 rules of several sentences, which consume what they match, then grants and tags,
-which name a licence by themselves. Everything is DataFrame functions; only
-texts with a word of ``TRIGGER`` are cut.
+which name a licence by themselves. Everything is DataFrame functions. Only texts
+in which a known sentence can begin are cut: ``TRIGGER`` is made of the catalogue
+itself, so it leaves nothing out.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 MAX_GAP = 2
-TRIGGER = r"(?i)licen[cs]|permission|redistribut|warrant|spdx|public\s+domain|\bgpl|\bcc[ -]by"
-
 # Licence identifiers and the names by which grants call them, as
 # patterns over normalised text.
 _NAMES = (
@@ -57,18 +58,32 @@ SENTENCES = (
     ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
-    ("bsd-endorse", "neither the name of"),
+    ("bsd-endorse", "neither the name of * may be used to endorse or promote products derived from this software"),
     ("bsd-as-is", "this software is provided by the copyright holders and contributors as is"),
     ("apache-use", "you may not use this file except in compliance with the license"),
     ("apache-obtain", "you may obtain a copy of the license at"),
     ("apache-as-is", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("agpl-free-3", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license * version 3"),
+    ("lgpl-free-2.1", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license * version 2.1"),
+    ("lgpl-free-3", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license * version 3"),
+    ("gpl-free-2", "free software you can redistribute it and or modify it under the terms of the gnu general public license * version 2"),
+    ("gpl-free-3", "free software you can redistribute it and or modify it under the terms of the gnu general public license * version 3"),
+    ("lgpl-redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl-either-2.1", "either version 2.1 of the license or at your option any later version"),
+    ("gpl-either-2", "either version 2 of the license or at your option any later version"),
+    ("gpl-either-3", "either version 3 of the license or at your option any later version"),
     ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("gpl-hope", "this program is distributed in the hope that it will be useful but without any warranty"),
     ("gpl-copy", "you should have received a copy of the gnu general public license along with this program"),
     ("mpl-form", "this source code form is subject to the terms of the mozilla public license v. 2.0"),
     ("mpl-copy", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("public-domain", "this is free and unencumbered software released into the public domain"),
 )
+#: Where a known sentence can begin in a raw text: a grant or a tag, or a sentence's first three words with any signs between.
+_VERBS = "licen[cs]ed|released|distributed|published|available|provided|redistributed"
+TRIGGER = r"(?i)(?:" + "|".join([rf"(?:{_VERBS})[^A-Za-z0-9]+under\b", r"spdx[^A-Za-z0-9]+licen[cs]e", *sorted({"[^A-Za-z0-9]+".join(start.split()[:3]) for _, start in SENTENCES})]) + ")"
+
 #: Rules in order: licence and the sequence of sentences that states it.
 RULES = (
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
@@ -79,6 +94,16 @@ RULES = (
     ("Apache-2.0", ("grant=Apache-2.0", "apache-use", "apache-obtain", "apache-as-is")),
     ("Apache-2.0", ("grant=Apache-2.0", "apache-use", "apache-obtain")),
     ("Apache-2.0", ("grant=Apache-2.0", "apache-use")),
+    ("AGPL-3.0", ("agpl-free-3",)),
+    ("LGPL-2.1", ("lgpl-free-2.1",)),
+    ("LGPL-3.0", ("lgpl-free-3",)),
+    ("GPL-2.0", ("gpl-free-2", "gpl-hope", "gpl-copy")),
+    ("GPL-2.0", ("gpl-free-2",)),
+    ("GPL-2.0", ("gpl-redistribute", "gpl-either-2")),
+    ("LGPL-2.1", ("lgpl-redistribute", "lgpl-either-2.1")),
+    ("GPL-3.0", ("gpl-free-3", "gpl-hope", "gpl-copy")),
+    ("GPL-3.0", ("gpl-free-3",)),
+    ("GPL-3.0", ("gpl-redistribute", "gpl-either-3")),
     ("GPL", ("gpl-free", "gpl-hope", "gpl-copy")),
     ("GPL", ("gpl-free", "gpl-hope")),
     ("MPL-2.0", ("mpl-form", "mpl-copy")),
@@ -86,6 +111,7 @@ RULES = (
     ("MIT", ("mit-grant",)),
     ("ISC", ("isc-grant",)),
     ("GPL", ("gpl-free",)),
+    ("GPL", ("gpl-redistribute",)),
     ("MPL-2.0", ("mpl-form",)),
     ("Unlicense", ("public-domain",)),
 )
@@ -108,8 +134,9 @@ def identify(sentence: Column) -> Column:
     tag = F.regexp_extract(sentence, rf"{_TAG}([a-z0-9. ]+)$", 1)
     for name, _ in NAMES:
         found = F.when(tag == name.lower().replace("-", " "), F.lit(f"tag={name}")).otherwise(found)
-    for name, start in SENTENCES:
-        found = F.when(sentence.contains(start), F.lit(name)).otherwise(found)
+    for name, start in reversed(SENTENCES):
+        stated = sentence.contains(start) if "*" not in start else sentence.rlike(".*".join(re.escape(part) for part in start.split("*")))
+        found = F.when(stated, F.lit(name)).otherwise(found)
     return found
 
 
@@ -141,7 +168,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     pieces = F.transform(F.split(text, BOUNDARY, -1), lambda s, i: F.struct(i.alias("pos"), s.alias("s")))
-    likely = F.transform(F.filter(pieces, lambda p: p["s"].rlike(TRIGGER + r"|(?i)this program|this source code|this list of|name of|applicable law|compliance|hereby|provided|free software|mpl\b|software")), lambda p: F.struct(p["pos"].alias("pos"), normalise(p["s"]).alias("s")))
+    likely = F.transform(F.filter(pieces, lambda p: p["s"].rlike(TRIGGER)), lambda p: F.struct(p["pos"].alias("pos"), normalise(p["s"]).alias("s")))
     known = F.filter(F.transform(likely, lambda p: F.struct(p["pos"].alias("pos"), identify(p["s"]).alias("id"))), lambda p: p["id"].isNotNull())
     none = F.array().cast("array<struct<pos:int,id:string>>")
     found = docs.select("doc_id", F.when(text.rlike(TRIGGER), known).otherwise(none).alias("known"))
