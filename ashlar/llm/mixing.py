@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document gets an exponential key ``-ln(u) / w``: ``u`` is fixed by its
-id, ``w`` is its quality weight. Within its source the documents are ordered by
+Every document gets an exponential key ``-ln(u) / w``: ``u`` is fixed by its id
+and text, so that rows that repeat an id, or have none, spread over all keys;
+``w`` is its quality weight. Within its source the documents are ordered by
 key and their sizes prefix-summed to the source's budget; before that, whole
 epochs are taken while the budget holds the whole source.
 
@@ -66,14 +67,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, weight: Column |
     the whole epochs of its source, once more if the fractional epoch selects
     it. The document in which a budget ends is taken if that brings the source
     nearer to its target. A null text has size 0; a null source is a source of
-    its own, the last; rows that repeat an id are documents of their own, with
-    the same key (ties go by id, then size); an empty table gives no rows.
+    its own, the last; rows that repeat an id are documents of their own, and
+    only rows of equal id and text have the same key (ties go by id, then size);
+    an empty table gives no rows.
     Other columns of ``docs`` are not read.
     """
     text = F.col("text")
     rows = docs.select("doc_id", "source", text, words(text).alias("size"))
     weight = quality_weight(text, F.col("size")) if weight is None else weight
-    key = -F.log(uniform(F.col("doc_id"), seed)) / weight
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    key = -F.log(uniform(named, seed)) / weight
     skey = F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit("")))
     rows = durable(rows.select("doc_id", "source", "size", skey.alias("skey"), key.alias("key")), "mix")
 
@@ -109,10 +112,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, length(text) as chars from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, length(text) as chars, md5(coalesce(text, '')) as digest from documents
 ), keyed as (
   select doc_id, source, size, case when source is null then '1' else '0' end || coalesce(source, '') as skey,
-    -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':mix-1'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
+    -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || digest || ':mix-1'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
       / coalesce(case when size > 0 then 0.25::double + 0.75::double / (1.0::double + abs(chars / size - 6.5::double) / 6.5::double) end, 0.25::double) as key
   from sized
 ), stats as (
