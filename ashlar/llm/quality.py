@@ -82,15 +82,17 @@ def features(text: str | None) -> list[float]:
 @dataclass
 class Model:
     means: np.ndarray
-    factors: np.ndarray
+    #: Inverse Cholesky factors of the class covariances, and the logarithms of their determinants.
+    whiten: np.ndarray
+    log_dets: np.ndarray
     log_priors: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 for each row."""
         density = []
         for c in range(2):
-            z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
-            density.append(-0.5 * (z * z).sum(0) - np.log(np.diag(self.factors[c])).sum() + self.log_priors[c])
+            z = (x - self.means[c]) @ self.whiten[c].T
+            density.append(-0.5 * (z * z).sum(1) - self.log_dets[c] + self.log_priors[c])
         return 1.0 / (1.0 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
@@ -138,7 +140,8 @@ def fit(vecs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Mod
         mean, cov = moments(total[c] if n[c] else everything)
         means.append(mean)
         factors.append(np.linalg.cholesky((1.0 - shrinkage) * cov + shrinkage * pooled + 1e-9 * np.eye(d)))
-    return Model(np.array(means), np.array(factors), np.log((n + 1.0) / (n.sum() + 2.0)))
+    eye = np.eye(d)
+    return Model(np.array(means), np.array([np.linalg.solve(f, eye) for f in factors]), np.array([np.log(np.diag(f)).sum() for f in factors]), np.log((n + 1.0) / (n.sum() + 2.0)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
