@@ -20,7 +20,7 @@ WEIGHTS = {
     "notebook": 0.20, "corroborated": 0.60, "well_corroborated": 0.90, "long_match": 0.30, "test": -1.40, "history": -0.40, "docs": -0.80, "very_short": -0.40,
 }
 LABELS = {1: "Critical", 2: "High", 3: "Medium", 4: "Low"}
-#: Rules that stay critical in any context; a parameter in the functions.
+#: Rules that stay critical in any context (fixed values; a parameter in the functions).
 ALWAYS_CRITICAL = ("hardcoded_key", "openai_key_pattern", "anthropic_key_pattern", "hardcoded_credential", "aws_access_key", "unsafe_code_exec", "unsafe_pickle_model")
 
 
@@ -82,7 +82,7 @@ def production_relevance() -> Column:
     base = F.when(ctx == "production", 85).when(ctx == "docs", 15).when(ctx == "test", 30).when(ctx == "deleted_file", 10).otherwise(50)
     add = F.when(sev == 1, 12).when(sev == 2, 8).when(sev == 3, 3).otherwise(0)
     held = F.when(F.col("policy_status").isin("CRITICAL", "BANNED", "RESTRICTED"), 6).otherwise(0)
-    doc = F.when(F.lower("file").rlike(r"\.(md|rst|txt|adoc)$"), 15).otherwise(0)
+    doc = F.when(F.lower("file").rlike(r"\.(md|mdx|rst|txt|adoc)$"), 15).otherwise(0)
     return clamp(base + add + held - doc, 0, 100)
 
 

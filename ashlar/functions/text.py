@@ -16,6 +16,18 @@ def clamp(c: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def _sums_before(values: Column, chunk: int = 256) -> Column:
+    """The sum of all values before each one. Sums run within chunks and over the
+    chunks' totals, so that arrays that grow by appending stay short."""
+    start = lambda at: F.struct(at.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    run = lambda xs, at: F.aggregate(xs, start(at), step)["out"]
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / chunk).cast("int")), lambda i: F.slice(values, i * chunk + 1, F.lit(chunk)))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    joined = F.transform(F.array(F.struct(chunks.alias("c"))), lambda s: F.flatten(F.zip_with(s["c"], run(F.transform(s["c"], total), F.lit(0)), run)))[0]
+    return F.when(F.size(values) > 0, joined).otherwise(F.array().cast("array<bigint>"))
+
+
 def match_array(c: Column, pattern: str) -> Column:
     """Array of (start 0-based, line 1-based, match) of the non-overlapping matches.
 
@@ -24,15 +36,14 @@ def match_array(c: Column, pattern: str) -> Column:
     """
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.slice(F.split(c, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), breaks(g).alias("gl"), F.length(h).alias("h"), breaks(h).alias("hl")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<start:int,line:int>>").alias("out"))
+    gaps = F.slice(F.split(c, pattern, -1), F.lit(1), F.size(hits))
+    sizes = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).cast("long").alias("g"), breaks(g).cast("long").alias("gl"), (F.length(g) + F.length(h)).cast("long").alias("all"), (breaks(g) + breaks(h)).cast("long").alias("lines"), h.alias("match")))
 
-    def step(acc: Column, x: Column) -> Column:
-        here = F.struct((acc["at"] + x["g"]).alias("start"), (acc["line"] + x["gl"]).alias("line"))
-        return F.struct((acc["at"] + x["g"] + x["h"]).alias("at"), (acc["line"] + x["gl"] + x["hl"]).alias("line"), F.array_append(acc["out"], here).alias("out"))
+    def placed(x: Column) -> Column:
+        before = F.arrays_zip(x.alias("x"), _sums_before(F.transform(x, lambda s: s["all"])).alias("at"), _sums_before(F.transform(x, lambda s: s["lines"])).alias("line"))
+        return F.transform(before, lambda b: F.struct((b["at"] + b["x"]["g"]).cast("int").alias("start"), (b["line"] + b["x"]["gl"] + 1).cast("int").alias("line"), b["x"]["match"].alias("match")))
 
-    places = F.aggregate(sizes, start, step)["out"]
-    return F.when(c.rlike(pattern), F.zip_with(places, hits, lambda o, h: F.struct(o["start"].alias("start"), o["line"].alias("line"), h.alias("match"))))
+    return F.when(c.rlike(pattern), F.transform(F.array(sizes), placed)[0])
 
 
 def matches(df: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:

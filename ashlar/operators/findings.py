@@ -83,12 +83,12 @@ def summary(df: DataFrame) -> DataFrame:
 def secret_flow(df: DataFrame, secret: Column, usage: Column, key: list[str], per_kind: int = 2) -> DataFrame:
     """Files with both a secret and an AI use: evidence is the first rules of each
     kind by line; one synthetic finding a file."""
-    line = F.struct("line", "rule")
     flagged = df.withColumn("__s", secret).withColumn("__u", usage)
-    got = flagged.groupBy(*key).agg(
-        F.array_sort(F.collect_set(F.when(F.col("__s"), line))).alias("s"), F.array_sort(F.collect_set(F.when(F.col("__u"), line))).alias("u"), F.min("line").alias("line"), F.max((F.col("context") == "production").cast("int")).alias("prod"),
-    )
-    got = got.filter((F.size("s") > 0) & (F.size("u") > 0))
+    files = flagged.groupBy(*key).agg(F.min("line").alias("line"), F.max((F.col("context") == "production").cast("int")).alias("prod"))
+    places = flagged.select(*key, F.explode(F.array_compact(F.array(F.when(F.col("__s"), "s"), F.when(F.col("__u"), "u")))).alias("__k"), F.struct("line", "rule").alias("__p")).distinct()
+    places = rows_by_rank(places, [*key, "__k"], ["__p"], per_kind)  # a file of many findings sends a few
+    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("__k") == k, F.col("__p")))).alias(k)
+    got = files.join(places.groupBy(*key).agg(of("s"), of("u")), key).filter((F.size("s") > 0) & (F.size("u") > 0))
     names = lambda c: F.transform(F.slice(c, 1, per_kind), lambda x: x["rule"])
     return got.select(*key, "line", F.array_join(F.concat(names("s"), names("u")), ",").alias("evidence"), F.when(F.col("prod") == 1, 1).otherwise(2).alias("severity"), F.when(F.col("prod") == 1, 95).otherwise(88).alias("confidence"))
 

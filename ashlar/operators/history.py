@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import risk_score
@@ -26,9 +27,11 @@ def resolve_status(triage_status: str, fixed_at: str, last_seen: str):
 
 
 def last_scan_of_repo(scans: DataFrame, n: int = 1) -> DataFrame:
-    """The n-th latest scan of each (project, repo), as of any later scan."""
-    rows = scans.groupBy("project_key", "repo").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("started_at", "scan_id")))), n, 1).alias("s"))
-    return rows.filter(F.size("s") > 0).select("project_key", "repo", F.col("s")[0]["scan_id"].alias("scan_id"), F.col("s")[0]["started_at"].alias("started_at"))
+    """The n-th latest scan of each (project, repo), as of any later scan. Tasks
+    keep the n latest of each repo before rows are sent."""
+    latest = W.partitionBy("project_key", "repo").orderBy(F.desc("started_at"), F.desc("scan_id"))
+    rows = scans.select("project_key", "repo", "scan_id", "started_at").withColumn("__n", F.row_number().over(latest)).filter(F.col("__n") <= n)
+    return rows.filter(F.col("__n") == n).drop("__n")
 
 
 def latest_two(scans: DataFrame) -> DataFrame:
@@ -76,8 +79,8 @@ def model_failures(scans: DataFrame) -> DataFrame:
 def new_and_fixed(findings: DataFrame, scans: DataFrame) -> DataFrame:
     """For each scan of a repo the findings that its previous scan did not have,
     and those of the previous that it does not have."""
-    order = scans.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("started_at", "scan_id"))).alias("s"))
-    steps = order.select("repo", F.posexplode("s").alias("n", "x"), "s").select("repo", F.col("x.scan_id").alias("scan_id"), F.when(F.col("n") > 0, F.get("s", F.col("n") - 1)["scan_id"]).alias("previous_id"))
+    in_order = W.partitionBy("repo").orderBy("started_at", "scan_id")
+    steps = scans.select("repo", "scan_id", F.lag("scan_id").over(in_order).alias("previous_id"))
     seen = findings.select("scan_id", "hash").distinct()
     now = steps.join(seen, "scan_id")
     then = steps.filter("previous_id is not null").join(seen.withColumnRenamed("scan_id", "previous_id"), "previous_id").select("scan_id", "hash").withColumn("had", F.lit(1))

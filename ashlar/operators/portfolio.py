@@ -19,12 +19,25 @@ def attribute_rollup(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(F.explode(F.flatten(F.array(*parts))).alias("x")).groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def tag_classes(df: DataFrame, key: str, tags: str) -> DataFrame:
+    """``df`` with ``rep``: the least key of all rows that have the same tags."""
+    rows = df.withColumn("__tags", F.array_sort(F.array_distinct(tags)))
+    reps = rows.groupBy("__tags").agg(F.min(key).alias("rep"))
+    return rows.join(reps, "__tags").drop("__tags")
+
+
 def overlaps(df: DataFrame, key: str, tags: str, least: int) -> DataFrame:
-    """Pairs of repos that share ``least`` or more tags. They meet on a tag, so
-    repos without a common one are never paired."""
-    rows = df.select(F.col(key).alias("k"), F.explode(F.array_distinct(tags)).alias("t"))
-    pairs = rows.select(F.col("k").alias("a"), "t").join(rows.select(F.col("k").alias("b"), "t"), "t").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    """a, b, shared, pairs: classes of rows of equal tags (see ``tag_classes``) that
+    share ``least`` tags or more, and the number of pairs of rows that they stand
+    for; a class with itself counts its own pairs. Classes meet on a tag, so rows
+    that many others equal are never paired, and what is joined is bounded by the
+    distinct sets of tags."""
+    sets = df.groupBy(F.array_sort(F.array_distinct(tags)).alias("s")).agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n"))
+    rows = sets.select("k", "n", F.explode("s").alias("t"))
+    both = rows.select(F.col("k").alias("a"), F.col("n").alias("na"), "t").join(rows.select(F.col("k").alias("b"), F.col("n").alias("nb"), "t"), "t").filter("a <= b")
+    both = both.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).filter((F.col("shared") >= least) & F.expr("a < b or na > 1"))
+    pairs = F.when(F.col("a") == F.col("b"), F.floor(F.col("na") * (F.col("na") - 1) / 2)).otherwise(F.col("na") * F.col("nb")).cast("long")
+    return both.select("a", "b", "shared", pairs.alias("pairs"))
 
 
 def two_cycles(edges: DataFrame) -> DataFrame:
@@ -68,10 +81,20 @@ def snapshot_drift(latest: DataFrame, previous: DataFrame, key: str, value: str)
     return out.filter((F.size("added") > 0) | (F.size("removed") > 0))
 
 
+PEEL = 2
+
+
 def import_cycles(edges: DataFrame) -> DataFrame:
     """group, cycle: the cycles closed by back edges of a depth-first search in
     order of name, each rotated to begin with its least node. ``edges`` has
-    group, src and dst; one task holds the edges of one repository."""
+    group, src and dst. The order of a search is one sequence by nature, so one
+    task holds the edges of one repository, but only those that can lie on a cycle:
+    edges into or out of nodes without a way back or forth are peeled off first,
+    ``PEEL`` layers of them."""
+    for _ in range(PEEL):
+        edges = edges.join(edges.select("group", F.col("src").alias("dst")).distinct(), ["group", "dst"], "left_semi")
+        edges = edges.join(edges.select("group", F.col("dst").alias("src")).distinct(), ["group", "src"], "left_semi")
+    edges = edges.select("group", "src", "dst")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         graph: dict[str, list[str]] = {}

@@ -33,10 +33,10 @@ CTE = {
     "profiles": """profiles as (
   select concat('repo_', cast(c_custkey as varchar(12))) as repo, c_custkey as ord, n_name as owner, concat('P', cast(c_custkey % 5 as varchar(12))) as project_key,
     c_mktsegment as segment, case when c_custkey % 6 = 0 then 'ui' when c_custkey % 6 = 1 then 'api' when c_custkey % 6 = 2 then 'worker' when c_custkey % 6 = 3 then 'platform' else 'service' end as role,
-    c_acctbal as balance from customer join nation on c_nationkey = n_nationkey where c_custkey <= 120)""",
+    c_acctbal as balance from customer join nation on c_nationkey = n_nationkey)""",
     "edges": """edges as (
   select distinct concat('repo_', cast(l_suppkey % 50 as varchar(12))) as src, concat('repo_', cast(l_partkey % 50 as varchar(12))) as dst
-  from lineitem where l_partkey % 50 <> l_suppkey % 50 and l_linenumber = 1 and l_orderkey % 97 < 2)""",
+  from lineitem where l_partkey % 50 <> l_suppkey % 50)""",
 }
 _NEEDS = {"findings": ("scans",), "triage": ("scans", "findings"), "scans": (), "files": (), "lists": (), "profiles": (), "edges": ()}
 
@@ -100,11 +100,11 @@ class Corpus:
     def profiles(self) -> DataFrame:
         k = F.col("c_custkey")
         role = F.when(k % 6 == 0, "ui").when(k % 6 == 1, "api").when(k % 6 == 2, "worker").when(k % 6 == 3, "platform").otherwise("service")
-        rows = self.table("customer").filter(k <= 120).join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        rows = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         return rows.select(F.concat(F.lit("repo_"), k.cast("string")).alias("repo"), k.alias("ord"), F.col("n_name").alias("owner"), F.concat(F.lit("P"), (k % 5).cast("string")).alias("project_key"), F.col("c_mktsegment").alias("segment"), role.alias("role"), F.col("c_acctbal").alias("balance"))
 
     def edges(self) -> DataFrame:
         a, b = F.col("l_suppkey") % 50, F.col("l_partkey") % 50
-        rows = self.table("lineitem").filter((a != b) & (F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 97 < 2))
+        rows = self.table("lineitem").filter(a != b)
         name = lambda c: F.concat(F.lit("repo_"), c.cast("string"))
         return rows.select(name(a).alias("src"), name(b).alias("dst")).distinct()

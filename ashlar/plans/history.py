@@ -131,11 +131,23 @@ def owner_rollups(c):
     return pf.owner_rollup(c.profiles())
 
 
-@query("""with t as (select repo, unnest([concat('o:', owner), concat('s:', segment), concat('r:', role)]) as tag from profiles)
-select a.repo as a, b.repo as b, count(*)::bigint as shared from t a join t b on a.tag = b.tag and a.repo < b.repo group by all having count(*) >= 2""", "profiles")
+@query("""with k as (select list_sort(list_distinct([concat('o:', owner), concat('s:', segment), concat('r:', role)])) as tags, min(repo) as repo, count(*)::bigint as n from profiles group by all),
+t as (select repo, n, unnest(tags) as tag from k)
+select a.repo as a, b.repo as b, count(*)::bigint as shared, case when a.repo = b.repo then a.n * (a.n - 1) / 2 else a.n * b.n end::bigint as pairs
+from t a join t b on a.tag = b.tag and a.repo <= b.repo group by a.repo, b.repo, a.n, b.n having count(*) >= 2 and (a.repo < b.repo or a.n > 1)""", "profiles")
 def overlap_pairs(c):
+    """Pairs of classes of repos with equal tags; overlap_classes has their members."""
+    return pf.overlaps(_tagged(c), "repo", "tags", 2)
+
+
+@query("""select repo, min(repo) over (partition by tags) as class from (select repo, list_sort(list_distinct([concat('o:', owner), concat('s:', segment), concat('r:', role)])) as tags from profiles)""", "profiles")
+def overlap_classes(c):
+    return pf.tag_classes(_tagged(c), "repo", "tags").select("repo", F.col("rep").alias("class"))
+
+
+def _tagged(c):
     tags = F.array(F.concat(F.lit("o:"), "owner"), F.concat(F.lit("s:"), "segment"), F.concat(F.lit("r:"), "role"))
-    return pf.overlaps(c.profiles().select("repo", tags.alias("tags")), "repo", "tags", 2)
+    return c.profiles().select("repo", tags.alias("tags"))
 
 
 @query("select src, dst from edges", "edges")
@@ -174,7 +186,7 @@ def short_cycles(c):
 @query()
 def import_cycles(c):
     """Depth-first back-edge cycles of each repository's import graph."""
-    rows = c.table("lineitem").filter("l_partkey % 31 <> l_suppkey % 31 and l_orderkey % 5 = 0")
+    rows = c.table("lineitem").filter("l_partkey % 31 <> l_suppkey % 31")
     return pf.import_cycles(rows.select(F.concat(F.lit("repo_"), (F.col("l_orderkey") % 50).cast("string")).alias("group"), F.format_string("m%02d.py", F.col("l_partkey") % 31).alias("src"), F.format_string("m%02d.py", F.col("l_suppkey") % 31).alias("dst")).distinct())
 
 
@@ -183,9 +195,9 @@ def portfolio_summary(c):
     return c.profiles().groupBy("project_key").agg(F.count(F.lit(1)).alias("repos"), F.count_if(F.col("role").isin("api", "ui")).alias("exposed"), F.count_if(F.col("balance") < 0).alias("risky"), F.count_distinct("owner").alias("owners"))
 
 
-@query("select repo, owner, segment from profiles where contains(lower(owner), 'an') and segment = 'BUILDING'", "profiles")
+@query("select repo, owner, segment from profiles where contains(lower(owner), 'nation_1') and segment = 'BUILDING'", "profiles")
 def inventory_filter(c):
-    return c.profiles().filter(F.contains(F.lower("owner"), F.lit("an")) & (F.col("segment") == "BUILDING")).select("repo", "owner", "segment")
+    return c.profiles().filter(F.contains(F.lower("owner"), F.lit("nation_1")) & (F.col("segment") == "BUILDING")).select("repo", "owner", "segment")
 
 
 @query("select f.hash, f.repo from findings f where (f.project_key, f.repo) in (select project_key, repo from profiles where role = 'api') group by all", "findings", "profiles")

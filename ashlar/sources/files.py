@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Folders that hold no sources, file names that are not read, and suffixes that are.
@@ -77,7 +78,8 @@ def read_baseline(spark: SparkSession, path: str, key: str = "finding_id") -> Da
 def deleted_files(log: DataFrame, most: int = 200, max_chars: int = 500_000) -> DataFrame:
     """Newest deletion of each path in a history log (repo, position, commit, path,
     content): the first ``most`` entries of a repository count, as a history scan reads them."""
-    kept = log.filter(scannable(F.col("path"))).groupBy("repo").agg(F.slice(F.array_sort(F.collect_list(F.struct("position", "commit", "path"))), 1, most).alias("s"))
-    kept = kept.select("repo", F.explode("s").alias("s")).select("repo", "s.*").groupBy("repo", "path").agg(F.min(F.struct("position", "commit")).alias("first"))
+    newest = W.partitionBy("repo").orderBy("position", "commit", "path")  # tasks keep the first rows before they are sent
+    kept = log.filter(scannable(F.col("path"))).select("repo", "position", "commit", "path").withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= most)
+    kept = kept.groupBy("repo", "path").agg(F.min(F.struct("position", "commit")).alias("first"))
     text = log.select("repo", "commit", "path", "content").filter((F.length("content") > 0) & (F.length("content") <= max_chars))
     return kept.select("repo", "path", F.col("first.commit").alias("commit")).join(text, ["repo", "commit", "path"]).withColumn("label", F.concat(F.lit("[DELETED]"), "path"))
