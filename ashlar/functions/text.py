@@ -88,9 +88,9 @@ def marked_snippet(c: Column, line: Column, around: int = 6, width: int = 280) -
 
 #: Comment patterns by language family.
 COMMENTS = {
-    "python": ('(?s)(?:\"\"\".*?\"\"\"|\'\'\'.*?\'\'\')', r"#[^\n]*"),
-    "c": (r"(?s)/\*.*?\*/", r"//[^\n]*"),
-    "hash": (r"#[^\n]*",),
+    "python": ('(?s)(?:\"\"\".*?\"\"\"|\'\'\'.*?\'\'\')', r"(?m)(?:^|[ \t])#[^\n]*"),
+    "c": (r"(?s)/\*.*?\*/", r"(?m)(?:^|[^:\"'\\])//[^\n]*"),
+    "hash": (r"(?m)(?:^|[ \t])#[^\n]*",),
     "sql": (r"--[^\n]*",),
 }
 
