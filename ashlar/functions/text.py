@@ -28,22 +28,23 @@ def _sums_before(values: Column, chunk: int = 256) -> Column:
     return F.when(F.size(values) > 0, joined).otherwise(F.array().cast("array<bigint>"))
 
 
-def match_array(c: Column, pattern: str) -> Column:
-    """Array of (start 0-based, line 1-based, match) of the non-overlapping matches.
-
-    Positions are running sums over the gaps between matches, kept within the
-    row: nothing is shuffled. Null where nothing matches.
-    """
+def placed(hits: Column, gaps: Column) -> Column:
+    """Array of (start 0-based, line 1-based, match) from the matches of a text and
+    the pieces between them. Positions are running sums: nothing is shuffled."""
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(c, pattern, -1), F.lit(1), F.size(hits))
-    sizes = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).cast("long").alias("g"), breaks(g).cast("long").alias("gl"), (F.length(g) + F.length(h)).cast("long").alias("all"), (breaks(g) + breaks(h)).cast("long").alias("lines"), h.alias("match")))
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).cast("long").alias("g"), breaks(g).cast("long").alias("gl"), (F.length(g) + F.length(h)).cast("long").alias("all"), (breaks(g) + breaks(h)).cast("long").alias("lines"), h.alias("match")))
 
-    def placed(x: Column) -> Column:
+    def run(x: Column) -> Column:
         before = F.arrays_zip(x.alias("x"), _sums_before(F.transform(x, lambda s: s["all"])).alias("at"), _sums_before(F.transform(x, lambda s: s["lines"])).alias("line"))
         return F.transform(before, lambda b: F.struct((b["at"] + b["x"]["g"]).cast("int").alias("start"), (b["line"] + b["x"]["gl"] + 1).cast("int").alias("line"), b["x"]["match"].alias("match")))
 
-    return F.when(c.rlike(pattern), F.transform(F.array(sizes), placed)[0])
+    return F.transform(F.array(sizes), run)[0]
+
+
+def match_array(c: Column, pattern: str) -> Column:
+    """The non-overlapping matches in a text, as ``placed`` has them; null where
+    nothing matches."""
+    return F.when(c.rlike(pattern), placed(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)))
 
 
 def matches(df: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
@@ -89,7 +90,7 @@ def marked_snippet(c: Column, line: Column, around: int = 6, width: int = 280) -
 #: Comment patterns by language family.
 COMMENTS = {
     "python": ('(?s)(?:\"\"\".*?\"\"\"|\'\'\'.*?\'\'\')', r"(?m)(?:^|[ \t])#[^\n]*"),
-    "c": (r"(?s)/\*.*?\*/", r"(?m)(?:^|[^:\"'\\])//[^\n]*"),
+    "c": (r"(?s)/\*.*?\*/", r"(?m)(?:^|[^:\"'\\\n])//[^\n]*"),
     "hash": (r"(?m)(?:^|[ \t])#[^\n]*",),
     "sql": (r"--[^\n]*",),
 }

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import distinct_chars, entropy, match_array, matches, minified, path_class, stable_id, strip_comments
+from ..functions.text import distinct_chars, entropy, match_array, matches, minified, path_class, placed, stable_id, strip_comments
 
 
 @dataclass(frozen=True)
@@ -83,8 +83,11 @@ def applies(r: Rule) -> Column:
     return fits & F.lower("path").rlike(r.path) if r.path else fits
 
 
+VALUE = r"[:=][ \t]*[\"']?([^\"'\s]+)"
+
+
 def literal_value(match: Column) -> Column:
-    return F.regexp_extract(match, r"[:=][ \t]*[\"']?([^\"'\s]+)", 1)
+    return F.regexp_extract(match, VALUE, 1)
 
 
 def low_entropy(match: Column, least: float = 3.0) -> Column:
@@ -126,17 +129,21 @@ def detect(
     instead of the file. Rows: repo, path, ordinal, rule, category, capability,
     severity, context, start, line, match, snippet, id, confidence, policy_status.
     """
-    none = F.array().cast("array<struct<start:int,line:int,match:string,ordinal:int>>")
     found = []
     for i, r in enumerate(rules):
         fits = applies(r)
         for pattern, slug in exclude:
             fits = fits & ~F.col("path").rlike(pattern) if slug == r.slug else fits
-        hits = F.when(fits, match_array(F.col("content"), r.pattern))
-        if r.entropy:
-            hits = F.filter(hits, lambda m: ~low_entropy(m["match"]))
-        tagged = (lambda i: lambda m: F.struct(m["start"].alias("start"), m["line"].alias("line"), m["match"].alias("match"), F.lit(i).alias("ordinal")))(i)
-        found.append(F.coalesce(F.transform(hits, tagged), none))
+        parts = F.struct(F.lit(i).alias("ordinal"), F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0)).alias("hits"), F.split("content", r.pattern, -1).alias("gaps"))
+        found.append(F.when(fits & F.col("content").rlike(r.pattern), parts))
+    secret = [i for i, r in enumerate(rules) if r.entropy]
+
+    def of_rule(r: Column) -> Column:
+        return F.transform(placed(r["hits"], r["gaps"]), lambda m: F.struct(m["start"].alias("start"), m["line"].alias("line"), m["match"].alias("match"), r["ordinal"].alias("ordinal")))
+
+    hits = F.flatten(F.transform(F.array_compact(F.array(*found)), of_rule))
+    if secret:
+        hits = F.filter(hits, lambda m: ~m["ordinal"].isin(*secret) | ~low_entropy(m["match"]))
     files = files.withColumn("raw", F.col("content"))
     if stripped:
         files = files.withColumn("content", code_text(F.col("path"), F.col("content")))
@@ -152,7 +159,7 @@ def detect(
             hits = F.filter(hits, (lambda i, pattern: lambda m: (m["ordinal"] != i) | ~around(text["code"], m["line"], 8, 3, 1000).rlike(pattern))(i, pattern))
         return F.transform(hits, one)
 
-    text = F.struct(F.split("raw", "\n", -1).alias("raw"), F.split("content", "\n", -1).alias("code"), F.concat(*found).alias("hits"))
+    text = F.struct(F.split("raw", "\n", -1).alias("raw"), F.split("content", "\n", -1).alias("code"), hits.alias("hits"))
     out = files.select("repo", "path", F.explode(F.transform(F.array(text), shown)[0]).alias("m")).select("repo", "path", "m.*")
     of = lambda name: F.element_at(F.array(*[F.lit(getattr(r, name)) for r in rules]), F.col("ordinal") + 1)
     out = out.withColumns({"rule": of("slug"), "category": of("category"), "capability": of("label"), "base": of("severity")})

@@ -22,15 +22,41 @@ def query(sql: str | None = None, *views: str):
     return keep
 
 
-@query()
+def _rules_sql() -> str:
+    """The catalogue as SQL over ``files``; its noise patterns need code, which these texts do not hold."""
+    q = lambda p: p.replace("'", "''")
+    parts = []
+    for i, r in enumerate(rules.RULES):
+        path = "kind <> 'code'" if r.config_only else "kind <> 'config'"
+        anchors = " or ".join(f"contains(lower(code), '{q(a)}')" for a in r.anchors) or "true"
+        guard = f"and regexp_matches(code, '{q(r.guard)}')" if r.guard else ""
+        found = f"""select repo, path, {i} as ordinal, '{r.slug}' as rule, '{r.category}' as category, {r.severity} as base, n, unnest(regexp_extract_all(code, '{q(r.pattern)}')) as match, unnest(string_split_regex(code, '{q(r.pattern)}')[1:len(regexp_extract_all(code, '{q(r.pattern)}'))]) as gap,
+  generate_subscripts(regexp_extract_all(code, '{q(r.pattern)}'), 1) as k from text where {path} and ({anchors}) {guard} and regexp_matches(code, '{q(r.pattern)}')"""
+        found = f"select *, (sum(length(gap) - length(replace(gap, chr(10), ''))) over w + coalesce(sum(length(match) - length(replace(match, chr(10), ''))) over (partition by n order by k rows between unbounded preceding and 1 preceding), 0) + 1)::int as line from ({found}) window w as (partition by n order by k)"
+        value = f"regexp_extract(match, '{q(rules.VALUE)}', 1)"
+        parts.append(f"select * from ({found})" + (f" where {value} <> '' and not regexp_matches({value}, '{q(rules.PLACEHOLDER)}') and list_entropy(string_split({value}, '')) >= 3.0" if r.entropy else ""))
+    joined = "\nunion all ".join(parts)
+    return rf"""with text as (select repo, path, row_number() over () as n, case when path like '%.py' or path like '%.js' then 'code' when path like '%.yaml' then 'config' else 'other' end as kind,
+  case when path like '%.py' then regexp_replace(regexp_replace(content, '(?s)["]{{3}}.*?["]{{3}}|''{{3}}.*?''{{3}}', ' ', 'g'), '(^|\n|[ \t])#[^\n]*', '\1', 'g')
+    when path like '%.js' then regexp_replace(regexp_replace(content, '(?s)/\*.*?\*/', ' ', 'g'), '(?m)(?:^|[^:"''\\\n])//[^\n]*', ' ', 'g') else content end as code from files),
+hits as ({joined}),
+placed as (select *, case when path like 'tests/%' then 'test' when path like 'docs/%' or path like '%.md' then 'docs' else 'production' end as context from hits)
+select repo, path, ordinal, rule, category, context, least(4, base + case when context = 'production' then 0 else 2 end)::int as severity, line, match, md5(concat(repo, '::', path, '::', substr(trim(regexp_replace(match, '\s+', ' ', 'g')), 1, 120))) as id, k from placed"""
+
+
+_RULES_SQL = _rules_sql()
+_FOUND = ["repo", "path", "ordinal", "rule", "category", "context", "severity", "line", "match", "id"]
+
+
+@query(f"select {', '.join(_FOUND)} from ({_RULES_SQL})", "files")
 def rule_findings(c):
     """Every rule of the catalogue over all files."""
-    return rules.detect(c.files()).drop("snippet")
+    return rules.detect(c.files()).select(*_FOUND)
 
 
-@query()
+@query(f"select {', '.join(_FOUND)} from ({_RULES_SQL}) qualify row_number() over (partition by id order by repo, path, ordinal, k) = 1", "files")
 def rule_findings_deduped(c):
-    return first_wins(rules.detect(c.files()).drop("snippet"), "id", ["repo", "path", "ordinal", "start"])
+    return first_wins(rules.detect(c.files()).select(*_FOUND, "start"), "id", ["repo", "path", "ordinal", "start"]).select(*_FOUND)
 
 
 _EMAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"
