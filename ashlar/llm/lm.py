@@ -1,27 +1,32 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation.
 
 Tokens are words, then one end a text. A token's probability is that of its
-class given the context, times its share of the class. The ``TOP`` most frequent
-words and the end are classes of their own; all other words fall into ``REST``
-classes by the first two bytes, and within those the share is the count plus
-one over the class's tokens, types and one unseen type.
-
-The class model is log-bilinear: the previous class and the topic each give a
-vector, their transformed sum is multiplied with the vector of every class, and
-a softmax normalises. The topic is the group of classes that leads among all
-earlier words of the text (the groups come from the bigram table), so it follows
-the language or kind of a text and uses nothing that comes later.
-
-What is learned covers all training rows: token counts, the class bigrams, and
-the counts of (topic, previous, class), which are a bounded table however large
-the corpus is. Noise-contrastive estimation draws from that table, in numpy on
-the driver. Scoring looks up the table of log-probabilities that batched matrix
-products give, in Arrow batches; counts of the ``FREQUENT`` most frequent tokens
-go along, those of the others are joined by a 64-bit hash of the token.
+class given the context, times its share of the class. The most frequent words
+and the end are classes of their own; all other words fall into ``REST`` classes
+by the first two bytes, and within those the share is the count plus one over
+the class's tokens, types and one unseen type. The words with a class of their
+own are ``OWN * tokens ** GROWTH``, so the model grows with the corpus.
+
+The model is log-bilinear: the previous class and the topic each give a vector,
+their transformed sum is multiplied with the vector of every class, and a
+softmax normalises. The topic is the group of coarse classes that leads among all
+earlier words of the text (the groups come from the bigrams of the ``TOP`` most
+frequent words), so it follows the language or kind of a text and uses nothing
+that comes later.
+
+What is learned covers all training rows: token counts, coarse bigrams, and
+``ROUNDS`` rounds of training over every training token. Texts are encoded once
+and spread over trainers, one for every ``SHARE`` tokens; a round's trainers start
+from the same parameters, take their own texts in batches, and send the rows of
+the parameters that they changed, which are averaged by how often each was
+changed. The normalisers are batched matrix products in tasks as well. Counts of
+the most frequent tokens go along with the encoding; those of the others are
+joined by a 64-bit hash of the token.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,18 +34,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, holdout, table
 
 TOP, REST = 159, 96
-CLASSES = 1 + TOP + REST
+COARSE = 1 + TOP + REST
 GROUPS = 8
+OWN, GROWTH = 4.0, 0.4
 FREQUENT = 100_000
 NAMED = 5
-WIDTH, NOISE, STEPS, BATCH = 24, 12, 700, 4096
-CHUNK = 200
+WIDTH, NOISE, RATE = 24, 64, 0.1
+ROUNDS, SHARE, BATCHES, BATCH = 2, 8_000_000, 1000, 2048
+CHUNK, PACK = 200, 200_000
 FLOOR = 0.05
 END = 0
 
@@ -56,7 +64,7 @@ def _hash(token: bytes) -> int:
 
 
 def _rest(token: bytes) -> int:
-    return 1 + TOP + zlib.crc32(token[:2]) % REST
+    return zlib.crc32(token[:2]) % REST
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,86 +85,102 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Frequent tokens with their counts and classes, and the totals."""
+    """Frequent tokens with their counts and classes, and the totals.
 
-    def __init__(self, frequent: list[tuple[str, int]], rest_tokens: dict[int, int], rest_types: dict[int, int], n_texts: int):
-        self.index = {t.encode("utf-8", "surrogatepass"): i for i, (t, _) in enumerate(frequent)}
-        self.count = np.array([n for _, n in frequent] or [0], np.int64)
-        self.cls = np.array([1 + i if i < TOP else _rest(t.encode("utf-8", "surrogatepass")) for i, (t, _) in enumerate(frequent)] or [0], np.int64)
+    A code is the index of a frequent token, -1 for the end, or -2 less the rest
+    class of a rare token. Class 0 is the end, then come the ``own`` words with a
+    class of their own, then the rest classes; coarse classes likewise with ``TOP``.
+    """
+
+    def __init__(self, frequent: list[tuple[str, int]], own: int, rest_tokens: dict[int, int], rest_types: dict[int, int], n_texts: int):
+        named = [t.encode("utf-8", "surrogatepass") for t, _ in frequent]
+        self.index = {t: i for i, t in enumerate(named)}
+        self.own = min(own, len(named))
+        self.classes = 1 + self.own + REST
+        self.count = np.array([n for _, n in frequent], np.int64)
+        self.rest = np.array([_rest(t) for t in named], np.int64)
         self.n_texts = n_texts
-        words, types = sum(rest_tokens.values()), sum(rest_types.values())
-        self.n_tokens = words + n_texts
-        self.n_types = types + (n_texts > 0)
-        total, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+        self.n_tokens = sum(rest_tokens.values()) + n_texts
+        self.n_types = sum(rest_types.values()) + (n_texts > 0)
+        total, kinds = np.zeros(REST), np.zeros(REST)
         for k, v in rest_tokens.items():
             total[k] = v
         for k, v in rest_types.items():
             kinds[k] = v
-        for t, n in frequent[:TOP]:  # top words left the class of their first bytes
-            r = _rest(t.encode("utf-8", "surrogatepass"))
-            total[r] -= n
-            kinds[r] -= 1
-        total[1 : 1 + len(frequent[:TOP])] = [n for _, n in frequent[:TOP]]
-        total[END] = n_texts
-        self.class_tokens = total
-        self.log_share = -np.log10(total + kinds + 1.0)
-        self.log_share[: 1 + TOP] = 0.0
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Counter]]:
-        """Of the texts one after another: index of every token (-1 rare, -2
-        end), its class, the bounds of the texts, and each text's rare words."""
-        get = self.index.get
-        at, cls, bounds, rare = [], [], [0], []
-        for text in texts:
-            toks = tokens(text)
-            ids = [get(t, -1) for t in toks]
-            at += ids
-            missing = [t for t, i in zip(toks, ids, strict=True) if i < 0]
-            rare.append(Counter(missing))
-            cls += [_rest(t) for t in missing]
-            at.append(-2)
-            bounds.append(len(at))
-        at = np.array(at, np.int64)
-        classes = self.cls[np.maximum(at, 0)]
-        classes[at == -2] = END
-        classes[at == -1] = cls
-        return at, classes, np.array(bounds), rare
-
-
-def contexts(classes: np.ndarray, bounds: np.ndarray, groups: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Topic and previous class of every token; ``CLASSES`` and ``GROUPS`` stand
-    for a text's start."""
-    previous = np.r_[CLASSES, classes[:-1]]
-    previous[bounds[:-1]] = CLASSES
-    if groups is None:
-        return np.zeros_like(previous), previous
-    votes = np.zeros((len(classes) + 1, GROUPS), np.int32)
-    np.cumsum(groups[classes][:, None] == np.arange(GROUPS)[None, :], axis=0, out=votes[1:])
-    seen = votes[:-1] - np.repeat(votes[bounds[:-1]], np.diff(bounds), axis=0)
-    topic = seen.argmax(1)
+        np.subtract.at(total, self.rest[: self.own], self.count[: self.own])  # own words left the class of their first bytes
+        np.subtract.at(kinds, self.rest[: self.own], 1)
+        self.class_tokens = np.r_[n_texts, self.count[: self.own], total]
+        self.log_share = np.r_[np.zeros(1 + self.own), -np.log10(total + kinds + 1.0)]
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, Counter]:
+        """The codes of a text, the end included, and its rare words."""
+        toks = tokens(text)
+        codes = [self.index.get(t, -2) for t in toks]
+        rare = [t for t, i in zip(toks, codes, strict=True) if i == -2]
+        codes = np.array([*codes, -1], np.int32)
+        if rare:
+            codes[codes == -2] -= np.array([_rest(t) for t in rare], np.int32)
+        return codes, Counter(rare)
+
+    def classed(self, codes: np.ndarray, own: int) -> np.ndarray:
+        """Class of every code, where ``own`` words have a class of their own."""
+        out = np.full(len(codes), END, np.int64)
+        rare, named = codes <= -2, codes >= 0
+        out[rare] = 1 + own + (-2 - codes[rare])
+        i = codes[named]
+        out[named] = np.where(i < own, 1 + i, 1 + own + self.rest[i])
+        return out
+
+    def coarse(self, codes: np.ndarray) -> np.ndarray:
+        return self.classed(codes, TOP)
+
+
+def _packs(columns: Iterator[pd.Series]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of texts one after another, and the texts' bounds: about ``PACK``
+    codes at once, or one long text."""
+    held, size = [], 0
+    for column in columns:
+        for codes in column:
+            held.append(codes)
+            size += len(codes)
+            if size >= PACK:
+                yield np.concatenate(held), np.cumsum([0, *map(len, held)])
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held), np.cumsum([0, *map(len, held)])
+
+
+def previous_class(classes: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
+    """The class before every token; ``start`` at a text's beginning."""
+    previous = np.r_[start, classes[:-1]]
+    previous[bounds[:-1]] = start
+    return previous
+
+
+def topics(coarse: np.ndarray, bounds: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The leading group of the words before every token; ``GROUPS`` at a start."""
+    votes = np.zeros((len(coarse) + 1, GROUPS), np.int32)
+    np.cumsum(groups[coarse][:, None] == np.arange(GROUPS)[None, :], axis=0, out=votes[1:])
+    votes[:-1] -= np.repeat(votes[bounds[:-1]], np.diff(bounds), axis=0)
+    topic = votes[:-1].argmax(1)
     topic[bounds[:-1]] = GROUPS
-    return topic, previous
+    return topic
 
 
-def class_counts(texts: DataFrame, vocabulary: Vocabulary, groups: np.ndarray | None) -> np.ndarray:
-    """Counts of (topic, previous, class) over all ``texts``."""
-    shape = (GROUPS + 1, CLASSES + 1, CLASSES)
-    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, groups))  # FREQUENT tokens at most
+def bigrams(encoded: DataFrame, vocabulary: Broadcast) -> np.ndarray:
+    """Counts of (previous, class) over all ``encoded`` texts, coarse classes."""
+    shape = (COARSE + 1, COARSE)
 
     def tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, groups = shared.value
-        total = np.zeros(np.prod(shape), np.int64)
-        for b in batches:
-            for at in range(0, len(b), CHUNK):
-                _, classes, bounds, _ = vocabulary.encode(list(b["text"].iloc[at : at + CHUNK]))
-                topic, previous = contexts(classes, bounds, groups)
-                cells, n = np.unique((topic * shape[1] + previous) * shape[2] + classes, return_counts=True)
-                total[cells] += n
+        total = np.zeros(shape[0] * shape[1], np.int64)
+        for codes, bounds in _packs(b["codes"] for b in batches):
+            classes = vocabulary.value.coarse(codes)
+            total += np.bincount(previous_class(classes, bounds, COARSE) * COARSE + classes, minlength=len(total))
         cells = np.flatnonzero(total)
         yield pd.DataFrame({"cell": cells, "n": total[cells]})
 
-    rows = texts.mapInPandas(tallied, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # np.prod(shape) rows at most
-    out = np.zeros(np.prod(shape))
+    rows = encoded.select("codes").mapInPandas(tallied, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # shape's rows at most
+    out = np.zeros(shape[0] * shape[1])
     out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     return out.reshape(shape)
 
@@ -164,7 +188,7 @@ def class_counts(texts: DataFrame, vocabulary: Vocabulary, groups: np.ndarray |
 def class_groups(bigrams: np.ndarray) -> np.ndarray:
     """A group for each class: k-means on the leading singular vectors of the
     bigrams' positive pointwise information."""
-    both = bigrams[:CLASSES] + bigrams[:CLASSES].T + 1e-3
+    both = bigrams[:COARSE] + bigrams[:COARSE].T + 1e-3
     total = both.sum()
     info = np.maximum(0.0, np.log(both * total / np.outer(both.sum(1), both.sum(0))))
     u, s, _ = np.linalg.svd(info)
@@ -180,49 +204,114 @@ def class_groups(bigrams: np.ndarray) -> np.ndarray:
     return near
 
 
-def train(counts: np.ndarray) -> np.ndarray:
-    """log10 p(class | topic, previous), by noise-contrastive estimation of the
-    log-bilinear model on draws from the counted cells."""
-    rng = np.random.default_rng(5)
-    topics, before, k = counts.shape
-    unigram = counts.sum((0, 1)) + 1.0
-    noise = unigram / unigram.sum()
-    p = {
-        "prev": rng.normal(0, 0.1, (before, WIDTH)), "topic": rng.normal(0, 0.1, (topics, WIDTH)), "mix": np.eye(WIDTH),
-        "out": rng.normal(0, 0.1, (k, WIDTH)), "bias": np.log(noise),
-    }
-    moment, square = {n: np.zeros_like(v) for n, v in p.items()}, {n: np.zeros_like(v) for n, v in p.items()}
-    flat = counts.ravel()
-    if flat.sum() > 0:
-        cells, mass = np.flatnonzero(flat), np.cumsum(flat[flat > 0]) / flat.sum()
-        cut = np.cumsum(noise)
-        for step in range(1, STEPS + 1):
-            cell = cells[np.minimum(np.searchsorted(mass, rng.random(BATCH)), len(cells) - 1)]
-            topic, prev, target = cell // (before * k), cell // k % before, cell % k
-            words = np.concatenate([target[:, None], np.minimum(np.searchsorted(cut, rng.random((BATCH, NOISE))), k - 1)], axis=1)
-            hidden = p["prev"][prev] @ p["mix"] + p["topic"][topic]
-            out = p["out"][words]
-            logit = np.einsum("bd,bkd->bk", hidden, out) + p["bias"][words] - np.log(NOISE * noise[words])
-            error = 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
-            error[:, 0] -= 1.0
-            error /= BATCH
-            g = {n: np.zeros_like(v) for n, v in p.items()}
-            back = np.einsum("bk,bkd->bd", error, out)
-            np.add.at(g["out"], words.ravel(), (error[:, :, None] * hidden[:, None, :]).reshape(-1, WIDTH))
-            np.add.at(g["bias"], words.ravel(), error.ravel())
-            np.add.at(g["prev"], prev, back @ p["mix"].T)
-            np.add.at(g["topic"], topic, back)
-            g["mix"] = p["prev"][prev].T @ back
-            rate = 0.03 * (1.0 - step / (STEPS + 1.0)) + 0.001
-            for n in p:
-                moment[n] = 0.9 * moment[n] + 0.1 * g[n]
-                square[n] = 0.99 * square[n] + 0.01 * g[n] ** 2
-                p[n] -= rate * (moment[n] / (1 - 0.9**step)) / (np.sqrt(square[n] / (1 - 0.99**step)) + 1e-8)
-    hidden = (p["prev"] @ p["mix"])[None] + p["topic"][:, None]
-    logit = hidden @ p["out"].T + p["bias"]
-    logit -= logit.max(2, keepdims=True)
-    model = np.exp(logit) / np.exp(logit).sum(2, keepdims=True)
-    return np.log10((1.0 - FLOOR) * model + FLOOR * noise)  # no context costs more than a factor 1 / FLOOR
+class Model:
+    """Parameters of the log-bilinear model, one row of ``WIDTH`` + 1 numbers each:
+    outputs of the classes with their bias, inputs of the classes and the start,
+    topics and their start, and the matrix that transforms inputs."""
+
+    def __init__(self, class_tokens: np.ndarray):
+        k = len(class_tokens)
+        self.noise = (class_tokens + 1.0) / (class_tokens + 1.0).sum()
+        self.classes, self.input, self.topic = k, k, 2 * k + 1
+        self.mix = self.topic + GROUPS + 1
+        self.rows = np.random.default_rng(5).normal(0, 0.1, (self.mix + WIDTH, WIDTH + 1)).astype(np.float32)
+        self.rows[:k, WIDTH] = np.log(self.noise)
+        self.rows[self.mix :] = np.eye(WIDTH, WIDTH + 1)
+        self.square = np.full(len(self.rows), 1e-3, np.float32)
+
+    def hidden(self, topic: np.ndarray, previous: np.ndarray) -> np.ndarray:
+        """The context's vector, with a one for the bias."""
+        p = self.rows
+        out = np.ones((len(previous), WIDTH + 1), np.float32)
+        out[:, :WIDTH] = p[self.input + previous, :WIDTH] @ p[self.mix :, :WIDTH] + p[self.topic + topic, :WIDTH]
+        return out
+
+    def normalisers(self, previous: np.ndarray) -> np.ndarray:
+        """Natural log of the sum over all classes, for every topic (columns)
+        after each of ``previous``."""
+        out = np.empty((len(previous), GROUPS + 1), np.float64)
+        for t in range(GROUPS + 1):
+            logit = self.hidden(np.full(len(previous), t), previous) @ self.rows[: self.classes].T
+            top = logit.max(1, keepdims=True)
+            out[:, t] = top[:, 0] + np.log(np.exp(logit - top).sum(1, dtype=np.float64))
+        return out
+
+    def log_p(self, topic: np.ndarray, previous: np.ndarray, classes: np.ndarray, normal: np.ndarray) -> np.ndarray:
+        """log10 p(class | topic, previous); no context costs more than a factor 1 / FLOOR."""
+        logit = np.einsum("bd,bd->b", self.hidden(topic, previous), self.rows[classes]).astype(np.float64)
+        return np.log10((1.0 - FLOOR) * np.exp(logit - normal[previous, topic]) + FLOOR * self.noise[classes])
+
+    def step(self, topic: np.ndarray, previous: np.ndarray, target: np.ndarray, noise: np.ndarray, touched: np.ndarray) -> None:
+        """One batch of noise-contrastive estimation; all tokens of the batch meet
+        the same noise words. Rows change by their own accumulated gradient."""
+        p = self.rows
+        hidden, mix = self.hidden(topic, previous), p[self.mix :, :WIDTH]
+        true, false = p[target], p[noise]
+        odds = np.log(len(noise) * self.noise).astype(np.float32)
+        sigmoid = lambda x: 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+        miss = sigmoid(np.einsum("bd,bd->b", hidden, true) - odds[target]) - 1.0
+        hit = sigmoid(hidden @ false.T - odds[noise])
+        back = miss[:, None] * true + hit @ false
+        back[:, WIDTH] = 0.0
+        before = np.zeros_like(back)
+        before[:, :WIDTH] = back[:, :WIDTH] @ mix.T
+        turn = np.zeros((WIDTH, WIDTH + 1), np.float32)
+        turn[:, :WIDTH] = p[self.input + previous, :WIDTH].T @ back[:, :WIDTH]
+        row = np.concatenate([target, noise, self.input + previous, self.topic + topic, np.arange(self.mix, len(p))])
+        grad = np.concatenate([miss[:, None] * hidden, hit.T @ hidden, before, back, turn])
+        order = np.argsort(row, kind="stable")
+        at = np.flatnonzero(np.diff(row[order], prepend=-1))
+        row, times = row[order][at], np.diff(at, append=len(order))
+        grad = np.add.reduceat(grad[order], at, axis=0)
+        touched[row] += times
+        self.square[row] += (grad * grad).mean(1)
+        p[row] -= RATE * grad / np.sqrt(self.square[row])[:, None]
+
+
+def train(encoded: DataFrame, vocabulary: Broadcast, groups: np.ndarray) -> tuple[Model, np.ndarray]:
+    """The model after ``ROUNDS`` rounds over all ``encoded`` (rid, codes) texts,
+    and its normalisers by previous class and topic."""
+    context = encoded.sparkSession.sparkContext
+    model = Model(vocabulary.value.class_tokens)
+    n_tokens = vocabulary.value.n_tokens
+    trainers = -(-n_tokens // SHARE) or 1
+    size = int(np.clip(n_tokens // BATCHES, 32, BATCH))
+    spread = encoded.select("rid", "codes").repartition(trainers, "rid").select("codes")
+    sums = [F.sum(F.col("w") * F.col("v")[i]).alias(f"v{i}") for i in range(WIDTH + 2)]
+    for turn in range(ROUNDS if n_tokens else 0):
+        shared = context.broadcast(model)  # rows grow like tokens ** GROWTH
+
+        def trained(batches: Iterator[pd.DataFrame], turn: int = turn, shared: Broadcast = shared) -> Iterator[pd.DataFrame]:
+            vocab, m, rng = vocabulary.value, copy.deepcopy(shared.value), np.random.default_rng(turn)
+            touched, cut = np.zeros(len(m.rows), np.int64), np.cumsum(m.noise)
+            for codes, bounds in _packs(b["codes"] for b in batches):
+                classes = vocab.classed(codes, vocab.own)
+                previous, topic = previous_class(classes, bounds, m.classes), topics(vocab.coarse(codes), bounds, groups)
+                order = rng.permutation(len(classes))
+                for at in range(0, len(order), size):
+                    i = order[at : at + size]
+                    noise = np.minimum(np.searchsorted(cut, rng.random(NOISE)), m.classes - 1)
+                    m.step(topic[i], previous[i], classes[i], noise, touched)
+            changed = np.flatnonzero(touched)
+            for at in range(0, len(changed), 10_000):
+                c = changed[at : at + 10_000]
+                yield pd.DataFrame({"row": c, "w": touched[c].astype(np.float64), "v": list(np.c_[m.rows[c], m.square[c]])})
+
+        mean = spread.mapInPandas(trained, "row long, w double, v array<float>").groupBy("row").agg(F.sum("w").alias("w"), *sums).toPandas()  # a row for each of the model's
+        row, w = mean["row"].to_numpy(np.int64), mean["w"].to_numpy(np.float64)
+        values = mean[[f"v{i}" for i in range(WIDTH + 2)]].to_numpy(np.float64) / w[:, None]
+        model.rows[row], model.square[row] = values[:, :-1], values[:, -1]
+    shared = context.broadcast(model)
+
+    def normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), CHUNK):
+                ids = b["id"].to_numpy(np.int64)[at : at + CHUNK]
+                yield pd.DataFrame({"id": ids, "normal": list(shared.value.normalisers(ids))})
+
+    session = encoded.sparkSession
+    made = session.range(0, model.classes + 1, 1, 1 + model.classes // 1000).mapInPandas(normalised, "id long, normal array<double>").toPandas()
+    return model, np.stack(made.sort_values("id")["normal"].to_list())
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -232,43 +321,60 @@ def score(docs: DataFrame) -> DataFrame:
     A null text is an empty one, whose only token is the end. Rows that repeat
     count each. Without training rows every token is unseen.
     """
+    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = holdout(F.col("doc_id"), 7) == 2
     train_texts = rows.filter(~held).select("text")
     counts = durable(token_counts(train_texts), "token-counts")
     by_class = {r["rest"]: (r["n"], r["v"]) for r in counts.groupBy("rest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # REST rows
-    named = counts.filter("token is not null").orderBy(F.col("n").desc(), "token").select("token", "n").limit(FREQUENT).collect()
-    vocabulary = Vocabulary([(r["token"], r["n"]) for r in named], {k: v[0] for k, v in by_class.items()}, {k: v[1] for k, v in by_class.items()}, train_texts.count())
-    groups = class_groups(class_counts(train_texts, vocabulary, None)[0])
-    log_p = train(class_counts(train_texts, vocabulary, groups))
+    n_texts = rows.filter(~held).select("doc_id").count()
+    own = int(OWN * (sum(n for n, _ in by_class.values()) + n_texts) ** GROWTH)
+    named = counts.filter("token is not null").orderBy(F.col("n").desc(), "token").select("token", "n").limit(max(own, FREQUENT)).collect()
+    vocabulary = Vocabulary([(r["token"], r["n"]) for r in named], own, {k: v[0] for k, v in by_class.items()}, {k: v[1] for k, v in by_class.items()}, n_texts)
     unit = np.log10(vocabulary.n_tokens + vocabulary.n_types + 1.0)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, groups, log_p.astype(np.float64)))
+    shared = context.broadcast(vocabulary)
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), CHUNK):
+                part = b.iloc[lo : lo + CHUNK]
+                codes, rare = zip(*map(shared.value.encode, part["text"]), strict=True)
+                yield pd.DataFrame({
+                    "rid": part["rid"], "doc_id": part["doc_id"].astype("Int64"), "codes": list(codes),
+                    "rare": [[_hash(t) for t in r] for r in rare], "times": [list(r.values()) for r in rare],
+                })
+
+    schema = "rid long, doc_id long, codes array<int>, rare array<long>, times array<long>"
+    heads = durable(rows.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(encoded, schema), "lm-codes")
+    learn = heads.filter(~held)
+    groups = class_groups(bigrams(learn, shared))
+    learned = context.broadcast((*train(learn, shared, groups), groups))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, groups, log_p = shared.value
-        known = np.log10(vocabulary.count + 1.0)
-        end = np.log10(vocabulary.n_texts + 1.0)
+        vocab, (model, normal, groups) = shared.value, learned.value
+        known = np.log10(vocab.count + 1.0)
+        end = np.log10(vocab.n_texts + 1.0)
         for b in batches:
             for lo in range(0, len(b), CHUNK):
                 part = b.iloc[lo : lo + CHUNK]
-                at, classes, bounds, rare = vocabulary.encode(list(part["text"]))
-                topic, previous = contexts(classes, bounds, groups)
-                counted = np.where(at >= 0, known[np.maximum(at, 0)], np.where(at == -2, end, 0.0))
-                own = (classes <= TOP) & (at != -1)
-                sums = lambda v: np.add.reduceat(v.astype(np.float64), bounds[:-1])
-                model = log_p[topic, previous, classes] + np.where(own, 0.0, counted + vocabulary.log_share[classes])
-                n_known = sums((at >= 0) | ((at == -2) & (vocabulary.n_texts > 0))).astype(np.int64)
+                codes, bounds = np.concatenate(part["codes"].to_list()), np.cumsum([0, *map(len, part["codes"])])
+                classes = vocab.classed(codes, vocab.own)
+                previous, topic = previous_class(classes, bounds, model.classes), topics(vocab.coarse(codes), bounds, groups)
+                counted = np.zeros(len(codes))
+                counted[codes >= 0] = known[codes[codes >= 0]]
+                counted[codes == -1] = end
+                p = model.log_p(topic, previous, classes, normal) + np.where(classes <= vocab.own, 0.0, counted + vocab.log_share[classes])
+                sums = lambda v: np.add.reduceat(v, bounds[:-1])
+                n_known = sums(((codes >= 0) | ((codes == -1) & (vocab.n_texts > 0))).astype(np.int64))
                 yield pd.DataFrame({
                     "rid": part["rid"], "doc_id": part["doc_id"].astype("Int64"), "n_tokens": np.diff(bounds), "n_known": n_known,
-                    "base": sums(counted), "model": sums(model),
-                    "rare": [[_hash(t) for t in r] for r in rare], "times": [list(r.values()) for r in rare],
+                    "base": sums(counted), "model": sums(p),
                 })
 
-    schema = "rid long, doc_id long, n_tokens long, n_known long, base double, model double, rare array<long>, times array<long>"
-    heads = durable(rows.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(scored, schema), "lm-heads")
+    made = heads.select("rid", "doc_id", "codes").mapInPandas(scored, "rid long, doc_id long, n_tokens long, n_known long, base double, model double")
     rare = heads.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("rid", F.col("w.rare").alias("h"), F.col("w.times").alias("k"))
     found = rare.join(counts.select("h", "n"), "h").groupBy("rid").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("extra"), F.sum("k").alias("more"))
-    out = heads.drop("rare", "times").join(found, "rid", "left")
+    out = made.join(found, "rid", "left")
     extra = F.coalesce("extra", F.lit(0.0))
     return out.select(
         "doc_id", held.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(vocabulary.n_tokens)).cast("long").alias("train_tokens"),

@@ -160,3 +160,20 @@ def test_empty_tables(spark):
     assert lm.score(docs).count() == 0
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert re.match(r"\(\?i\)", licenses.TRIGGER) and pytest.approx(1.0) == 1.0
+
+
+def test_the_language_model_learns_what_follows(spark):
+    """Words in a fixed cycle: after training each is likelier than its share."""
+    cycle = [f"w{i}" for i in range(30)]
+    made = [(i, " ".join(cycle[(i + k) % 30] for k in range(60))) for i in range(400)]
+    rows = lm.score(spark.createDataFrame(made, "doc_id long, text string")).filter("held_out").collect()
+    assert sum(r["score"] for r in rows) > 0.6 * sum(r["base_score"] for r in rows)
+    assert all(r["score"] > r["base_score"] for r in rows)
+
+
+def test_a_code_has_one_class_fine_and_coarse():
+    vocabulary = lm.Vocabulary([("a", 5), ("b", 3)], 1, {lm._rest(b"a"): 5, lm._rest(b"b"): 3, lm._rest(b"zz"): 1}, {lm._rest(b"a"): 1, lm._rest(b"b"): 1, lm._rest(b"zz"): 1}, 2)
+    codes, rare = vocabulary.encode("A b zz")
+    assert list(codes) == [0, 1, -2 - lm._rest(b"zz"), -1] and dict(rare) == {b"zz": 1}
+    assert list(vocabulary.classed(codes, 1)) == [1, 2 + lm._rest(b"b"), 2 + lm._rest(b"zz"), 0]
+    assert vocabulary.class_tokens.sum() == vocabulary.n_tokens == 11
