@@ -48,7 +48,7 @@ FREQUENT = 100_000
 NAMED = 5
 WIDTH, NOISE, RATE = 24, 64, 0.1
 ROUNDS, SHARE, BATCHES, BATCH = 2, 8_000_000, 1000, 2048
-CHUNK, PACK = 200, 200_000
+CHUNK, PACK, BLOCK = 200, 200_000, 128
 FLOOR = 0.05
 END = 0
 
@@ -204,6 +204,34 @@ def class_groups(bigrams: np.ndarray) -> np.ndarray:
     return near
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in the array given."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1.0
+    return np.reciprocal(x, out=x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b by blocks of rows that stay below the size at which the matrix
+    library starts threads: a task has one core, and idle threads spin."""
+    return np.concatenate([a[at : at + BLOCK] @ b for at in range(0, len(a), BLOCK)])
+
+
+def _product_of_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b by the same blocks."""
+    return sum(a[at : at + BLOCK].T @ b[at : at + BLOCK] for at in range(0, len(a), BLOCK))
+
+
+def _by_row(row: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, the sums of their gradients, and how often each occurs."""
+    order = np.argsort(row.astype(np.min_scalar_type(int(row.max()))), kind="stable")  # narrow types sort by radix
+    row = row[order]
+    at = np.flatnonzero(np.diff(row, prepend=-1))
+    return row[at], np.add.reduceat(grad[order], at, axis=0), np.diff(at, append=len(row))
+
+
 class Model:
     """Parameters of the log-bilinear model, one row of ``WIDTH`` + 1 numbers each:
     outputs of the classes with their bias, inputs of the classes and the start,
@@ -218,12 +246,13 @@ class Model:
         self.rows[:k, WIDTH] = np.log(self.noise)
         self.rows[self.mix :] = np.eye(WIDTH, WIDTH + 1)
         self.square = np.full(len(self.rows), 1e-3, np.float32)
+        self.odds = np.log(NOISE * self.noise).astype(np.float32)
 
     def hidden(self, topic: np.ndarray, previous: np.ndarray) -> np.ndarray:
         """The context's vector, with a one for the bias."""
         p = self.rows
         out = np.ones((len(previous), WIDTH + 1), np.float32)
-        out[:, :WIDTH] = p[self.input + previous, :WIDTH] @ p[self.mix :, :WIDTH] + p[self.topic + topic, :WIDTH]
+        out[:, :WIDTH] = _product(p[self.input + previous, :WIDTH], p[self.mix :, :WIDTH]) + p[self.topic + topic, :WIDTH]
         return out
 
     def normalisers(self, previous: np.ndarray) -> np.ndarray:
@@ -247,25 +276,25 @@ class Model:
         p = self.rows
         hidden, mix = self.hidden(topic, previous), p[self.mix :, :WIDTH]
         true, false = p[target], p[noise]
-        odds = np.log(len(noise) * self.noise).astype(np.float32)
-        sigmoid = lambda x: 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
-        miss = sigmoid(np.einsum("bd,bd->b", hidden, true) - odds[target]) - 1.0
-        hit = sigmoid(hidden @ false.T - odds[noise])
-        back = miss[:, None] * true + hit @ false
+        miss = _sigmoid(np.einsum("bd,bd->b", hidden, true) - self.odds[target]) - 1.0
+        hit = _sigmoid(_product(hidden, false.T) - self.odds[noise])
+        back = miss[:, None] * true
+        back += _product(hit, false)
         back[:, WIDTH] = 0.0
-        before = np.zeros_like(back)
-        before[:, :WIDTH] = back[:, :WIDTH] @ mix.T
+        hidden_miss = miss[:, None] * hidden
+        words, outward, out_times = _by_row(np.concatenate([target, noise]), np.concatenate([hidden_miss, _product_of_rows(hit, hidden)]))
+        before, inward, in_times = _by_row(previous, back)
         turn = np.zeros((WIDTH, WIDTH + 1), np.float32)
-        turn[:, :WIDTH] = p[self.input + previous, :WIDTH].T @ back[:, :WIDTH]
-        row = np.concatenate([target, noise, self.input + previous, self.topic + topic, np.arange(self.mix, len(p))])
-        grad = np.concatenate([miss[:, None] * hidden, hit.T @ hidden, before, back, turn])
-        order = np.argsort(row, kind="stable")
-        at = np.flatnonzero(np.diff(row[order], prepend=-1))
-        row, times = row[order][at], np.diff(at, append=len(order))
-        grad = np.add.reduceat(grad[order], at, axis=0)
-        touched[row] += times
-        self.square[row] += (grad * grad).mean(1)
-        p[row] -= RATE * grad / np.sqrt(self.square[row])[:, None]
+        turn[:, :WIDTH] = _product_of_rows(p[self.input + before, :WIDTH], inward[:, :WIDTH])
+        inward[:, :WIDTH] = _product(inward[:, :WIDTH], mix.T)
+        of_topic = topic[:, None] == np.arange(GROUPS + 1)
+        led = np.flatnonzero(of_topic.any(0))
+        row = np.concatenate([words, self.input + before, self.topic + led, np.arange(self.mix, len(p))])
+        grad = np.concatenate([outward, inward, _product_of_rows(of_topic[:, led].astype(np.float32), back), turn])
+        touched[row] += np.concatenate([out_times, in_times, of_topic[:, led].sum(0), np.ones(WIDTH, np.int64)])
+        self.square[row] += np.einsum("rd,rd->r", grad, grad) / (WIDTH + 1)
+        grad *= (RATE / np.sqrt(self.square[row]))[:, None]
+        p[row] -= grad
 
 
 def train(encoded: DataFrame, vocabulary: Broadcast, groups: np.ndarray) -> tuple[Model, np.ndarray]:
