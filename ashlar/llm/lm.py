@@ -30,6 +30,7 @@ import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,7 @@ FREQUENT = 100_000
 NAMED = 5
 WIDTH, NOISE, RATE = 24, 64, 0.1
 ROUNDS, SHARE, BATCHES, BATCH = 2, 8_000_000, 1000, 2048
-CHUNK, PACK, BLOCK = 200, 200_000, 128
+CHUNK, PACK, BLOCK, TALLY = 200, 200_000, 128, 300_000
 FLOOR = 0.05
 END = 0
 
@@ -68,13 +69,20 @@ def _rest(token: bytes) -> int:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tally = Counter()
     for b in batches:
-        for at in range(0, len(b), 2000):
-            tally = Counter()
-            for t in b["text"].iloc[at : at + 2000]:
-                tally.update(tokens(t))
-            names = [t.decode("utf-8", "surrogatepass") if n >= NAMED else None for t, n in tally.items()]
-            yield pd.DataFrame({"h": [_hash(t) for t in tally], "n": list(tally.values()), "rest": [_rest(t) for t in tally], "token": names})
+        for text in b["text"]:
+            tally.update(tokens(text))
+            if len(tally) >= TALLY:
+                yield _tallied(tally)
+                tally = Counter()
+    if tally:
+        yield _tallied(tally)
+
+
+def _tallied(tally: Counter) -> pd.DataFrame:
+    names = [t.decode("utf-8", "surrogatepass") if n >= NAMED else None for t, n in tally.items()]
+    return pd.DataFrame({"h": [_hash(t) for t in tally], "n": list(tally.values()), "rest": [_rest(t) for t in tally], "token": names})
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -115,11 +123,11 @@ class Vocabulary:
     def encode(self, text: str | None) -> tuple[np.ndarray, Counter]:
         """The codes of a text, the end included, and its rare words."""
         toks = tokens(text)
-        codes = [self.index.get(t, -2) for t in toks]
-        rare = [t for t, i in zip(toks, codes, strict=True) if i == -2]
-        codes = np.array([*codes, -1], np.int32)
-        if rare:
-            codes[codes == -2] -= np.array([_rest(t) for t in rare], np.int32)
+        codes = np.full(len(toks) + 1, -1, np.int32)
+        codes[:-1] = np.fromiter(map(self.index.get, toks, repeat(-2)), np.int32, len(toks))
+        at = np.flatnonzero(codes == -2)
+        rare = [toks[i] for i in at.tolist()]
+        codes[at] -= np.fromiter(map(_rest, rare), np.int32, len(rare))
         return codes, Counter(rare)
 
     def classed(self, codes: np.ndarray, own: int) -> np.ndarray:
@@ -159,10 +167,13 @@ def previous_class(classes: np.ndarray, bounds: np.ndarray, start: int) -> np.nd
 
 def topics(coarse: np.ndarray, bounds: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """The leading group of the words before every token; ``GROUPS`` at a start."""
-    votes = np.zeros((len(coarse) + 1, GROUPS), np.int32)
-    np.cumsum(groups[coarse][:, None] == np.arange(GROUPS)[None, :], axis=0, out=votes[1:])
-    votes[:-1] -= np.repeat(votes[bounds[:-1]], np.diff(bounds), axis=0)
-    topic = votes[:-1].argmax(1)
+    group, sizes = groups[coarse], np.diff(bounds)
+    topic, most, votes = np.zeros(len(coarse), np.int64), np.zeros(len(coarse), np.int32), np.zeros(len(coarse) + 1, np.int32)
+    for g in range(GROUPS):
+        np.cumsum(group == g, out=votes[1:])
+        earlier = votes[:-1] - np.repeat(votes[bounds[:-1]], sizes)
+        topic[earlier > most] = g
+        np.maximum(most, earlier, out=most)
     topic[bounds[:-1]] = GROUPS
     return topic
 
@@ -204,11 +215,10 @@ def class_groups(bigrams: np.ndarray) -> np.ndarray:
     return near
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in the array given."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+def _sigmoid_of_minus(x: np.ndarray) -> np.ndarray:
+    """The logistic function of -x, in the array given."""
+    with np.errstate(over="ignore"):  # an infinite exponential is a probability of 0
+        np.exp(x, out=x)
     x += 1.0
     return np.reciprocal(x, out=x)
 
@@ -216,7 +226,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b by blocks of rows that stay below the size at which the matrix
     library starts threads: a task has one core, and idle threads spin."""
-    return np.concatenate([a[at : at + BLOCK] @ b for at in range(0, len(a), BLOCK)])
+    out = np.empty((len(a), b.shape[1]), np.float32)
+    for at in range(0, len(a), BLOCK):
+        np.dot(a[at : at + BLOCK], b, out=out[at : at + BLOCK])
+    return out
 
 
 def _product_of_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,9 +240,9 @@ def _product_of_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _by_row(row: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct rows, the sums of their gradients, and how often each occurs."""
     order = np.argsort(row.astype(np.min_scalar_type(int(row.max()))), kind="stable")  # narrow types sort by radix
-    row = row[order]
+    row = row.take(order)
     at = np.flatnonzero(np.diff(row, prepend=-1))
-    return row[at], np.add.reduceat(grad[order], at, axis=0), np.diff(at, append=len(row))
+    return row[at], np.add.reduceat(grad.take(order, axis=0), at, axis=0), np.diff(at, append=len(row))
 
 
 class Model:
@@ -248,11 +261,22 @@ class Model:
         self.square = np.full(len(self.rows), 1e-3, np.float32)
         self.odds = np.log(NOISE * self.noise).astype(np.float32)
 
+    def led(self, topic: np.ndarray) -> np.ndarray:
+        """The topics' part of the contexts' vectors, with a one for the bias."""
+        rows = self.rows[self.topic : self.mix].copy()
+        rows[:, WIDTH] = 1.0
+        return rows.take(topic, axis=0)
+
+    def carried(self, previous: np.ndarray) -> np.ndarray:
+        """The previous classes' part of the contexts' vectors, zero for the bias."""
+        mix = np.zeros((WIDTH + 1, WIDTH + 1), np.float32)
+        mix[:WIDTH, :WIDTH] = self.rows[self.mix :, :WIDTH]
+        return _product(self.rows.take(self.input + previous, axis=0), mix)
+
     def hidden(self, topic: np.ndarray, previous: np.ndarray) -> np.ndarray:
-        """The context's vector, with a one for the bias."""
-        p = self.rows
-        out = np.ones((len(previous), WIDTH + 1), np.float32)
-        out[:, :WIDTH] = _product(p[self.input + previous, :WIDTH], p[self.mix :, :WIDTH]) + p[self.topic + topic, :WIDTH]
+        """The contexts' vectors, with a one for the bias."""
+        out = self.carried(previous)
+        out += self.led(topic)
         return out
 
     def normalisers(self, previous: np.ndarray) -> np.ndarray:
@@ -265,9 +289,12 @@ class Model:
             out[:, t] = top[:, 0] + np.log(np.exp(logit - top).sum(1, dtype=np.float64))
         return out
 
-    def log_p(self, topic: np.ndarray, previous: np.ndarray, classes: np.ndarray, normal: np.ndarray) -> np.ndarray:
-        """log10 p(class | topic, previous); no context costs more than a factor 1 / FLOOR."""
-        logit = np.einsum("bd,bd->b", self.hidden(topic, previous), self.rows[classes]).astype(np.float64)
+    def log_p(self, topic: np.ndarray, previous: np.ndarray, classes: np.ndarray, normal: np.ndarray, carried: np.ndarray | None = None) -> np.ndarray:
+        """log10 p(class | topic, previous); no context costs more than a factor 1 / FLOOR.
+        ``carried`` may give the parts of all previous classes, made once."""
+        hidden = self.carried(previous) if carried is None else carried.take(previous, axis=0)
+        hidden += self.led(topic)
+        logit = np.einsum("bd,bd->b", hidden, self.rows.take(classes, axis=0)).astype(np.float64)
         return np.log10((1.0 - FLOOR) * np.exp(logit - normal[previous, topic]) + FLOOR * self.noise[classes])
 
     def step(self, topic: np.ndarray, previous: np.ndarray, target: np.ndarray, noise: np.ndarray, touched: np.ndarray) -> None:
@@ -275,11 +302,14 @@ class Model:
         the same noise words. Rows change by their own accumulated gradient."""
         p = self.rows
         hidden, mix = self.hidden(topic, previous), p[self.mix :, :WIDTH]
-        true, false = p[target], p[noise]
-        miss = _sigmoid(np.einsum("bd,bd->b", hidden, true) - self.odds[target]) - 1.0
-        hit = _sigmoid(_product(hidden, false.T) - self.odds[noise])
-        back = miss[:, None] * true
-        back += _product(hit, false)
+        true, false = p.take(target, axis=0), p.take(noise, axis=0)
+        miss = _sigmoid_of_minus(self.odds[target] - np.einsum("bd,bd->b", hidden, true)) - 1.0
+        away = -false
+        away[:, WIDTH] += self.odds[noise]  # hidden has a one there
+        hit = _sigmoid_of_minus(_product(hidden, away.T))
+        back = _product(hit, false)
+        true *= miss[:, None]
+        back += true
         back[:, WIDTH] = 0.0
         hidden_miss = miss[:, None] * hidden
         words, outward, out_times = _by_row(np.concatenate([target, noise]), np.concatenate([hidden_miss, _product_of_rows(hit, hidden)]))
@@ -287,13 +317,13 @@ class Model:
         turn = np.zeros((WIDTH, WIDTH + 1), np.float32)
         turn[:, :WIDTH] = _product_of_rows(p[self.input + before, :WIDTH], inward[:, :WIDTH])
         inward[:, :WIDTH] = _product(inward[:, :WIDTH], mix.T)
-        of_topic = topic[:, None] == np.arange(GROUPS + 1)
-        led = np.flatnonzero(of_topic.any(0))
+        led, of_topic, led_times = _by_row(topic, back)
         row = np.concatenate([words, self.input + before, self.topic + led, np.arange(self.mix, len(p))])
-        grad = np.concatenate([outward, inward, _product_of_rows(of_topic[:, led].astype(np.float32), back), turn])
-        touched[row] += np.concatenate([out_times, in_times, of_topic[:, led].sum(0), np.ones(WIDTH, np.int64)])
-        self.square[row] += np.einsum("rd,rd->r", grad, grad) / (WIDTH + 1)
-        grad *= (RATE / np.sqrt(self.square[row]))[:, None]
+        grad = np.concatenate([outward, inward, of_topic, turn])
+        touched[row] += np.concatenate([out_times, in_times, led_times, np.ones(WIDTH, np.int64)])
+        square = self.square.take(row) + np.einsum("rd,rd->r", grad, grad) / (WIDTH + 1)
+        self.square[row] = square
+        grad *= (RATE / np.sqrt(square))[:, None]
         p[row] -= grad
 
 
@@ -381,6 +411,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, (model, normal, groups) = shared.value, learned.value
+        carried = model.carried(np.arange(model.classes + 1))
         known = np.log10(vocab.count + 1.0)
         end = np.log10(vocab.n_texts + 1.0)
         for b in batches:
@@ -392,7 +423,7 @@ def score(docs: DataFrame) -> DataFrame:
                 counted = np.zeros(len(codes))
                 counted[codes >= 0] = known[codes[codes >= 0]]
                 counted[codes == -1] = end
-                p = model.log_p(topic, previous, classes, normal) + np.where(classes <= vocab.own, 0.0, counted + vocab.log_share[classes])
+                p = model.log_p(topic, previous, classes, normal, carried) + np.where(classes <= vocab.own, 0.0, counted + vocab.log_share[classes])
                 sums = lambda v: np.add.reduceat(v, bounds[:-1])
                 n_known = sums(((codes >= 0) | ((codes == -1) & (vocab.n_texts > 0))).astype(np.int64))
                 yield pd.DataFrame({

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ashlar.llm import decontam, html, licenses, lm, mixing, quality, secrets, urls
@@ -177,3 +178,21 @@ def test_a_code_has_one_class_fine_and_coarse():
     assert list(codes) == [0, 1, -2 - lm._rest(b"zz"), -1] and dict(rare) == {b"zz": 1}
     assert list(vocabulary.classed(codes, 1)) == [1, 2 + lm._rest(b"b"), 2 + lm._rest(b"zz"), 0]
     assert vocabulary.class_tokens.sum() == vocabulary.n_tokens == 11
+
+
+def test_topics_lead_by_count_and_ties_go_to_the_first():
+    rng = np.random.default_rng(4)
+    groups, coarse = rng.integers(0, lm.GROUPS, lm.COARSE), rng.integers(0, lm.COARSE, 500)
+    bounds = np.array([0, 1, 1 + 37, 300, 500])
+    got = lm.topics(coarse, bounds, groups)
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        for i in range(lo, hi):
+            votes = np.bincount(groups[coarse[lo:i]], minlength=lm.GROUPS)
+            assert got[i] == (votes.argmax() if i > lo else lm.GROUPS)
+
+
+def test_counts_are_whole_when_a_tally_is_handed_on_early(monkeypatch):
+    monkeypatch.setattr(lm, "TALLY", 3)
+    parts = list(lm._counted(iter([pd.DataFrame({"text": ["a b c d", "a", None, "", "A b"]}), pd.DataFrame({"text": ["d"]})])))
+    assert len(parts) == 2
+    assert pd.concat(parts).groupby("h")["n"].sum().to_dict() == {lm._hash(w): n for w, n in ((b"a", 3), (b"b", 2), (b"c", 1), (b"d", 2))}
