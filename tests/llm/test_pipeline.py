@@ -20,3 +20,14 @@ def test_stages(spark):
         assert len(now) >= 0.5 * len(ids)
         ids = now
     assert docs.filter("taken > 2 * size or taken <= 0").count() == 0
+
+
+def test_empty_documents_give_an_empty_mix(spark):
+    docs = table(spark, SF, "documents").limit(0)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = durable(stage(spark, docs, SF), name)
+        assert docs.count() == 0
+        if name != "mix":
+            assert docs.columns == columns
+    assert docs.columns == ["doc_id", "source", "size", "target", "taken"]
