@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, html, licenses, lm, mixing, neardup, quality, secrets, urls
+from . import decontam, embeddings, html, infill, licenses, lm, merkle, mixing, neardup, quality, secrets, spelling, urls
 
-_MODULES = (neardup, licenses, embeddings, html, lm, quality, secrets, decontam, mixing, urls)
+_MODULES = (neardup, licenses, embeddings, html, lm, quality, secrets, decontam, mixing, urls, spelling, merkle, infill)
 
 
 def queries() -> dict:
