@@ -20,12 +20,6 @@ def rollup(findings: DataFrame, triage: DataFrame, order: list[str]) -> DataFram
     return got.join(triage, "hash", "left").withColumn("status", F.coalesce("status", F.lit("open")))
 
 
-def resolve_status(triage_status: str, fixed_at: str, last_seen: str):
-    """Accepted and false positives, then fixed if not seen since, then triage, then open."""
-    t, f, s = F.col(triage_status), F.col(fixed_at), F.col(last_seen)
-    return F.when(t.isin("accepted_risk", "false_positive"), t).when(f.isNotNull() & (f >= s), F.lit("fixed")).otherwise(F.coalesce(t, F.lit("open")))
-
-
 def last_scan_of_repo(scans: DataFrame, n: int = 1) -> DataFrame:
     """The n-th latest scan of each (project, repo), as of any later scan. Tasks
     keep the n latest of each repo before rows are sent."""

@@ -5,6 +5,8 @@ Each view is built with the DataFrame API and, for the oracle, as one CTE.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,22 @@ def oracle(sql: str, *names: str) -> str:
     return f"{head},\n{more}" if more else f"{head}\n{body}"
 
 
+def registry() -> tuple[dict, dict, Callable]:
+    """QUERIES, ORACLES and the decorator that enters a plan, with its SQL over views, in both."""
+    queries, oracles = {}, {}
+
+    def query(sql: str | None = None, *views: str):
+        def keep(f):
+            queries[f.__name__] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
+            if sql:
+                oracles[f.__name__] = oracle(sql, *views) if views else sql
+            return f
+
+        return keep
+
+    return queries, oracles, query
+
+
 class Corpus:
     """The views of one data folder."""
 

@@ -32,15 +32,6 @@ def finding_rollup(c):
     return op.rollup(c.findings(), c.triage(), _ORDER)
 
 
-@query(f"""with {_ROLL}, s as (select r.hash, case when t.status in ('accepted_risk', 'false_positive') then t.status when r.scan_count <= 5 then 'fixed' else coalesce(t.status, 'open') end as status
-  from roll r left join triage t using (hash)) select status, count(*)::bigint as n from s group by status""", "findings", "triage")
-def findings_status_counts(c):
-    """Few sightings stand for a fix at the last one."""
-    got = op.rollup(c.findings(), c.triage(), _ORDER)
-    got = got.withColumn("t", F.nullif("status", F.lit("open"))).withColumn("fixed_at", F.when(F.col("scan_count") <= 5, F.col("last_seen")))
-    return got.groupBy(op.resolve_status("t", "fixed_at", "last_seen").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _MEASURES = """measures as (select scan_id, repo, count(*)::bigint as total, count(*) filter (severity = 1)::bigint as critical, count(*) filter (severity = 2)::bigint as high, count(*) filter (severity = 3)::bigint as medium,
   count(*) filter (severity = 4)::bigint as low, count(*) filter (severity = 1 and context = 'production')::bigint as critical_prod, count(*) filter (severity = 2 and context = 'production')::bigint as high_prod from findings group by scan_id, repo),
 risks as (select *, critical * 10 + high * 5 + medium * 2 + low + critical_prod * 4 + high_prod * 2 as risk from measures)"""

@@ -7,11 +7,10 @@ from decimal import Decimal
 import pytest
 
 import __spark_entry__ as entry
-from ashlar.plans import detectors, findings, history, more, texts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [(p, n) for p in (findings, history, texts, more, detectors) for n in p.QUERIES]
+NAMES = [(p, n) for p in entry.PLANS for n in p.QUERIES]
 
 
 @pytest.fixture(scope="module")
