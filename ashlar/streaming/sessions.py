@@ -29,7 +29,10 @@ class KeyedTable:
 
     Columns of ``merge`` are added up (``sum``) or kept at their largest (``max``);
     all others are those of the latest update, of which the newer batch wins ties. A row
-    whose column ``deleted`` is true removes its key unless a later update is there.
+    whose column ``deleted`` is true removes its key unless a later update is there; it
+    stays in the files, unseen, so that an older update that comes late brings nothing
+    back. Sums start anew after a deletion; where columns are added up, a deletion
+    must not come in a later batch than updates that follow it.
     ``buckets`` is fixed when the table is made; ``keep`` manifests stay readable.
     """
 
@@ -53,11 +56,12 @@ class KeyedTable:
 
     def _rows(self, manifest: dict, only: set[int] | None = None) -> DataFrame:
         at = [f"{self.path}/data/{v}/bucket={b}" for b, v in manifest["buckets"].items() if only is None or int(b) in only]
-        return self.spark.read.schema(self.schema).parquet(*at) if at else self.spark.createDataFrame([], self.schema)
+        schema = f"{self.schema}, {DELETED} boolean"
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table as of the newest manifest, or of an older one that is kept."""
-        return self._rows(self.manifest(version))
+        return self._rows(self.manifest(version)).filter(~F.col(DELETED)).drop(DELETED)
 
     def _commit(self, manifest: dict, rows: DataFrame, touched: set[int], writer: str, batch: int) -> None:
         version = self.version() + 1
@@ -96,18 +100,17 @@ class KeyedTable:
         batch.persist()
         try:
             touched = {r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()}  # ``buckets`` numbers at most
-            old = self._rows(manifest, touched).withColumn(DELETED, F.lit(False)).withColumn("__n", F.lit(0))
+            old = self._rows(manifest, touched).withColumn("__n", F.lit(0))
             both = old.unionByName(batch.withColumn("__n", F.lit(1)))
             rest = [c for c in names if c not in self.key and c not in self.merge]
             rank = F.struct(self.at, "__n")
-            # sums leave out what was before a deletion
             latest = both.groupBy(*self.key).agg(F.max_by(F.struct(*rest, DELETED), rank).alias("__r"), F.max(F.when(F.col(DELETED), rank)).alias("__d"))
             alive = both.join(latest.select(*self.key, "__d"), self.key).filter(F.col("__d").isNull() | (rank > F.col("__d")))
             sums = [(F.sum(c) if how == "sum" else F.max(c)).alias(c) for c, how in self.merge.items()]
-            merged = latest.filter(~F.col("__r")[DELETED]).select(*self.key, *[F.col("__r")[c].alias(c) for c in rest])
+            merged = latest.select(*self.key, *[F.col("__r")[c].alias(c) for c in [*rest, DELETED]])
             if sums:
-                merged = merged.join(alive.groupBy(*self.key).agg(*sums), self.key)
-            self._commit(manifest, merged.select(*names), touched, writer, number)
+                merged = merged.join(alive.groupBy(*self.key).agg(*sums), self.key, "left")
+            self._commit(manifest, merged.select(*names, DELETED), touched, writer, number)
         finally:
             batch.unpersist()
         return True
@@ -120,7 +123,7 @@ class KeyedTable:
         manifest = self.manifest()
         if manifest["batches"].get(writer, -1) >= number:
             return False
-        batch = batch.select(*[f.name for f in self.spark.createDataFrame([], self.schema).schema])
+        batch = batch.select(*[f.name for f in self.spark.createDataFrame([], self.schema).schema]).withColumn(DELETED, F.lit(False))
         touched = {r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()}
         rows = self._rows(manifest, touched).join(batch.select(by).distinct(), by, "left_anti").select(*batch.columns).unionByName(batch)
         self._commit(manifest, rows, touched, writer, number)
@@ -133,7 +136,8 @@ class KeyedTable:
             return False
         keys = keys.select(*self.key).distinct()
         touched = {r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()}
-        self._commit(manifest, self._rows(manifest, touched).join(keys, self.key, "left_anti").select(*self._rows(manifest, set()).columns), touched, writer, number)
+        held = self._rows(manifest, touched)
+        self._commit(manifest, held.join(keys, self.key, "left_anti").select(*held.columns), touched, writer, number)
         return True
 
     def follow(self, stream: DataFrame, checkpoint: str, writer: str) -> StreamingQuery:

@@ -88,6 +88,15 @@ def test_keyed_table_equals_all_updates(spark, tmp_path):
     assert len([n for n in Folder(spark, t.path).names("manifests") if n.isdigit()]) == 2
 
 
+def test_a_late_older_update_brings_nothing_back(spark, tmp_path):
+    t = table(spark, tmp_path)
+    t.upsert(spark.createDataFrame([(1, 5, "x", 1, 1, True)], SCHEMA + ", deleted boolean"), 0)
+    t.upsert(spark.createDataFrame([(1, 4, "y", 1, 1)], SCHEMA), 1)
+    assert t.read().count() == 0
+    t.upsert(spark.createDataFrame([(1, 6, "z", 2, 1)], SCHEMA), 2)
+    assert [r["hits"] for r in t.read().collect()] == [2]
+
+
 def test_commit_rewrites_touched_buckets_only(spark, tmp_path):
     t = table(spark, tmp_path)
     t.upsert(spark.createDataFrame([(i, 0, "x", 1, 1) for i in range(40)], SCHEMA), 0)
