@@ -40,6 +40,10 @@ class Folder:
         where = self._at(f"{self.path}/{below}" if below else self.path)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
 
+    def glob(self, pattern: str) -> list[str]:
+        """Full paths that match the pattern below the folder."""
+        return sorted(s.getPath().toString() for s in self._fs.globStatus(self._at(f"{self.path}/{pattern}")) or [])
+
     def create(self, name: str, text: str) -> None:
         """Writes a new file; fails if there is one."""
         out = self._fs.create(self._at(f"{self.path}/{name}"), False)
