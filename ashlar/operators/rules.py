@@ -70,16 +70,17 @@ SINK = r"(?i)(?:openai|anthropic|client|llm|chain|model)\.?\w*\.(?:create|invoke
 SUSPECT = r"(?i)(?:password|passwd|secret|token|api_?key|credential|private_?key)"
 
 
-def applies(r: Rule) -> Column:
+def applies(r: Rule, held: str | None = None) -> Column:
     """A rule fits a file by its class and guards: config rules skip code files,
-    others skip config files, files that are neither take all."""
+    others skip config files, files that are neither take all. Guards are looked for in
+    the content, or among those that the column ``held`` says hold."""
     code, config = F.lower("path").rlike(CODE), F.lower("path").rlike(CONFIG)
     fits = (~code | config) if r.config_only else (~config | code)
     if r.anchors:
-        held = [F.contains(F.col("lowered"), F.lit(a)) for a in r.anchors]
-        fits = reduce(or_, held) & fits
+        anchored = [F.contains(F.col("lowered"), F.lit(a)) for a in r.anchors]
+        fits = reduce(or_, anchored) & fits
     if r.guard:
-        fits = fits & F.col("content").rlike(r.guard)
+        fits = fits & (F.array_contains(held, r.guard) if held else F.col("content").rlike(r.guard))
     return fits & F.lower("path").rlike(r.path) if r.path else fits
 
 
@@ -117,6 +118,7 @@ def around(lines: Column, line: Column, before: int, after: int, width: int) ->
 
 def detect(
     files: DataFrame, rules=RULES, bump: bool = True, stripped: bool = True, noise: dict[str, str] = NOISE, exclude: tuple[tuple[str, str], ...] = (), allow: tuple[str, ...] = (), deny: tuple[str, ...] = (),
+    held: str | None = None,
 ) -> DataFrame:
     """Findings of every applicable rule in ``files`` (repo, path, content).
 
@@ -124,14 +126,15 @@ def detect(
     raw one. ``noise`` maps a slug to a pattern over the lines from 8 before to 3
     after, in which it counts for nothing; ``exclude`` has (path pattern, slug) that
     never count; ``allow`` and ``deny`` are patterns over the match that set the
-    policy status. All rules are one projection over a file's text and one explode:
+    policy status; ``held`` is a column of the guards that hold, where a file is a part
+    of what guards are looked for in. All rules are one projection over a file's text and one explode:
     files are read once, no text is shuffled, and a match row carries its snippet
     instead of the file. Rows: repo, path, ordinal, rule, category, capability,
     severity, context, start, line, match, snippet, id, confidence, policy_status.
     """
     found = []
     for i, r in enumerate(rules):
-        fits = applies(r)
+        fits = applies(r, held)
         for pattern, slug in exclude:
             fits = fits & ~F.col("path").rlike(pattern) if slug == r.slug else fits
         parts = F.struct(F.lit(i).alias("ordinal"), F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0)).alias("hits"), F.split("content", r.pattern, -1).alias("gaps"))
@@ -217,37 +220,17 @@ def deleted_file_findings(deleted: DataFrame, rules=RULES) -> DataFrame:
 
 
 def high_entropy(files: DataFrame, least: float = 4.5, around: int = 200, low: int = 20, high: int = 120) -> DataFrame:
-    """Quoted literals of many bits with a suspect name nearby, one a line."""
-    found = matches(files, ["repo", "path", "content"], "content", rf"[\"'][^\"'\s]{{{low},{high}}}[\"']")
-    value = F.substring(F.col("match"), F.lit(2), F.length("match") - 2)
-    near = F.substring(F.col("content"), F.greatest(F.col("start") - around + 1, F.lit(1)).cast("int"), (F.length("match") + 2 * around).cast("int"))
-    kept = found.withColumn("value", value).filter((distinct_chars(F.col("value")) >= 6) & (entropy(F.col("value")) >= least) & near.rlike(SUSPECT))
-    return kept.groupBy("repo", "path", "line").agg(F.min_by(F.struct("start", "value"), "start").alias("v")).select("repo", "path", "line", "v.start", "v.value")
-
-
-def exfiltration(files: DataFrame, source: str, sink: str = SINK, before: int = 2, after: int = 12) -> DataFrame:
-    """Lines that read data with a sink in the lines around them."""
-    found = matches(files.filter(F.col("content").rlike(sink)), ["repo", "path", "content"], "content", source)
-    first = F.greatest(F.col("line") - before, F.lit(1)).cast("int")
-    window = F.array_join(F.slice(F.split("content", "\n", -1), first, (F.col("line") + after).cast("int") - first + 1), "\n")
-    return found.filter(window.rlike(sink)).select("repo", "path", "line", "match")
+    """Quoted literals of many bits with a suspect name nearby, one a line. Literals
+    are judged within the row: what leaves it is kept."""
+    text = F.col("content")
+    value = lambda m: F.substring(m["match"], F.lit(2), F.length(m["match"]) - 2)
+    near = lambda m: F.substring(text, F.greatest(m["start"] - around + 1, F.lit(1)), F.length(m["match"]) + 2 * around)
+    kept = F.filter(match_array(text, rf"[\"'][^\"'\s]{{{low},{high}}}[\"']"), lambda m: (distinct_chars(value(m)) >= 6) & (entropy(value(m)) >= least) & near(m).rlike(SUSPECT))
+    found = files.filter(text.rlike(SUSPECT)).select("repo", "path", F.explode(F.transform(kept, lambda m: F.struct(m["line"].alias("line"), m["start"].alias("start"), value(m).alias("value")))).alias("m"))
+    return found.groupBy("repo", "path", "m.line").agg(F.min(F.struct("m.start", "m.value")).alias("v")).select("repo", "path", "line", "v.start", "v.value")
 
 
 CONSTRUCTORS = {"openai": r"(?:Async|Azure)?OpenAI", "anthropic": r"(?:Async)?Anthropic", "cohere": r"cohere\.Client", "mistral": r"Mistral(?:Client)?", "groq": r"Groq", "langchain": r"Chat(?:OpenAI|Anthropic)"}
-CALLS = r"(?:create|complete|completions|chat|generate|invoke|run|predict|stream|embed|messages|responses|ask)"
-
-
-def symbol_calls(files: DataFrame) -> DataFrame:
-    """Calls on variables that hold a client: the last assignment to a variable
-    names its provider; equi-join of assignments and calls on file and variable."""
-    names = F.lit(None).cast("string")
-    for provider, ctor in reversed(CONSTRUCTORS.items()):
-        names = F.when(F.col("match").rlike(rf"=\s*(?:{ctor})\("), F.lit(provider)).otherwise(names)
-    key = ["repo", "path"]
-    made = matches(files, key, "content", rf"\b[A-Za-z_]\w*\s*=\s*(?:{'|'.join(CONSTRUCTORS.values())})\(")
-    made = made.select(*key, F.regexp_extract("match", r"^(\w+)", 1).alias("var"), names.alias("provider"), "start").groupBy(*key, "var").agg(F.max_by("provider", "start").alias("provider"))
-    calls = matches(files, key, "content", rf"\b[A-Za-z_]\w*(?:\.\w+)*\.{CALLS}\(").select(*key, "line", "match", F.regexp_extract("match", r"^(\w+)", 1).alias("var"))
-    return calls.join(made, [*key, "var"])
 
 
 def cross_file_credentials(files: DataFrame) -> DataFrame:

@@ -53,13 +53,13 @@ def minified_findings(c):
 
 
 @query(f"""with log as (select source as repo, doc_id as position, concat('c', doc_id % 97) as commit, concat('notes/d', doc_id % 300, '.md') as path, text from documents),
-kept as (select repo, path, arg_min(commit, struct_pack(a := position, b := commit)) as commit from (select *, row_number() over (partition by repo order by position, commit, path) as n from log) where n <= 200 group by repo, path),
-f as (select distinct repo, path, commit, text from log join kept using (repo, path, commit) where length(text) between 1 and 500000)
+kept as (select repo, path, arg_min(commit, struct_pack(a := position, b := commit)) as commit from log group by repo, path),
+f as (select distinct repo, path, commit, text from log join kept using (repo, path, commit) where length(text) > 0)
 select repo, path, commit, rule, line, match, 1 as severity, 'CRITICAL' as policy_status from {_found("f", "repo, path, commit, text", "text", _TOKEN, "hardcoded_credential")}
 union all select repo, path, commit, rule, line, match, 3, 'REVIEW' from {_found("f", "repo, path, commit, text", "text", _EMAIL, "email_address")}""")
 def deleted_file_findings(c):
     log = c.table("documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("position"), F.concat(F.lit("c"), F.col("doc_id") % 97).alias("commit"), F.concat(F.lit("notes/d"), F.col("doc_id") % 300, F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    return rules.deleted_file_findings(src.deleted_files(log).distinct(), FEW).select("repo", "path", "commit", "rule", "line", "match", "severity", "policy_status")
+    return rules.deleted_file_findings(src.deleted_files(log, None, None).distinct(), FEW).select("repo", "path", "commit", "rule", "line", "match", "severity", "policy_status")
 
 
 @query("""with made as (select distinct concat('repo_', s_suppkey % 50) as repo, concat('m', s_suppkey, '.py') as source, concat('client_', s_suppkey % 7) as name, case s_suppkey % 3 when 0 then 'openai' when 1 then 'anthropic' else 'groq' end as provider from supplier),

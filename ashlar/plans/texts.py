@@ -81,12 +81,6 @@ def line_counts(c):
     return c.table("documents").select("doc_id", F.size(tx.lines(F.col("text"))).alias("lines"), F.length("text").alias("chars"))
 
 
-@query()
-def entropy_literals(c):
-    """Quoted literals of 3.5 bits and more near a credential name."""
-    return rules.high_entropy(c.files(), 3.5)
-
-
 @query("""select repo, path, case when path like 'tests/%' then 'test' when path like 'docs/%' or path like '%.md' then 'docs' else 'production' end as context from files""", "files")
 def path_context(c):
     return c.files().select("repo", "path", tx.path_class(F.col("path")).alias("context"))

@@ -75,11 +75,15 @@ def read_baseline(spark: SparkSession, path: str, key: str = "finding_id") -> Da
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "__n")]), "__n").alias("r")).select(key, "r.*")
 
 
-def deleted_files(log: DataFrame, most: int = 200, max_chars: int = 500_000) -> DataFrame:
+def deleted_files(log: DataFrame, most: int | None = 200, max_chars: int | None = 500_000) -> DataFrame:
     """Newest deletion of each path in a history log (repo, position, commit, path,
-    content): the first ``most`` entries of a repository count, as a history scan reads them."""
-    newest = W.partitionBy("repo").orderBy("position", "commit", "path")  # tasks keep the first rows before they are sent
-    kept = log.filter(scannable(F.col("path"))).select("repo", "position", "commit", "path").withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= most)
+    content): the first ``most`` entries of a repository count, as a history scan reads
+    them, and texts of up to ``max_chars``; None for all."""
+    kept = log.filter(scannable(F.col("path"))).select("repo", "position", "commit", "path")
+    if most is not None:
+        newest = W.partitionBy("repo").orderBy("position", "commit", "path")  # tasks keep the first rows before they are sent
+        kept = kept.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= most)
     kept = kept.groupBy("repo", "path").agg(F.min(F.struct("position", "commit")).alias("first"))
-    text = log.select("repo", "commit", "path", "content").filter((F.length("content") > 0) & (F.length("content") <= max_chars))
+    text = log.select("repo", "commit", "path", "content").filter(F.length("content") > 0)
+    text = text if max_chars is None else text.filter(F.length("content") <= max_chars)
     return kept.select("repo", "path", F.col("first.commit").alias("commit")).join(text, ["repo", "commit", "path"]).withColumn("label", F.concat(F.lit("[DELETED]"), "path"))
