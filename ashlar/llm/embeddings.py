@@ -3,10 +3,12 @@
 Unit vectors are cut into halves, each with a codebook of k-means centres, whose
 product is a grid of cells; every distinct vector is indexed in the cell of its
 two nearest centres. A query visits cells in order of the sum of its two squared
-distances (multi-sequence traversal) and is compared with all vectors there. How
-many cells it visits is measured: the true links of sample queries to all other
-vectors are found by brute force, and the traversal goes on until ``TARGET`` of
-them are reached.
+distances (multi-sequence traversal) and is compared with all vectors there. A link
+is found if either end visits the other's cell. How many cells are visited is
+measured on two sorts of links, of which the one that needs more counts: the true links of
+sample queries to all other vectors, found by brute force, of which ``TARGET`` are to be
+reached, and, as a table may hold too few of those to learn from, links made for the
+purpose, which are as long as a link can be and of which ``PLANTED`` are to be reached.
 
 The grid grows with the root of the number of vectors, so a cell holds
 ``CELL_ROWS`` on the mean. Equal vectors are one entry with a count. Cells are
@@ -30,10 +32,11 @@ from .common import durable, table
 from .components import components
 
 COSINE = 0.9
-CELL_ROWS = 64
+CELL_ROWS = 256
 MAX_CENTRES = 512
-SAMPLE, SAMPLE_QUERIES = 20_000, 400
-TARGET = 0.995
+SAMPLE, SAMPLE_QUERIES, SAMPLE_PLANTED = 20_000, 400, 2_000
+ENOUGH_LINKS, MOST_COMPARED = 1_000, 2_000_000_000
+TARGET, PLANTED = 0.995, 0.95
 BLOCK = 2048
 
 
@@ -87,7 +90,7 @@ class MultiIndex:
         k = min(MAX_CENTRES, max(1, math.ceil(math.sqrt(n / CELL_ROWS))), len(sample))
         self.books = [centres(sample[:, :half], k), centres(sample[:, half:], k)] if half else [np.zeros((1, 0)), centres(sample, k)]
         self.width = len(self.books[1])
-        self.visits = min(len(self.books[0]) * self.width, 8)  # until calibrated
+        self.visits = len(self.books[0]) * self.width  # all, until calibrated
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple((c * c).sum(1)[None, :] - 2.0 * (h @ c.T) for c, h in zip(self.books, (x[:, : self.half], x[:, self.half :]), strict=True))
@@ -109,26 +112,59 @@ class MultiIndex:
         return int(np.searchsorted(np.sort(b), far - a + 1e-12, side="right").sum())
 
 
-def calibrated(nodes: DataFrame, index: MultiIndex, asked: np.ndarray, queries: np.ndarray, cosine: float) -> int:
-    """Visits that reach ``TARGET`` of the links of the queries (their nodes are
-    ``asked``) to all of ``nodes`` but themselves."""
+    def pair_ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For pairs of rows how far the end that is nearer has to go to the other's cell."""
+        (xa, xb), (ya, yb) = self.distances(x), self.distances(y)
+        hx, hy = xa.argmin(1) * self.width + xb.argmin(1), ya.argmin(1) * self.width + yb.argmin(1)
+        return np.array([min(self.rank(xa[i], xb[i], hy[i]), self.rank(ya[i], yb[i], hx[i])) for i in range(len(x))], dtype=np.int64)
+
+
+def planted(x: np.ndarray, cosine: float, seed: int = 5) -> np.ndarray:
+    """A partner at exactly ``cosine`` for each row: half in random directions, half in
+    those of other rows, as a table's vectors may vary in a few directions only."""
+    rng = np.random.default_rng(seed)
+    r = rng.normal(size=x.shape)
+    half = len(x) // 2
+    r[half:] = x[rng.integers(0, len(x), len(x) - half)] - x[half:]
+    r -= (r * x).sum(1)[:, None] * x
+    size = np.linalg.norm(r, axis=1)[:, None]
+    return cosine * x + math.sqrt(1.0 - cosine * cosine) * np.where(size > 1e-9, r / np.maximum(size, 1e-9), 0.0)
+
+
+def link_ranks(nodes: DataFrame, index: MultiIndex, asked: np.ndarray, queries: np.ndarray, cosine: float) -> list[tuple[int, int]]:
+    """(rank, links) of all links of the queries (their nodes are ``asked``) to ``nodes``
+    but themselves: every row is compared with every query, in tasks."""
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        da, db = index.distances(queries)
         for batch in batches:
             if len(batch):
                 x = np.array(batch["x"].tolist())
                 q, hit = np.nonzero((queries @ x.T >= cosine) & (asked[:, None] != batch["node"].to_numpy()[None, :]))
-                found, n = np.unique(np.c_[q, index.homes(x)[hit]], axis=0, return_counts=True)
-                yield pd.DataFrame({"rank": pd.Series([index.rank(da[r], db[r], c) for r, c in found], dtype="int64"), "n": pd.Series(n, dtype="int64")})
+                found, n = np.unique(np.concatenate([index.pair_ranks(queries[q[at : at + 4096]], x[hit[at : at + 4096]]) for at in range(0, len(q), 4096)] or [np.zeros(0, np.int64)]), return_counts=True)
+                yield pd.DataFrame({"rank": found.astype("int64"), "n": n.astype("int64")})
 
     ranks = nodes.select("node", "x").mapInPandas(ranked, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
-    ranks = sorted((r["rank"], r["n"]) for r in ranks.collect())  # a row a rank, so no more than cells
-    if not ranks:
-        return index.visits
-    reached = np.cumsum([n for _, n in ranks])
-    at = ranks[int(np.searchsorted(reached, TARGET * reached[-1]))][0]
-    return int(min(len(index.books[0]) * index.width, max(2, at + 1)))
+    return sorted((r["rank"], r["n"]) for r in ranks.collect())  # a row a rank, so no more than cells
+
+
+def calibrated(nodes: DataFrame, n: int, index: MultiIndex, sample: np.ndarray, cosine: float) -> int:
+    """Cells that a query visits, so that ``TARGET`` of the true links of sample queries
+    and ``PLANTED`` of planted links are found. The queries grow fourfold until they have
+    ``ENOUGH_LINKS``, are the whole table, or would compare ``MOST_COMPARED`` pairs."""
+    base = sample[:SAMPLE_PLANTED]
+    far = np.sort(index.pair_ranks(base, planted(base, cosine)))
+    need = int(far[min(len(far) - 1, math.ceil(PLANTED * len(far)) - 1)])
+    size = SAMPLE_QUERIES
+    while True:
+        asked = nodes.orderBy(F.xxhash64("node", F.lit(1))).limit(size).select("node", "x").collect()  # not those that lie nearest to centres
+        ranks = link_ranks(nodes, index, np.array([s["node"] for s in asked]), np.array([s["x"] for s in asked]), cosine)
+        if sum(k for _, k in ranks) >= ENOUGH_LINKS or size >= n or 4 * size * n > MOST_COMPARED:
+            break
+        size *= 4
+    if ranks:
+        reached = np.cumsum([k for _, k in ranks])
+        need = max(need, ranks[int(np.searchsorted(reached, TARGET * reached[-1]))][0])
+    return int(min(len(index.books[0]) * index.width, need + 1))
 
 
 def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -154,9 +190,9 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():  # one row a length of vectors
         part = nodes.filter(F.col("dim") == r["dim"])
         sample = part.orderBy(F.xxhash64("node")).limit(SAMPLE).select("x").collect()  # a bounded sample trains the codebooks
-        index = MultiIndex(np.array([s["x"] for s in sample]), r["n"])
-        asked = part.orderBy(F.xxhash64("node", F.lit(1))).limit(SAMPLE_QUERIES).select("node", "x").collect()  # not those that lie nearest to centres
-        index.visits = calibrated(part, index, np.array([s["node"] for s in asked]), np.array([s["x"] for s in asked]), cosine)
+        sample = np.array([s["x"] for s in sample])
+        index = MultiIndex(sample, r["n"])
+        index.visits = calibrated(part, r["n"], index, sample, cosine)
         found = _searched(part, index, cosine)
         sums.append(found.filter("b is null").select(F.col("a").alias("node"), "n"))
         edges.append(found.filter("b is not null").select("a", "b"))
@@ -192,7 +228,7 @@ def _searched(nodes: DataFrame, index: MultiIndex, cosine: float) -> DataFrame:
     mine = lambda of, n: F.pmod(F.xxhash64(F.col("node"), F.lit(of)), F.col(n)).cast("int")
     stored = homed.withColumn("cell", F.col("home")).join(blocks, "cell").withColumn("i", mine(1, "ib")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
     queries = queries.join(blocks, "cell").withColumn("q", mine(2, "qb")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ib") - 1)))
-    columns = ["cell", "i", "q", "node", "copies", "x", "home", "cells"]
+    shared = ["cell", "i", "q", "node", "copies", "x"]  # a visiting query tells its home, a stored vector the cells it visits
 
     def compared(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """left: visiting queries; right: vectors of the cell."""
@@ -226,8 +262,9 @@ def _searched(nodes: DataFrame, index: MultiIndex, cosine: float) -> DataFrame:
         sums = pd.DataFrame({"a": np.r_[nq, ni], "b": pd.array([None] * (len(nq) + len(ni)), "Int64"), "n": np.r_[n_q, n_i].astype("int64")})
         return pd.concat([sums[sums["n"] > 0], pd.DataFrame({"a": label[moved], "b": pd.array(label[root[moved]], "Int64"), "n": 0})])
 
+    columns = [*shared, "cells"]
     stored = stored.select([F.col(c).alias(f"{c}_") for c in columns]).toDF(*columns)  # columns of its own: both sides read one table
-    both = queries.select(columns).groupBy("cell", "i", "q").cogroup(stored.groupBy("cell", "i", "q"))
+    both = queries.select(*shared, "home").groupBy("cell", "i", "q").cogroup(stored.groupBy("cell", "i", "q"))
     return durable(both.applyInPandas(compared, "a long, b long, n long"), "vector-links")
 
 
