@@ -1,13 +1,16 @@
 """URL filters: fixed rules, then a path-template tree.
 
 A URL that no rule decides is judged by its template. The segments of a path
-are typed (digits become ``{n}``, long hexadecimal runs ``{h}``), URLs are
-counted by host and typed path, and the counts of all prefixes form one tree a
-host. In it, a position under which most children are seen once or twice is
-variable: its children become ``*``. Siblings whose share of bad labels does
-not differ (two-proportion z-test) merge into ``~``. What is left is the
-template; it is rejected if the share of bad labels among all of its URLs,
-smoothed by a prior, reaches ``REJECT``.
+are typed (digits become ``{n}``, long hexadecimal runs ``{h}``), and the distinct
+paths of each host form a tree that is generalised level by level, from the host down. The
+children of a node are grouped by the template above them, so what lies below a
+variable segment is one node however many values the segment has. A node most of
+whose children are seen once or twice is variable: its children become ``*``. Of
+others those branches merge whose shares of bad labels do not differ: branches
+of one share (to 1/256) are pooled, and in order of share each is tested against the
+next (two-proportion z-test); a run without a difference becomes ``~`` with its number.
+What is left is the template; it is rejected if the share of bad labels among all of
+its URLs, smoothed by a prior, reaches ``REJECT``.
 
 Labels have two sides. A URL decided by a rule carries the rule's verdict; of the
 others one whose host or path has a word of ``BAD_WORDS`` counts as bad and one
@@ -21,17 +24,20 @@ distinct typed paths. Segments below ``LEVELS`` are one last segment, by its has
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 
 #: verdict, host, start of path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BAD_WORDS = ("adult", "ads", "bets", "casino", "escort", "gambling", "malware", "phishing", "pills", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx")
 LEVELS = 8
 VARIABLE_CHILDREN, VARIABLE_MEAN = 20, 3.0
-MERGE_LABELS, MERGE_Z = 5, 1.96
+SHARES, MERGE_Z = 256, 1.96
 PRIOR, STRENGTH, REJECT = 0.05, 4.0, 0.5
 
 
@@ -65,31 +71,54 @@ def typed_path(path: Column) -> Column:
     return F.array_join(F.when(F.size(segments) > LEVELS, F.concat(F.slice(segments, 1, LEVELS), rest)).otherwise(segments), "/")
 
 
+def _general(kids: DataFrame) -> DataFrame:
+    """host, prefix, seg, general: what each child of a node is called. ``kids`` has
+    host, prefix, seg, cn, cl and cb: its URLs, labels and bad labels. A node's shares
+    are ``SHARES`` and one at most, so the window's groups are bounded."""
+    node = ["host", "prefix"]
+    kids = kids.withColumn("share", F.when(F.col("cl") > 0, F.floor(F.col("cb") * SHARES / F.col("cl")).cast("int")))
+    parents = kids.groupBy(*node).agg(((F.count(F.lit(1)) >= VARIABLE_CHILDREN) & (F.sum("cn") < F.count(F.lit(1)) * VARIABLE_MEAN)).alias("variable"))
+    shares = kids.filter("share is not null").groupBy(*node, "share").agg(F.sum("cl").alias("l"), F.sum("cb").alias("b"), F.count(F.lit(1)).alias("members"))
+    by_share = W.partitionBy(*node).orderBy("share")
+    l0, b0 = F.lag("l").over(by_share), F.lag("b").over(by_share)
+    pooled = (F.col("b") + b0) / (F.col("l") + l0)
+    spread = F.sqrt(pooled * (1.0 - pooled) * (1.0 / F.col("l") + 1.0 / l0))
+    differs = F.coalesce((F.abs(F.col("b") / F.col("l") - b0 / l0) > MERGE_Z * spread).cast("int"), F.lit(0))
+    runs = shares.withColumn("differs", differs).withColumn("run", F.sum("differs").over(by_share.rowsBetween(W.unboundedPreceding, 0)))
+    size = runs.groupBy(*node, "run").agg(F.sum("members").alias("size"))
+    runs = runs.select(*node, "share", "run").join(size, [*node, "run"])
+    named = kids.join(parents, node).join(runs, [*node, "share"], "left")
+    general = F.when(F.col("variable"), F.lit("*")).when(F.col("size") > 1, F.concat(F.lit("~"), F.col("run").cast("string"))).otherwise(F.col("seg"))
+    return named.select(*node, "seg", general.alias("general"))
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """host, typed, template, lab, bad of distinct typed paths (host, typed, n, lab, bad)."""
+    columns = ["host", "typed", "lab", "bad"]
+    rows = durable(paths.select(*columns, "n", F.split("typed", "/").alias("segs"), F.lit("").alias("prefix")), "paths")
+    depth = rows.agg(F.max(F.size("segs")).alias("d")).first()["d"] or 0  # LEVELS and one at most
+    ended = []
+    for level in range(depth):
+        live = rows.withColumn("seg", F.col("segs")[level])
+        kids = live.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("cn"), F.sum("lab").alias("cl"), F.sum("bad").alias("cb"))
+        live = live.join(_general(kids), ["host", "prefix", "seg"])
+        live = live.select(*columns, "n", "segs", F.concat("prefix", F.lit("/" if level else ""), "general").alias("prefix"))
+        rows = durable(live, "template-level")
+        ended.append(rows.filter(F.size("segs") == level + 1).select(*columns, F.col("prefix").alias("template")))
+        rows = rows.filter(F.size("segs") > level + 1)
+    return reduce(DataFrame.unionByName, ended) if ended else rows.select(*columns, F.col("prefix").alias("template"))
+
+
 def template_verdicts(urls: DataFrame) -> DataFrame:
     """host, typed, rejected: the method's verdict for every distinct typed path.
 
     ``urls`` has host, typed and bad (0 or 1; null: no label).
     """
     paths = urls.groupBy("host", "typed").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    segments = F.split("typed", "/")
-    steps = paths.select("host", "typed", "n", "lab", "bad", F.posexplode(segments).alias("pos", "seg"))
-    steps = steps.withColumn("above", F.array_join(F.slice(F.split("typed", "/"), F.lit(1), F.col("pos")), "/"))
-    children = steps.groupBy("host", "pos", "above", "seg").agg(F.sum("n").alias("cn"), F.sum("lab").alias("cl"), F.sum("bad").alias("cb"))
-    parents = children.groupBy("host", "pos", "above").agg(F.count(F.lit(1)).alias("kids"), F.sum("cn").alias("pn"), F.sum("cl").alias("pl"), F.sum("cb").alias("pb"))
-    variable = (F.col("kids") >= VARIABLE_CHILDREN) & (F.col("pn") < F.col("kids") * VARIABLE_MEAN)
-    ol, ob = F.col("pl") - F.col("cl"), F.col("pb") - F.col("cb")
-    pooled = F.col("pb") / F.nullif(F.col("pl"), F.lit(0))
-    spread = F.sqrt(pooled * (1.0 - pooled) * (1.0 / F.nullif(F.col("cl"), F.lit(0)) + 1.0 / F.nullif(ol, F.lit(0))))
-    gap = F.abs(F.col("cb") / F.nullif(F.col("cl"), F.lit(0)) - ob / F.nullif(ol, F.lit(0)))
-    alike = (F.col("cl") >= MERGE_LABELS) & (ol >= MERGE_LABELS) & (gap <= MERGE_Z * spread)
-    general = children.join(parents, ["host", "pos", "above"]).select("host", "pos", "above", "seg", F.when(variable, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("seg")).alias("general"))
-    named = steps.join(general, ["host", "pos", "above", "seg"]).groupBy("host", "typed").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "general"))), lambda s: s["general"]), "/").alias("template"),
-        F.max("lab").alias("lab"), F.max("bad").alias("bad"),
-    )
+    named = templates(paths)
     purity = (F.sum("bad") + PRIOR * STRENGTH) / (F.sum("lab") + STRENGTH)
-    templates = named.groupBy("host", "template").agg((purity >= REJECT).alias("rejected"))
-    return named.join(templates, ["host", "template"]).select("host", "typed", "rejected")
+    judged = named.groupBy("host", "template").agg((purity >= REJECT).alias("rejected"))
+    return named.join(judged, ["host", "template"]).select("host", "typed", "rejected")
 
 
 def judge(pages: DataFrame, rules=RULES, bad_words=BAD_WORDS, labels: DataFrame | None = None) -> DataFrame:
@@ -120,6 +149,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def _level_sql(n: int) -> str:
+    """CTEs that give the paths' templates down to level ``n`` from those of the level above."""
+    return f"""live{n} as (
+  select *, segs[{n}] as seg from paths{n - 1} where len(segs) >= {n}
+), kids{n} as materialized (
+  select host, prefix, seg, sum(n)::bigint as cn, sum(bad)::bigint as cb, (sum(bad) * {SHARES} // sum(n))::int as share from live{n} group by all
+), shares{n} as (
+  select host, prefix, share, sum(cn)::bigint as l, sum(cb)::bigint as b, count(*) as members from kids{n} group by all
+), before{n} as (
+  select *, lag(l) over w as l0, lag(b) over w as b0 from shares{n} window w as (partition by host, prefix order by share)
+), runs{n} as (
+  select host, prefix, share, members, sum(case when abs(b / l - b0 / l0) > {MERGE_Z}::double * sqrt((b + b0) / (l + l0) * (1.0::double - (b + b0) / (l + l0)) * (1.0::double / l + 1.0::double / l0)) then 1 else 0 end)
+    over (partition by host, prefix order by share rows between unbounded preceding and current row)::bigint as run from before{n}
+), general{n} as (
+  select k.host, k.prefix, k.seg, case when p.kids >= {VARIABLE_CHILDREN} and p.pn < p.kids * {VARIABLE_MEAN}::double then '*' when z.size > 1 then '~' || r.run else k.seg end as general
+  from kids{n} k join (select host, prefix, count(*) as kids, sum(cn) as pn from kids{n} group by all) p using (host, prefix) join runs{n} r using (host, prefix, share)
+    join (select host, prefix, run, sum(members) as size from runs{n} group by all) z using (host, prefix, run)
+), paths{n} as materialized (
+  select l.host, l.typed, l.n, l.bad, l.segs, l.prefix || {"'/' || " if n > 1 else ""}g.general as prefix from live{n} l join general{n} g using (host, prefix, seg)
+)"""
+
+
 OP10_SQL = rf"""
 with parts as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages
@@ -136,29 +187,14 @@ with parts as (
     string_split(regexp_replace(regexp_replace(regexp_replace(lower(path), '[0-9a-f]{{16,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g'), '^/+', ''), '/') as segs
   from urls
 ), labelled as (
-  select *, array_to_string(segs[1:8] || case when len(segs) > 8 then [md5(array_to_string(segs[9:], '/'))] else []::varchar[] end, '/') as typed,
+  select *, array_to_string(segs[1:{LEVELS}] || case when len(segs) > {LEVELS} then [md5(array_to_string(segs[{LEVELS + 1}:], '/'))] else []::varchar[] end, '/') as typed,
     case rule when 'net/' then 'block' when 'example.com/de/' then 'block' when 'example.net/en/' then 'allow' when 'org/fr/' then 'allow' end as by_rule from ruled
-), paths as (
-  select host, typed, count(*) as n, count(*) as lab,
-    sum(case when coalesce(by_rule = 'block', lexical) then 1 else 0 end) as bad from labelled group by host, typed
-), steps as (
-  select host, typed, n, lab, bad, pos - 1 as pos, s[pos] as seg, array_to_string(s[1:pos - 1], '/') as above
-  from (select *, string_split(typed, '/') as s, unnest(generate_series(1, len(string_split(typed, '/')))) as pos from paths)
-), children as (
-  select host, pos, above, seg, sum(n) as cn, sum(lab) as cl, sum(bad) as cb from steps group by all
-), parents as (
-  select host, pos, above, count(*) as kids, sum(cn) as pn, sum(cl) as pl, sum(cb) as pb from children group by all
-), general as (
-  select host, pos, above, seg, case when kids >= 20 and pn < kids * 3.0 then '*'
-    when cl >= 5 and pl - cl >= 5 and abs(cb / cl - (pb - cb) / nullif(pl - cl, 0))
-      <= 1.96::double * sqrt((pb / nullif(pl, 0)) * (1 - pb / nullif(pl, 0)) * (1.0::double / nullif(cl, 0) + 1.0::double / nullif(pl - cl, 0))) then '~'
-    else seg end as general
-  from children join parents using (host, pos, above)
-), named as (
-  select host, typed, string_agg(general, '/' order by pos) as template, max(lab) as lab, max(bad) as bad
-  from steps join general using (host, pos, above, seg) group by host, typed
+), paths0 as materialized (
+  select host, typed, count(*)::bigint as n, sum(case when coalesce(by_rule = 'block', lexical) then 1 else 0 end)::bigint as bad, string_split(typed, '/') as segs, '' as prefix from labelled group by host, typed
+), {", ".join(_level_sql(n) for n in range(1, LEVELS + 2))}, named as (
+  {" union all ".join(f"select host, typed, n, bad, prefix as template from paths{n} where len(segs) = {n}" for n in range(1, LEVELS + 2))}
 ), templates as (
-  select host, template, (sum(bad) + 0.2) / (sum(lab) + 4.0) >= 0.5 as rejected from named group by host, template
+  select host, template, (sum(bad) + {PRIOR * STRENGTH}::double) / (sum(n) + {STRENGTH}::double) >= {REJECT}::double as rejected from named group by host, template
 )
 select l.page_id, l.host, l.path, l.rule, coalesce(l.by_rule, case when t.rejected then 'block' else 'allow' end) as verdict
 from labelled l left join named n on n.host = l.host and n.typed = l.typed left join templates t on t.host = n.host and t.template = n.template
