@@ -22,6 +22,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,14 +51,25 @@ _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"},
 _SCOPES = frozenset("html body table ul ol dl div section article main aside nav header footer form blockquote fieldset figure".split())
 _SKIP_TAGS = frozenset("nav footer aside form button select dialog menu head".split())
 _SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of class and id attributes of what is not the article.
-_SKIP_WORDS = frozenset(
+#: Words of class and id attributes of what is not the article. A name says so only as a whole:
+#: it is made of these words and of the neutral ones, written apart or together.
+_SKIP_WORDS = (
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus "
     "footer form gdpr legal login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion "
     "recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription "
     "teaser teasers toolbar topbar widget widgets".split()
 )
+_NEUTRAL_WORDS = (
+    "a area bar bars block blocks bottom box boxes btn button buttons col column container content entry fixed global group head header inline inner item items js "
+    "label left lg line link links list lists main md modal module nd no of outer overlay page panel panels post posts primary right row secondary section sections "
+    "site slot slots sm sticky stories story sub text the top unit units up us view wrap wrapper xs articles news media icon icons now your latest level third"
+).split()
+_SKIPS = frozenset(_SKIP_WORDS)
+_each = "|".join(sorted({*_SKIP_WORDS, *_NEUTRAL_WORDS}, key=lambda w: (-len(w), w)))
+_NAMED = re.compile(rf"(?:(?:{_each}|[0-9]+)[^a-z0-9]*)+")
 _ARTICLE_WORDS = frozenset("article content entry main post story body".split())
+#: A line of rights at the end of a page, whatever element holds it.
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)[^\n]{0,160}", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：]")
 _WORDS = re.compile(r"[A-Za-z]+")
 
@@ -77,6 +89,16 @@ def _attributes(text: str | None) -> dict[str, str]:
     return {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(text)} if text else {}
 
 
+@lru_cache(maxsize=4096)
+def _is_aside_name(name: str) -> bool:
+    """Whether a class or id names what is no article: ``cookie-bar``, ``commentlist``,
+    ``siteFooter``, but not ``related-work`` or ``notice-period``."""
+    apart = re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()
+    if len(apart) > 80 or not _NAMED.fullmatch(apart):
+        return False
+    return any(w in _SKIPS or any(w.startswith(s) or w.endswith(s) for s in _SKIPS if len(s) > 2) for w in _WORDS.findall(apart))
+
+
 def _aside(tag: str, attrs: dict[str, str], within_article: bool) -> str:
     """Why the element is no part of an article: by its tag, role or state
     ("kind"), or by a word of its class or id ("word"); empty if it may be."""
@@ -88,7 +110,7 @@ def _aside(tag: str, attrs: dict[str, str], within_article: bool) -> str:
     words = {w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named))}
     if "header" in words and tag not in ("h1", "h2", "h3") and not words & _ARTICLE_WORDS and not within_article:
         return "word"
-    return "word" if tag not in ("html", "body", "article", "main") and words & _SKIP_WORDS else ""
+    return "word" if tag not in ("html", "body", "article", "main") and any(_is_aside_name(name) for name in named.split()) else ""
 
 
 def blocks(page: str) -> list[tuple[_Node, str]]:
@@ -150,6 +172,8 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
                     if stack[i].tag not in _INLINE:
                         break
             continue
+        if tag in ("svg", "math") and m[4].endswith("/"):  # closed already, as in foreign elements
+            continue
         if tag in _RAW and not m[2]:  # does not end a block
             end = re.compile(rf"</{tag}[\s>/]", re.I).search(page, at)
             at = n if end is None else end.start()
@@ -217,6 +241,8 @@ def extract(page: str | None) -> str:
     whole = sum(len(t) for _, t in every)
     kept = {k for k, n in named.items() if n >= MOST * whole}
     found = [(n, t) for n, t in every if not n.skip or id(n.skip[0]) in kept]
+    while len(found) > 1 and _RIGHTS.fullmatch(found[-1][1]):
+        found.pop()
     if not found:
         return ""
     scores = path_scores(found)
