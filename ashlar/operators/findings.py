@@ -129,6 +129,15 @@ def page(df: DataFrame, order: list, number: int, size: int = 25) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def first_values(df: DataFrame, by: list[str], value: str, most: int) -> DataFrame:
+    """``by``, first, n: the first ``most`` distinct values of each group in order, and how
+    many it has. Values are made distinct before groups meet, and few are collected."""
+    values = df.select(*by, value).filter(F.col(value).isNotNull()).distinct()
+    counts = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    first = rows_by_rank(values, by, [value], most).groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("first"))
+    return first.join(counts, by).select(*by, "first", "n")
+
+
 def rows_by_rank(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     """The first ``most`` rows of each group; Spark keeps a bounded heap a task."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= most).drop("__n")

@@ -28,7 +28,7 @@ def tier(value: Column, steps: tuple[tuple[float, int], ...], rest: int) -> Colu
     return out
 
 
-def with_previous(df: DataFrame, session: str, order: str, value: str, first: str) -> DataFrame:
+def with_previous(df: DataFrame, session: str, order: str | list[str], value: str, first: str) -> DataFrame:
     """Adds ``before``: the value of the row before within the session."""
     return df.withColumn("before", F.coalesce(F.lag(value).over(W.partitionBy(session).orderBy(order)), F.lit(first)))
 

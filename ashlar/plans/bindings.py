@@ -37,8 +37,8 @@ CTE = {
     c_mktsegment as segment, case when c_custkey % 6 = 0 then 'ui' when c_custkey % 6 = 1 then 'api' when c_custkey % 6 = 2 then 'worker' when c_custkey % 6 = 3 then 'platform' else 'service' end as role,
     c_acctbal as balance from customer join nation on c_nationkey = n_nationkey)""",
     "edges": """edges as (
-  select distinct concat('repo_', cast(l_suppkey % 50 as varchar(12))) as src, concat('repo_', cast(l_partkey % 50 as varchar(12))) as dst
-  from lineitem where l_partkey % 50 <> l_suppkey % 50)""",
+  select distinct concat('repo_', cast(l_partkey as varchar(12))) as src, concat('repo_', cast(l_orderkey * 2 // 15 as varchar(12))) as dst
+  from lineitem where l_partkey <> l_orderkey * 2 // 15)""",
 }
 _NEEDS = {"findings": ("scans",), "triage": ("scans", "findings"), "scans": (), "files": (), "lists": (), "profiles": (), "edges": ()}
 
@@ -122,7 +122,8 @@ class Corpus:
         return rows.select(F.concat(F.lit("repo_"), k.cast("string")).alias("repo"), k.alias("ord"), F.col("n_name").alias("owner"), F.concat(F.lit("P"), (k % 5).cast("string")).alias("project_key"), F.col("c_mktsegment").alias("segment"), role.alias("role"), F.col("c_acctbal").alias("balance"))
 
     def edges(self) -> DataFrame:
-        a, b = F.col("l_suppkey") % 50, F.col("l_partkey") % 50
+        """A sparse graph that grows with the tables: about thirty edges a node, in both directions."""
+        a, b = F.col("l_partkey"), F.expr("l_orderkey * 2 div 15")
         rows = self.table("lineitem").filter(a != b)
         name = lambda c: F.concat(F.lit("repo_"), c.cast("string"))
         return rows.select(name(a).alias("src"), name(b).alias("dst")).distinct()

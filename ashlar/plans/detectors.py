@@ -199,11 +199,3 @@ def architecture_threats(c):
   '],"flows":[{{"from":"User","to":"', repo, '"}}', case when rag then concat(',{{"from":"', repo, '","to":"Vector store"}}') else '' end, case when ext then concat(',{{"from":"', repo, '","to":"Hosted model"}}') else '' end, '],"boundary":["', repo, '"', case when rag then ',"Vector store"' else '' end, '],"threats":', n, '}}') as diagram from h""", "findings")
 def threat_diagram(c):
     return threats.diagram(c.findings())
-
-
-@query(r"""with t as (select repo, path, content, unnest(regexp_extract_all(content, '["''][^"''\s]{20,120}["'']')) as m from files where regexp_matches(content, '["''][^"''\s]{20,120}["'']')),
-v as (select repo, path, substr(m, 2, length(m) - 2) as value from t) select distinct repo, path, value from v where len(list_distinct(string_split(value, ''))) >= 6 and list_entropy(string_split(value, '')) >= 3.5 and value similar to '[0-9a-f]{40}'""", "files")
-def entropy_values(c):
-    """The forty hexadecimal digits among the literals of many bits near a credential name."""
-    got = rules.high_entropy(c.files(), 3.5).filter(F.col("value").rlike("^[0-9a-f]{40}$"))
-    return got.select("repo", "path", "value").distinct()

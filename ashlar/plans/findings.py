@@ -154,12 +154,12 @@ def distinct_rules_per_file(c):
     return c.findings().groupBy("repo", "file").agg(F.count_distinct("rule").alias("rules"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""with k as (select repo, file, count(distinct rule) as corroboration from findings where line < 3 group by repo, file),
+@query("""with k as (select repo, file, count(distinct rule) as corroboration from findings group by repo, file),
 lifted as (select *, greatest(5, least(98, round_even(100.0::double / (1.0::double + exp(-(ln(0.35::double / 0.65::double) + case when corroboration between 3 and 4 then 0.6::double when corroboration >= 5 then 0.9::double else 0 end))), 0)::int)) as c from k)
 select f.scan_id, f.line, f.part, f.supp, f.price, l.corroboration, case when l.corroboration >= 3 then greatest(f.confidence, l.c) else f.confidence end as confidence
-from findings f join lifted l on f.repo = l.repo and f.file = l.file where f.line < 3""", "findings")
+from findings f join lifted l on f.repo = l.repo and f.file = l.file""", "findings")
 def corroboration(c):
-    return op.corroborated(c.findings().filter("line < 3"), ["repo", "file"]).select("scan_id", "line", "part", "supp", "price", "corroboration", "confidence")
+    return op.corroborated(c.findings(), ["repo", "file"]).select("scan_id", "line", "part", "supp", "price", "corroboration", "confidence")
 
 
 @query("""with g as (select scan_id, file, min(line) as line, max(case when context = 'production' then 1 else 0 end) as prod,
@@ -214,10 +214,10 @@ def rule_labels(c):
     return c.findings().select("rule", title_label(F.col("rule"), F.lit("")).alias("label")).distinct()
 
 
-@query("select project_key, repo, hash from findings where project_key in ('P1', 'P3') and severity = 1 group by all", "findings")
+@query("select project_key, repo, hash from findings where project_key in ('P1', 'P3') group by all", "findings")
 def row_level_security(c):
     mine = c.spark.createDataFrame([("P1",), ("P3",)], "project_key string")
-    return c.findings().filter("severity = 1").join(mine, "project_key", "left_semi").select("project_key", "repo", "hash").distinct()
+    return c.findings().join(mine, "project_key", "left_semi").select("project_key", "repo", "hash").distinct()
 
 
 @query("select repo, file, severity, rule, lower(concat_ws(' ', repo, file, rule, context)) as searched from findings where contains(lower(concat_ws(' ', repo, file, rule, context)), 'rule_1 docs') group by all", "findings")

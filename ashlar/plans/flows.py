@@ -88,10 +88,18 @@ _LITERAL = r"""["''][^"''\s]{20,120}["'']"""
 _SUSPECT = "(?i)password|passwd|secret|token|api_?key|credential|private_?key"
 
 
-@query(rf"""with v as (select p.repo, p.path, p.start, p.line, substr(p.match, 2, length(p.match) - 2) as value, substr(f.content, greatest(p.start - 199, 1), length(p.match) + 400) as near
+_BITS = rf"""v as (select p.repo, p.path, p.start, p.line, substr(p.match, 2, length(p.match) - 2) as value, substr(f.content, greatest(p.start - 199, 1), length(p.match) + 400) as near
   from {_places("files", "repo, path, content", "content", _LITERAL)} p join files f using (repo, path)),
-k as (select *, row_number() over (partition by repo, path, line order by start) as n from v where len(list_distinct(string_split(value, ''))) >= 6 and list_entropy(string_split(value, '')) >= 3.5 and regexp_matches(near, '{_SUSPECT}'))
-select repo, path, line, start, value from k where n = 1""", "files")
+k as (select *, row_number() over (partition by repo, path, line order by start) as n from v where len(list_distinct(string_split(value, ''))) >= 6 and list_entropy(string_split(value, '')) >= 3.5 and regexp_matches(near, '{_SUSPECT}'))"""
+
+
+@query(f"with {_BITS} select repo, path, line, start, value from k where n = 1", "files")
 def entropy_literals(c):
     """Quoted literals of 3.5 bits and more near a credential name, the first of each line."""
     return rules.high_entropy(c.files(), 3.5)
+
+
+@query(f"with {_BITS} select value, length(value)::int as chars, count(distinct (repo, path))::bigint as files from k where n = 1 group by value", "files")
+def entropy_values(c):
+    """The different literals, and how many files hold each."""
+    return rules.high_entropy(c.files(), 3.5).groupBy("value").agg(F.length("value").alias("chars"), F.count_distinct("repo", "path").alias("files"))

@@ -177,8 +177,9 @@ def short_cycles(c):
 @query()
 def import_cycles(c):
     """Depth-first back-edge cycles of each repository's import graph."""
-    rows = c.table("lineitem").filter("l_partkey % 31 <> l_suppkey % 31")
-    return pf.import_cycles(rows.select(F.concat(F.lit("repo_"), (F.col("l_orderkey") % 50).cast("string")).alias("group"), F.format_string("m%02d.py", F.col("l_partkey") % 31).alias("src"), F.format_string("m%02d.py", F.col("l_suppkey") % 31).alias("dst")).distinct())
+    rows = c.table("lineitem").select(F.expr("l_orderkey div 60").alias("g"), F.expr("l_partkey div 8").alias("a"), F.expr("l_suppkey * 5 div 2").alias("b")).filter("a <> b")
+    module = lambda x: F.concat(F.lit("m"), F.col(x).cast("string"), F.lit(".py"))
+    return pf.import_cycles(rows.select(F.concat(F.lit("repo_"), F.col("g").cast("string")).alias("group"), module("a").alias("src"), module("b").alias("dst")).distinct())
 
 
 @query("select project_key, count(*)::bigint as repos, count(*) filter (role in ('api', 'ui'))::bigint as exposed, count(*) filter (balance < 0)::bigint as risky, count(distinct owner)::bigint as owners from profiles group by project_key", "profiles")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -42,9 +43,9 @@ def session_triage_histogram(c):
     return got.groupBy("repo", F.coalesce("status", F.lit("open")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select project_key, list_sort(list(distinct hash)) [1:8] as new_hashes, count(distinct hash)::bigint as n from findings where severity = 1 group by project_key""", "findings")
+@query("""select project_key, list_sort(list(distinct hash)) [1:8] as new_hashes, count(distinct hash)::bigint as n from findings group by project_key""", "findings")
 def project_delta_union(c):
-    return c.findings().filter("severity = 1").groupBy("project_key").agg(F.slice(F.array_sort(F.collect_set("hash")), 1, 8).alias("new_hashes"), F.count_distinct("hash").alias("n"))
+    return op.first_values(c.findings(), ["project_key"], "hash", 8).withColumnRenamed("first", "new_hashes")
 
 
 @query("""select count(distinct (repo, file))::bigint as files, count(*) filter (severity = 1)::bigint as critical, count(*) filter (severity = 2)::bigint as restricted, count(distinct rule)::bigint as languages, min(severity) as worst,
@@ -56,10 +57,10 @@ def report_header(c):
     )
 
 
-@query("""select rule, repo, project_key, scan_id, started_at from (select *, row_number() over (partition by repo order by started_at desc, scan_id desc, line, part, supp, price) as k from findings where rule = 'rule_3') where k <= 12""", "findings")
+@query("""select rule, repo, project_key, scan_id, started_at from (select *, row_number() over (partition by rule, repo order by started_at desc, scan_id desc, line, part, supp, price) as k from findings) where k <= 12""", "findings")
 def repo_recent_scans(c):
     order = [F.desc("started_at"), F.desc("scan_id"), "line", "part", "supp", "price"]
-    return op.rows_by_rank(c.findings().filter("rule = 'rule_3'"), ["repo"], order, 12).select("rule", "repo", "project_key", "scan_id", "started_at")
+    return op.rows_by_rank(c.findings(), ["rule", "repo"], order, 12).select("rule", "repo", "project_key", "scan_id", "started_at")
 
 
 @query("""with s as (select scan_id, repo, state from scans), live as (select scan_id, repo, 'running' as state from scans where scan_id % 500 = 0)
@@ -109,15 +110,14 @@ def alias_last_wins(c):
 
 @query("""select severity, case severity when 1 then 60 when 2 then 40 when 3 then 20 else 5 end as weight, max(n) over () as most, n, round(n * 100.0 / max(n) over (), 6) as bar from (select severity, count(*)::bigint as n from findings group by severity)""", "findings")
 def bar_scaling(c):
-    n = c.findings().groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-    most = n.agg(F.max("n").alias("most"))
+    n = c.findings().groupBy("severity").agg(F.count(F.lit(1)).alias("n")).withColumn("most", F.max("n").over(W.partitionBy()))  # one row a severity
     weight = F.when(F.col("severity") == 1, 60).when(F.col("severity") == 2, 40).when(F.col("severity") == 3, 20).otherwise(5)
-    return n.join(F.broadcast(most)).select("severity", weight.alias("weight"), "most", "n", F.round(F.col("n") * 100.0 / F.col("most"), 6).alias("bar"))
+    return n.select("severity", weight.alias("weight"), "most", "n", F.round(F.col("n") * 100.0 / F.col("most"), 6).alias("bar"))
 
 
-@query("select event_id, lpad(cast(floor(floor(value) / 60) as int)::varchar, 2, '0') || ':' || lpad((floor(value)::int % 60)::varchar, 2, '0') as mmss from events where value between 0 and 5000")
+@query("select event_id, lpad(cast(floor(floor(value) / 60) as int)::varchar, 2, '0') || ':' || lpad((floor(value)::int % 60)::varchar, 2, '0') as mmss from (select event_id, greatest(value, 0) as value from events)")
 def duration_format(c):
-    return c.table("events").filter("value between 0 and 5000").select("event_id", tx.mmss(F.col("value")).alias("mmss"))
+    return c.table("events").select("event_id", tx.mmss(F.col("value")).alias("mmss"))
 
 
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, case when l_quantity < 7 then 1 when l_quantity < 15 then 2 when l_quantity < 35 then 3 else 4 end as workers from lineitem""")
@@ -154,14 +154,12 @@ def threat_ids(c):
     return c.findings().select(tx.short_id("threat", F.col("repo"), F.col("file"), F.col("rule")).alias("id"), "repo", "file", "rule").distinct()
 
 
-@query("""select repo, case when count(*) filter (severity = 1) > 10 then 'Critical' when count(*) filter (severity = 2) > 10 then 'High' else 'Low' end as label, count(*)::bigint as n from findings where context = 'production' group by repo""", "findings")
+@query("""select repo, case when count(*) filter (severity = 1) > 10 then 'Critical' when count(*) filter (severity = 2) > 10 then 'High' else 'Low' end as label, count(*)::bigint as n from findings group by repo""", "findings")
 def repo_risk_labels(c):
-    got = c.findings().filter("context = 'production'").groupBy("repo").agg(F.count_if(F.col("severity") == 1).alias("c"), F.count_if(F.col("severity") == 2).alias("h"), F.count(F.lit(1)).alias("n"))
+    got = c.findings().groupBy("repo").agg(F.count_if(F.col("severity") == 1).alias("c"), F.count_if(F.col("severity") == 2).alias("h"), F.count(F.lit(1)).alias("n"))
     return got.select("repo", F.when(F.col("c") > 10, scoring.LABELS[1]).when(F.col("h") > 10, scoring.LABELS[2]).otherwise(scoring.LABELS[4]).alias("label"), "n")
 
 
-@query("""select conv_id, turn, role, coalesce(lag(role) over (partition by conv_id order by turn), 'start') as before, length(text)::int as chars from conversations qualify count(*) over (partition by conv_id, turn) = 1""")
+@query("""select conv_id, turn, role, coalesce(lag(role) over (partition by conv_id order by turn, role, text), 'start') as before, length(text)::int as chars from conversations""")
 def conversation_turns(c):
-    rows = c.table("conversations")
-    once = rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("conv_id", "turn")
-    return inv.with_previous(rows.join(once, ["conv_id", "turn"]), "conv_id", "turn", "role", "start").select("conv_id", "turn", "role", "before", F.length("text").alias("chars"))
+    return inv.with_previous(c.table("conversations"), "conv_id", ["turn", "role", "text"], "role", "start").select("conv_id", "turn", "role", "before", F.length("text").alias("chars"))

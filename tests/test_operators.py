@@ -1,6 +1,7 @@
 """Operators that SQL does not cover: cycles, review, streams, sinks, records."""
 
 import json
+import random
 
 from ashlar.operators import findings, logs, portfolio, review
 from ashlar.sources import records, sinks
@@ -18,6 +19,40 @@ def test_import_cycles_are_back_edges(spark):
     assert sorted(got) == [("r", "a -> b -> c -> a"), ("r", "c -> c")]
 
 
+def test_import_cycles_equal_recursive_search(spark):
+    """Random graphs against a recursive search over what the peeling leaves."""
+    rng = random.Random(3)
+    edges = {(f"g{g}", f"n{a:02}", f"n{b:02}") for g in range(12) for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(rng.randint(5, 40)))}
+    want = set()
+    for g in sorted({e[0] for e in edges}):
+        graph = {(a, b) for x, a, b in edges if x == g}
+        for _ in range(portfolio.PEEL):
+            graph = {e for e in graph if e[1] in {a for a, _ in graph}}
+            graph = {e for e in graph if e[0] in {b for _, b in graph}}
+        done = set()
+
+        def visit(node, path, g=g, graph=graph, done=done):
+            for b in sorted(y for x, y in graph if x == node):
+                if b in path:
+                    loop = path[path.index(b) :]
+                    i = loop.index(min(loop))
+                    want.add((g, " -> ".join([*loop[i:], *loop[:i], loop[i]])))
+                elif b not in done:
+                    visit(b, [*path, b])
+            done.add(node)
+
+        for start in sorted({a for a, _ in graph}):
+            if start not in done:
+                visit(start, [start])
+    df = spark.createDataFrame(list(edges), "group string, src string, dst string")
+    assert {tuple(r) for r in portfolio.import_cycles(df).collect()} == want and len(want) > 30
+    pairs = {(a, b) for g, a, b in edges if g == "g3" and a != b}
+    short = {r["cycle"] for r in portfolio.short_cycles(spark.createDataFrame(list(pairs), "src string, dst string")).collect()}
+    two = {f"{a} -> {b} -> {a}" for a, b in pairs if a < b and (b, a) in pairs}
+    three = {f"{a} -> {b} -> {c} -> {a}" for a, b in pairs for x, c in pairs if x == b and (c, a) in pairs and a < b and a < c}
+    assert short == two | three
+
+
 def test_band_join_equals_theta_join(spark):
     a = spark.createDataFrame([("f", i) for i in range(0, 100, 7)], "file string, line int")
     b = spark.createDataFrame([("f", i) for i in (3, 3, 20, 33, 90)], "file string, line int")
