@@ -13,6 +13,7 @@ from ..sources.files import notebook_cells
 from ..sources.shared import written
 from . import findings as fd
 from . import flow, rules, symbols
+from .catalogue import ALL
 from .rules import API, CODE, SEC
 from .two_pass import refreshed
 
@@ -38,7 +39,7 @@ def _less_in_tests(severity: Column) -> Column:
 
 
 def scan(
-    files: DataFrame, catalogue=rules.RULES, sources=flow.SOURCES, sink: str = flow.SINK, prompt: str = flow.PROMPT, ignore: tuple[str, ...] = (), least_bits: float = 4.5,
+    files: DataFrame, catalogue=ALL, sources=flow.SOURCES, sink: str = flow.SINK, prompt: str = flow.PROMPT, ignore: tuple[str, ...] = (), least_bits: float = 4.5,
     secrets: tuple[str, ...] = SECRETS, uses: tuple[str, ...] = USES, code: str = CODE, **rule_options,
 ) -> DataFrame:
     """All findings of ``files`` (repo, path, content), one row an id, with their corroboration.
@@ -46,8 +47,8 @@ def scan(
     Ignored paths are left out, notebooks are scanned by cell and bundles for keys alone; all
     others by rules, bindings of clients, literals of many bits, flows over lines, secrets
     beside models, and names that other files import. Files whose path ``code``
-    matches are code. Of findings of one id the first in the order of ``DETECTORS``, then by
-    place, stays; the confidence of findings in a file of several rules is lifted.
+    matches are code. Of findings of one id the first in the order of ``DETECTORS``, of the
+    catalogue, then by place, stays; the confidence of findings in a file of several rules is lifted.
 
     Each detector reads the texts where they lie; what is united, joined and made
     unique are findings.
@@ -81,7 +82,9 @@ def scan(
     lent = _rows(rules.cross_file_credentials(coded), "credential", rule=F.lit("cross_file_credential"), category=F.lit(SEC), capability=F.concat(F.lit("Credential of "), "source"), severity=_less_in_tests(F.lit(1)), match=F.col("name"), id=key(F.lit("credential"), F.col("name")), confidence=F.lit(80), policy_status=F.lit("CRITICAL"))
     every = reduce(DataFrame.unionByName, [fd.corroborated(found, ["repo", "path"]), *[x.withColumn("corroboration", F.lit(1).cast("long")) for x in (beside, clients, lent)]])
     order = F.array_position(F.array(*[F.lit(d) for d in DETECTORS]), F.col("detector"))
-    return fd.first_wins(every.withColumn("__order", order), "id", ["__order", "line", "start", "rule", "match", "severity"]).drop("__order")
+    of_rule = F.array_position(F.array(*[F.lit(r.slug) for r in catalogue]), F.col("rule"))
+    every = every.withColumns({"__order": order, "__rule": of_rule})
+    return fd.first_wins(every, "id", ["__order", "__rule", "line", "start", "rule", "match", "severity"]).drop("__order", "__rule")
 
 
 def judged(found: DataFrame, lists: DataFrame, triage: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import logs, rules, web
+from ..operators import catalogue, logs, rules, web
 from ..operators.findings import first_wins
 from .bindings import Corpus, oracle
 
@@ -22,11 +22,11 @@ def query(sql: str | None = None, *views: str):
     return keep
 
 
-def _rules_sql() -> str:
-    """The catalogue as SQL over ``files``; its noise patterns need code, which these texts do not hold."""
+def _rules_sql(catalogue: tuple[rules.Rule, ...] = rules.RULES, source: str = "files") -> str:
+    """Rules as SQL over ``source``; noise patterns need code, which these texts do not hold."""
     q = lambda p: p.replace("'", "''")
     parts = []
-    for i, r in enumerate(rules.RULES):
+    for i, r in enumerate(catalogue):
         path = "kind <> 'code'" if r.config_only else "kind <> 'config'"
         anchors = " or ".join(f"contains(lower(code), '{q(a)}')" for a in r.anchors) or "true"
         guard = f"and regexp_matches(code, '{q(r.guard)}')" if r.guard else ""
@@ -38,7 +38,7 @@ def _rules_sql() -> str:
     joined = "\nunion all ".join(parts)
     return rf"""with text as (select repo, path, row_number() over () as n, case when path like '%.py' or path like '%.js' then 'code' when path like '%.yaml' then 'config' else 'other' end as kind,
   case when path like '%.py' then regexp_replace(regexp_replace(content, '(?s)["]{{3}}.*?["]{{3}}|''{{3}}.*?''{{3}}', ' ', 'g'), '(^|\n|[ \t])#[^\n]*', '\1', 'g')
-    when path like '%.js' then regexp_replace(regexp_replace(content, '(?s)/\*.*?\*/', ' ', 'g'), '(?m)(?:^|[^:"''\\\n])//[^\n]*', ' ', 'g') else content end as code from files),
+    when path like '%.js' then regexp_replace(regexp_replace(content, '(?s)/\*.*?\*/', ' ', 'g'), '(?m)(?:^|[^:"''\\\n])//[^\n]*', ' ', 'g') else content end as code from {source}),
 hits as ({joined}),
 placed as (select *, case when path like 'tests/%' then 'test' when path like 'docs/%' or path like '%.md' then 'docs' else 'production' end as context from hits)
 select repo, path, ordinal, rule, category, context, least(4, base + case when context = 'production' then 0 else 2 end)::int as severity, line, match, md5(concat(repo, '::', path, '::', substr(trim(regexp_replace(match, '\s+', ' ', 'g')), 1, 120))) as id, k from placed"""
@@ -59,6 +59,26 @@ def rule_findings_deduped(c):
     return first_wins(rules.detect(c.files()).select(*_FOUND, "start"), "id", ["repo", "path", "ordinal", "start"]).select(*_FOUND)
 
 
+#: Lines of code that the texts of the next query end with, two each by their number.
+CODE_LINES = (
+    "import openai", "agent = A(max_iterations=None, tools=all_tools)", "c = AzureOpenAI(x)", "e = HuggingFaceEmbeddings()", "r = db.as_retriever()", "m = onnx.load(p)", "m = mlflow.pyfunc.load_model(u)", "m = joblib.load(p)",
+    "os.system(response)", "exec(completion)", "st.markdown(x, unsafe_allow_html=True)", "u = 'https://api.together.xyz/v1'", "print(system_prompt)", "auto_approve = True", "q = \"x' OR 1=1\"", "app.run(debug=True)",
+    "subprocess.run(response)", "def __reduce__(self): pass", "k = process.env.OPENAI_API_KEY", "import A from '@anthropic-ai/sdk'", "t = Tool(name='x')  # agent", "model: gpt-4o", "resource \"aws_sagemaker_model\" \"m\" {}", "requests.get(url); tool = 1",
+)
+#: Rules that every engine's patterns can express, wherever their path lies.
+PLAIN = tuple(r for g in catalogue.GROUPS.values() for r in g if "(?!" not in r.pattern and not r.path)
+_LINE = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in CODE_LINES) + "]"
+
+
+@query(f"""with coded as (select repo, path, content || chr(10) || {_LINE}[doc_id % {len(CODE_LINES)} + 1] || chr(10) || {_LINE}[doc_id // {len(CODE_LINES)} % {len(CODE_LINES)} + 1] as content from files)
+select {', '.join(_FOUND)} from ({_rules_sql(PLAIN, "coded")})""", "files")
+def catalogue_findings(c):
+    """The wider catalogue over all files, each with two lines of code at its end."""
+    line = lambda n: F.element_at(F.array(*[F.lit(x) for x in CODE_LINES]), (n % len(CODE_LINES) + 1).cast("int"))
+    coded = F.concat_ws("\n", "content", line(F.col("doc_id")), line(F.floor(F.col("doc_id") / len(CODE_LINES))))
+    return rules.detect(c.files().withColumn("content", coded), PLAIN).select(*_FOUND)
+
+
 _EMAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"
 #: Positions by splitting, in DuckDB: running sums over gaps and matches.
 _OFFSETS = f"""m as (select repo, path, unnest(regexp_extract_all(content, '{_EMAIL}')) as match, unnest(string_split_regex(content, '{_EMAIL}')[1:len(regexp_extract_all(content, '{_EMAIL}'))]) as gap,
