@@ -12,9 +12,10 @@ Structured ones pile up near 0. So in each class of length the number of random
 tokens is estimated from the upper half of the p-values, and the cut is the
 smallest p at which the share of structured tokens above it is estimated at
 ``MAX_FALSE`` or less, ``LEAST_P`` at least. Long tokens, whose tests have more
-power, thus get another cut than short ones. Classes of fewer than ``SUPPORT``
-tokens are estimated together; if these are fewer as well, no share can be
-estimated and the cut is ``LEAST_P``, the plain test of each token. The p-values are
+power, thus get another cut than short ones. The counts of a class are joined by
+``SUPPORT`` tokens spread as those of all classes, and these by as many spread evenly, as
+random ones are; so a class of few tokens goes by all of them, and a table of
+few by the plain test of each token (``LEAST_P``), without a step between. The p-values are
 counted in ``BINS`` bins a class of length, so nothing grows with the corpus but
 the span rows themselves.
 
@@ -128,21 +129,19 @@ def matches(docs: DataFrame) -> DataFrame:
 
 def cuts(spans: DataFrame) -> DataFrame:
     """length_class, cut: for each class of length (a power of two) the p-value
-    from which on a token counts as random; see the module's text. Null: none does."""
-    bins = spans.filter("kind = 3").groupBy("length_class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    alone = F.sum("n").over(W.partitionBy("length_class")) >= SUPPORT
-    bins = bins.withColumn("pool", F.when(alone, F.col("length_class")).otherwise(-1))
-    pools = bins.groupBy("pool", "bin").agg(F.sum("n").alias("n"))
-    above = F.sum("n").over(W.partitionBy("pool").orderBy(F.col("bin").desc()))
-    whole = W.partitionBy("pool")
-    rate = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(whole) * 2.0
-    false = 1.0 - rate * (1.0 - F.col("bin") / float(BINS)) / above
-    pools = pools.withColumn("false", false).withColumn("known", F.sum("n").over(whole) >= SUPPORT)
-    cut = F.when(F.max("known"), F.greatest(F.min(F.when(F.col("false") <= MAX_FALSE, F.col("bin"))) / float(BINS), F.lit(LEAST_P))).otherwise(F.lit(LEAST_P))
-    # greatest() leaves nulls out, so a pool without any such bin is asked for by itself.
-    none = F.max("known") & (F.count_if(F.col("false") <= MAX_FALSE) == 0)
-    found = pools.groupBy("pool").agg(F.when(~none, cut).alias("cut"))
-    return bins.select("length_class", "pool").distinct().join(found, "pool").select("length_class", "cut")
+    from which on a token counts as random; see the module's text. A class without row
+    has none. Works on a count for each class and bin."""
+    bins = spans.filter("kind = 3").groupBy("length_class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = bins.select("length_class").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    grid = grid.join(bins, ["length_class", "bin"], "left").fillna(0, ["n"])
+    pool = F.sum("n").over(W.partitionBy("bin")) + F.lit(SUPPORT / BINS)
+    share = pool / (F.sum("n").over(W.partitionBy()) + F.lit(float(SUPPORT)))
+    grid = grid.withColumn("m", F.col("n") + F.lit(float(SUPPORT)) * share)
+    whole = W.partitionBy("length_class")
+    above = F.sum("m").over(whole.orderBy(F.col("bin").desc()))
+    rate = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("m")).otherwise(0.0)).over(whole) * 2.0
+    grid = grid.withColumn("false", 1.0 - rate * (1.0 - F.col("bin") / float(BINS)) / above).filter(F.col("false") <= MAX_FALSE)
+    return grid.groupBy("length_class").agg(F.greatest(F.min("bin") / float(BINS), F.lit(LEAST_P)).alias("cut"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -247,13 +246,11 @@ tests as (select *, (power(greatest(k / n * counted - n, 0.0::double) / (k - 1),
 tails as (select *, 1.0::double / (1.0::double + 0.3275911::double * abs(za) / sqrt(2.0::double)) as t_za, 1.0::double / (1.0::double + 0.3275911::double * abs(zb) / sqrt(2.0::double)) as t_zb, 1.0::double / (1.0::double + 0.3275911::double * abs(zc) / sqrt(2.0::double)) as t_zc from tests),
 judged as (select rid, start, stop, floor(log2(length(hit)))::int as length_class, 1.0::double - power(1.0::double - least(1.0::double, {tail("za")}, {tail("zb")}, {tail("zc")}), 3.0::double) as p from tails),
 bins as (select length_class, least(floor(p * {BINS}), {BINS - 1})::bigint as bin, count(*) as n from judged group by all),
-pooled as (select *, case when sum(n) over (partition by length_class) >= {SUPPORT} then length_class else -1 end as pool from bins),
-pools as (select pool, bin, sum(n) as n from pooled group by all),
-shares as (select *, 1.0::double - sum(case when bin >= {BINS // 2} then n else 0 end) over (partition by pool) * 2.0::double * (1.0::double - bin / {float(BINS)}::double)
-  / sum(n) over (partition by pool order by bin desc) as false_share, sum(n) over (partition by pool) >= {SUPPORT} as known from pools),
-pool_cuts as (select pool, case when not any_value(known) then {LEAST_P}::double else greatest(min(bin) filter (false_share <= {MAX_FALSE}::double) / {float(BINS)}::double, {LEAST_P}::double) end as cut,
-  any_value(known) and count(*) filter (false_share <= {MAX_FALSE}::double) = 0 as none_passes from shares group by pool),
-cuts as (select distinct length_class, cut from pooled join pool_cuts using (pool) where not none_passes),
+grid as (select c.length_class, c.bin, coalesce(b.n, 0) as n from (select length_class, unnest(range({BINS})) as bin from (select distinct length_class from bins)) c left join bins b using (length_class, bin)),
+pooled as (select *, n + {float(SUPPORT)}::double * ((sum(n) over (partition by bin) + {SUPPORT / BINS}::double) / (sum(n) over () + {float(SUPPORT)}::double)) as m from grid),
+shares as (select *, 1.0::double - sum(case when bin >= {BINS // 2} then m else 0 end) over (partition by length_class) * 2.0::double * (1.0::double - bin / {float(BINS)}::double)
+  / sum(m) over (partition by length_class order by bin desc) as false_share from pooled),
+cuts as (select length_class, greatest(min(bin) / {float(BINS)}::double, {LEAST_P}::double) as cut from shares where false_share <= {MAX_FALSE}::double group by length_class),
 spans as (select rid, kind, start, stop from kept where kind < 3
   union all select j.rid, 3, j.start, j.stop from judged j join cuts c using (length_class) where j.p >= c.cut and not exists (select 1 from kept b where b.kind < 3 and b.rid = j.rid and b.start < j.stop and j.start < b.stop))
 select any_value(d.doc_id) as doc_id, count(*) filter (kind = 0)::bigint as n_assign, count(*) filter (kind = 1)::bigint as n_access, count(*) filter (kind = 2)::bigint as n_hex, count(*) filter (kind = 3)::bigint as n_random,

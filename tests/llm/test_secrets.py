@@ -71,3 +71,16 @@ def test_empty_table_and_repeated_rows(spark):
     assert secrets.digest(docs).count() == 0
     twice = spark.createDataFrame([(None, "password=12345678")] * 2, "doc_id long, text string")
     assert [r["n_assign"] for r in secrets.digest(twice).collect()] == [1, 1]
+
+
+def test_cuts_have_no_step_at_any_number_of_tokens(spark):
+    """One token more never moves a cut far; lone tokens have the plain test, many structured ones a high cut."""
+    rng = random.Random(2)
+    p = [rng.random() if rng.random() < 0.5 else rng.random() * 0.05 for _ in range(2 * secrets.SUPPORT + 20)]
+    seen = []
+    for n in (1, 2, *range(secrets.SUPPORT - 2, secrets.SUPPORT + 3), len(p)):
+        rows = [(3, 5, x) for x in p[:n]] + [(3, 6, x) for x in p[:3]]
+        seen.append({r["length_class"]: r["cut"] for r in secrets.cuts(spark.createDataFrame(rows, "kind int, length_class int, p double")).collect()})
+    assert seen[0][5] == secrets.LEAST_P and seen[-1][5] > secrets.LEAST_P
+    assert all(abs(a[k] - b[k]) <= 0.02 for a, b in zip(seen[2:-1], seen[3:-1], strict=False) for k in (5, 6))
+    assert secrets.cuts(spark.createDataFrame([], "kind int, length_class int, p double")).count() == 0
