@@ -73,9 +73,25 @@ LANGUAGES = (
     ("Dockerfile", r"(^|/)Dockerfile[^/]*$"), ("Makefile", r"(^|/)Makefile$"), ("Notebook", r"\.ipynb$"), ("Python", r"\.pyi?$"), ("TypeScript", r"\.tsx?$"), ("JavaScript", r"\.(js|jsx|mjs|cjs)$"),
     ("Java", r"\.java$"), ("Kotlin", r"\.kts?$"), ("Scala", r"\.scala$"), ("Go", r"\.go$"), ("Rust", r"\.rs$"), ("C#", r"\.cs$"), ("C++", r"\.(cc|cpp|cxx|hpp)$"), ("C", r"\.[ch]$"), ("Ruby", r"\.rb$"), ("PHP", r"\.php$"),
     ("Shell", r"\.(sh|bash|zsh)$"), ("SQL", r"\.sql$"), ("Terraform", r"\.tf(vars)?$"), ("YAML", r"\.ya?ml$"), ("TOML", r"\.toml$"), ("JSON", r"\.json$"), ("Markdown", r"\.mdx?$"),
+    ("Swift", r"\.swift$"), ("HCL", r"\.hcl$"), ("Env", r"(^|/)\.env[^/]*$|\.env$"), ("reStructuredText", r"\.rst$"),
 )
 
 
+#: The order in which languages are told, code before settings and texts.
+LANGUAGE_ORDER = (
+    "Python", "JavaScript", "TypeScript", "Java", "Go", "C#", "C++", "Rust", "Kotlin", "Ruby", "PHP", "Scala", "Swift", "Shell", "Notebook",
+    "YAML", "JSON", "TOML", "Env", "Terraform", "HCL", "Dockerfile", "SQL", "Markdown", "reStructuredText",
+)
+
+
+def languages(files: DataFrame, by: list[str], path: str = "path") -> DataFrame:
+    """``by``, languages: the languages of each group's files in ``LANGUAGE_ORDER``, others last by name."""
+    found = files.select(*by, language(F.col(path)).alias("l")).filter("l <> 'Other'").distinct()
+    place = F.array_position(F.array(*[F.lit(x) for x in LANGUAGE_ORDER]), F.col("l"))
+    rank = F.struct(F.when(place > 0, place).otherwise(len(LANGUAGE_ORDER) + 1).alias("p"), "l")
+    return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(rank)), lambda x: x["l"]).alias("languages"))
+
+
 def language(path: Column) -> Column:
     out = F.lit("Other")
     for name, pattern in reversed(LANGUAGES):

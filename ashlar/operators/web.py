@@ -34,28 +34,45 @@ def facts(files: DataFrame, probes: dict[str, str], by: str = "repo") -> DataFra
     return files.groupBy(by).agg(*[F.bool_or(F.col("content").rlike(p)).alias(k) for k, p in probes.items()])
 
 
+#: Names of runtimes as facts give them, and the other names they go by.
+RUNTIMES = {"Python": ("python", "cpython"), "Node.js": ("node", "node.js", "nodejs"), "JVM": ("java", "jvm", "jdk"), "Go": ("go", "golang"), ".NET": (".net", "dotnet", "net")}
+
+
+def runtime_name(runtime: Column) -> Column:
+    out = runtime
+    for name, others in RUNTIMES.items():
+        out = F.when(F.lower(F.trim(runtime)).isin(*others), F.lit(name)).otherwise(out)
+    return out
+
+
+def runtime_version(runtime: Column, version: Column) -> Column:
+    """The version's bucket: major and minor of Python and Go; Node.js <18, 18.x, 20.x, then
+    each; JVM 8, 11, 17, then N+; .NET <6, 6-7, then N+. A version without number stays."""
+    text, name = F.trim(F.coalesce(version, F.lit(""))), runtime_name(runtime)
+    number = F.regexp_extract(text, r"(\d{1,6})", 1)
+    major = F.try_to_number(number, F.lit("999999")).cast("int")
+    exact = F.coalesce(F.nullif(F.regexp_extract(text, r"(\d+\.\d+)", 1), F.lit("")), major.cast("string"))
+    plus = F.concat(major.cast("string"), F.lit("+"))
+    node = F.when(major < 18, "<18").when(major < 20, "18.x").when(major < 22, "20.x").otherwise(F.concat(major.cast("string"), F.lit(".x")))
+    jvm = F.when(major <= 8, "8").when(major <= 11, "11").when(major <= 17, "17").otherwise(plus)
+    net = F.when(major < 6, "<6").when(major < 8, "6-7").otherwise(plus)
+    return F.when(major.isNull(), text).when(name.isin("Python", "Go"), exact).when(name == "Node.js", node).when(name == "JVM", jvm).when(name == ".NET", net).otherwise(text)
+
+
 def runtime_bucket(runtime: Column, version: Column) -> Column:
-    """Version buckets by runtime, as Python 3.x, Node 18.x, JVM 17, Go 1.x, .NET 6-7."""
-    major = F.try_to_number(F.regexp_extract(version, r"(\d{1,6})", 1), F.lit("999999")).cast("int")
-    minor = F.regexp_extract(version, r"\d+\.(\d+)", 1)
-    r = F.lower(runtime)
-    return (
-        F.when(major.isNull(), runtime)
-        .when(r == "python", F.concat(F.lit("Python "), major.cast("string"), F.when(minor != "", F.concat(F.lit("."), minor)).otherwise(F.lit(""))))
-        .when((r == "node") & (major < 18), F.lit("Node <18")).when(r == "node", F.concat(F.lit("Node "), major.cast("string"), F.lit(".x")))
-        .when(r.isin("java", "jvm"), F.concat(F.lit("JVM "), major.cast("string"))).when(r == "go", F.concat(F.lit("Go "), major.cast("string"), F.lit("."), minor))
-        .when((r == ".net") & (major < 6), F.lit(".NET <6")).when((r == ".net") & (major < 8), F.lit(".NET 6-7")).when(r == ".net", F.concat(F.lit(".NET "), major.cast("string"), F.lit("+"))).otherwise(runtime)
-    )
+    """Runtime with its version's bucket, as Python 3.9 or Node.js 18.x; the runtime alone without version."""
+    bucket = runtime_version(runtime, version)
+    return F.when(bucket == "", runtime_name(runtime)).otherwise(F.concat_ws(" ", runtime_name(runtime), bucket))
 
 
 def outdated(runtime: Column, version: Column) -> Column:
-    r = F.lower(runtime)
-    number = lambda i, p: F.try_to_number(F.regexp_extract(version, p, i), F.lit("999999")).cast("int")
-    major, minor = number(1, r"(\d{1,6})"), number(1, r"\d+\.(\d{1,6})")
-    return F.coalesce(
-        ((r == "python") & ((major < 3) | ((major == 3) & (minor <= 9)))) | ((r == "node") & (major < 18)) | (r.isin("java", "jvm") & major.isin(8, 11)) | ((r == "go") & (major == 1) & (minor < 21)) | ((r == ".net") & (major < 6)),
-        F.lit(False),
-    )
+    """Python up to 3.9, Node.js below 18, JVM 8 and 11 with all that their buckets hold, Go below 1.21, .NET below 6."""
+    name, bucket = runtime_name(runtime), runtime_version(runtime, version)
+    part = lambda i: F.coalesce(F.try_to_number(F.regexp_extract(bucket, r"^(\d{1,6})(?:\.(\d{1,6}))?$", i), F.lit("999999")).cast("int"), F.lit(0))
+    numeric = bucket.rlike(r"^\d+(\.\d+)?$")
+    before = lambda major, minor: numeric & ((part(1) < major) | ((part(1) == major) & (part(2) < minor)))
+    old = ((name == "Python") & before(3, 10)) | ((name == "Node.js") & (bucket == "<18")) | ((name == "JVM") & bucket.isin("8", "11")) | ((name == "Go") & before(1, 21)) | ((name == ".NET") & (bucket == "<6"))
+    return F.coalesce(old, F.lit(False))
 
 
 def dependencies(files: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql.types import StructType
 def scan_records(rows: DataFrame, schema: StructType | str, payload: str = "payload") -> DataFrame:
     """Records of a job table (scan_id, updated_at, payload JSON); unreadable ones
     are dropped. Old field names are mapped to the present ones."""
-    got = rows.withColumn("__r", F.from_json(F.col(payload), schema, {"mode": "PERMISSIVE"})).filter("__r is not null")
+    readable = F.schema_of_variant(F.try_parse_json(F.col(payload))).startswith("OBJECT")
+    got = rows.filter(readable).withColumn("__r", F.from_json(F.col(payload), schema, {"mode": "PERMISSIVE"}))
     return got.select("scan_id", "updated_at", "__r.*")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from ..operators.findings import upsert
+from .sessions import BUCKETS, KeyedTable
 
 EVENT = "ts timestamp, session string, event_type string, value double"
 
@@ -26,16 +27,13 @@ def windowed_counts(stream: DataFrame, every: str = "1 day", late: str = "1 hour
     return stream.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def keep_latest(stream: DataFrame, path: str, checkpoint: str, key: str, at: str) -> StreamingQuery:
-    """Upserts every micro-batch into a Parquet table: last write wins. Each batch
-    writes the next version beside the table, so a failed one changes nothing."""
+def latest_table(spark: SparkSession, path: str, schema: StructType, key: str, at: str, buckets: int = BUCKETS) -> KeyedTable:
+    """The table that ``keep_latest`` writes: one row a key."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return KeyedTable(spark, path, ddl, [key], at, buckets=buckets)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), at).alias("r")).select(key, "r.*").select(*batch.columns)
-        old = f"{path}/v{number - 1}"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(old)
-        there = number > 0 and fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
-        (upsert(spark.read.parquet(old), newest, key, at) if there else newest).write.mode("overwrite").parquet(f"{path}/v{number}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_latest(stream: DataFrame, path: str, checkpoint: str, key: str, at: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Upserts every micro-batch into a keyed table: last write wins. A batch rewrites the
+    buckets that its keys lie in; a failed one changes nothing, one that comes again is known."""
+    return latest_table(stream.sparkSession, path, stream.schema, key, at, buckets).follow(stream, checkpoint, "keep-latest")

@@ -85,7 +85,11 @@ def test_web_functions(spark):
     assert [tuple(r) for r in got] == [("api.example.com", "/v1/users", "external"), ("svc.internal", "", "internal")]
     v = spark.createDataFrame([("python", "3.8"), ("node", "16.1"), ("java", "17"), ("go", "1.20"), (".net", "6"), ("python", None)], "r string, v string")
     got = v.select(web.runtime_bucket(F.col("r"), F.col("v")), web.outdated(F.col("r"), F.col("v"))).collect()
-    assert [tuple(x) for x in got] == [("Python 3.8", True), ("Node <18", True), ("JVM 17", False), ("Go 1.20", True), (".NET 6-7", False), ("python", False)]
+    assert [tuple(x) for x in got] == [("Python 3.8", True), ("Node.js <18", True), ("JVM 17", False), ("Go 1.20", True), (".NET 6-7", False), ("Python", False)]
+    more = [("JVM", "9", "11", True), ("jvm", "1.8", "8", True), ("JVM", "21", "21+", False), ("Node.js", "v16.3", "<18", True), ("Node.js", "19", "18.x", False), ("node", "21.1", "20.x", False), ("Node.js", "22", "22.x", False), ("Python", "3", "3", True),
+            ("Python", "3.10.2", "3.10", False), ("Python", ">=3.9", "3.9", True), ("Go", "1", "1", True), ("Go", "1.21", "1.21", False), (".NET", "5.0", "<6", True), (".NET", "8", "8+", False), ("Ruby", " 3.2 ", "3.2", False), ("Go", "latest", "latest", False), ("JVM", "", "", False)]
+    v = spark.createDataFrame([m[:2] for m in more], "r string, v string")
+    assert [tuple(x) for x in v.select(web.runtime_version(F.col("r"), F.col("v")), web.outdated(F.col("r"), F.col("v"))).collect()] == [m[2:] for m in more]
     f = frame(spark, [("r", "package.json", '{"dependencies":{"A":"1"},"devDependencies":{"b":"2"}}'), ("r", "requirements.txt", "x==1\n# c\ny>2"), ("r", "go.mod", "require github.com/a/b v1"), ("r", "pom.xml", "<artifactId>z</artifactId>"), ("r", "CODEOWNERS", "# all\n* @team other")])
     assert {r["name"] for r in web.dependencies(f).collect()} == {"a", "b", "x", "y", "github.com/a/b", "z"}
     assert web.code_owner(f).first()["owner"] == "@team"
