@@ -59,13 +59,28 @@ def markers(files: DataFrame, probes: dict[str, str], by: str = "repo") -> DataF
     return files.select(by, F.explode(held).alias("marker")).groupBy(by, "marker").agg(F.count(F.lit(1)).alias("files"))
 
 
-def module_markers(paths: DataFrame, generic: tuple[str, ...] = ("main", "test", "tests", "util", "utils", "index", "init", "core", "base", "common"), least: int = 4, most: int = 16) -> DataFrame:
-    """repo, marker, n: the commonest words of ``least`` letters or more in the paths
-    (repo, path) of each repository, ``most`` of them."""
-    words = F.transform(F.split(F.regexp_replace("path", r"\.[^./]*$", ""), r"[^A-Za-z]+"), F.lower)
-    counted = paths.select("repo", F.explode(words).alias("marker")).filter((F.length("marker") >= least) & ~F.col("marker").isin(*generic)).groupBy("repo", "marker").agg(F.count(F.lit(1)).alias("n"))
-    first = W.partitionBy("repo").orderBy(F.desc("n"), "marker")
-    return counted.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= most).drop("__n")
+#: Names that mark no module.
+GENERIC_MODULES = (
+    "app main index init utils util common helper helpers config settings model models service services controller controllers handler handlers "
+    "route routes page pages view views test tests spec specs readme setup build dist"
+).split()
+
+
+def module_markers(paths: DataFrame, generic=GENERIC_MODULES, least: int = 4, most: int = 16, code: str = r"\.(py|js|ts|jsx|tsx|java|kt|go|rb|cs|php|rs|scala|swift|c|cc|cpp|h)$") -> DataFrame:
+    """repo, marker, n: the commonest names of folders and files, without suffix, in the paths of
+    each repository's code (repo, path), ``most`` of them.
+
+    A name is in lower case with ``-`` for all but letters and digits; names shorter than ``least``
+    and generic ones are none. Ties go to the name that comes first in the sorted paths.
+    """
+    clean = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), "/{2,}", "/")
+    parts = F.filter(F.split(F.regexp_replace(clean, r"(?<=[^/])\.[^./]*$", ""), "/"), lambda p: p != "")
+    tokens = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(F.lower(p), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
+    rows = paths.filter(F.lower("path").rlike(code)).select("repo", "path", F.posexplode(tokens).alias("at", "marker"))
+    kept = rows.filter((F.length("marker") >= least) & ~F.col("marker").isin(*generic))
+    counted = kept.groupBy("repo", "marker").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "at")).alias("first"))
+    order = W.partitionBy("repo").orderBy(F.desc("n"), "first")
+    return counted.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= most).select("repo", "marker", "n")
 
 
 #: Language by file name or suffix, the first that fits.

@@ -105,12 +105,6 @@ def within_lines(sources: DataFrame, sinks: DataFrame, key: list[str], before: i
     return hit.groupBy(*sources.columns).agg(F.count_distinct("__line").alias("n_sinks"))
 
 
-def remediation(df: DataFrame) -> DataFrame:
-    """Serious findings by rule: worst severity, count, first text and places."""
-    serious = df.filter("severity <= 2")
-    return serious.groupBy("rule").agg(F.min("severity").alias("severity"), F.count(F.lit(1)).alias("n"), F.count_distinct("file", "line").alias("places"))
-
-
 def histogram(df: DataFrame, by: list[str], values: list, of: str) -> DataFrame:
     """Counts of the values of a column, one column each."""
     return df.groupBy(*by).agg(*[F.count_if(F.col(of) == v).alias(f"{of}_{v}") for v in values])

@@ -105,13 +105,6 @@ def layer_violations(c):
     return facts.layer_violations(c.table("customer").select(F.concat(F.lit("r"), k % 9).alias("repo"), F.concat(place, k, F.lit(".py")).alias("path"), code.alias("content")))
 
 
-@query("""with w as (select p_brand as repo, unnest(list_transform(regexp_split_to_array(lower(p_type || '/' || p_name), '[^a-z]+'), lambda x: x)) as marker from part),
-n as (select repo, marker, count(*)::bigint as n from w where length(marker) >= 4 and marker not in ('main', 'test', 'tests', 'util', 'utils', 'index', 'init', 'core', 'base', 'common') group by all)
-select * from n qualify row_number() over (partition by repo order by n desc, marker) <= 16""")
-def module_markers(c):
-    return facts.module_markers(c.table("part").select(F.col("p_brand").alias("repo"), F.concat("p_type", F.lit("/"), "p_name").alias("path")))
-
-
 @query("""select repo, case when path like '%.py' then 'Python' when path like '%.js' then 'JavaScript' when path like '%.md' then 'Markdown' else 'YAML' end as language, count(*)::bigint as files from files group by all""", "files")
 def languages(c):
     return c.files().groupBy("repo", facts.language(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("files"))

@@ -177,11 +177,6 @@ def band_proximity(c):
     return op.within_lines(f.filter("category = 'Security'").select("scan_id", "file", "line").distinct(), f.filter("category <> 'Security'"), ["scan_id", "file"])
 
 
-@query("select rule, min(severity) as severity, count(*)::bigint as n, count(distinct (file, line))::bigint as places from findings where severity <= 2 group by rule", "findings")
-def remediation_groups(c):
-    return op.remediation(c.findings())
-
-
 @query("""with t as (select count(*)::bigint as n, floor(least(100.0::double, (count(*) filter (severity = 1) * 100 + count(*) filter (severity = 2) * 70 + count(*) filter (severity = 3) * 35 + count(*) filter (severity = 4) * 10) / count(*)::double))::int as score from findings)
 select n, score, case when score >= 70 then 'high' when score >= 35 then 'medium' else 'low' end as band from t""", "findings")
 def executive_risk_score(c):

@@ -85,14 +85,6 @@ def architecture_flow(c):
     return c.profiles().select("repo", "role", "owner", F.array_join(flow, ">").alias("flow"))
 
 
-@query("""select repo, list_sort(list_distinct(list_filter([case when balance < 0 then 'risk' end, case when role in ('api', 'ui') then 'exposed' end, lower(segment), case when owner like 'NATION_1%' then 'team-a' end], lambda x: x is not null))) as tags,
-  list_filter([case when balance < 0 and role = 'api' then 'api-risk' end, case when owner = 'NATION_3' then 'no-owner-review' end], lambda x: x is not null) as violations from profiles""", "profiles")
-def usage_tags_and_violations(c):
-    tags = F.array_compact(F.array(F.when(F.col("balance") < 0, "risk"), F.when(F.col("role").isin("api", "ui"), "exposed"), F.lower("segment"), F.when(F.col("owner").like("NATION_1%"), "team-a")))
-    violations = F.array_compact(F.array(F.when((F.col("balance") < 0) & (F.col("role") == "api"), "api-risk"), F.when(F.col("owner") == "NATION_3", "no-owner-review")))
-    return c.profiles().select("repo", F.array_sort(F.array_distinct(tags)).alias("tags"), violations.alias("violations"))
-
-
 @query("""with produced as (select distinct s_suppkey % 40 as topic, concat('repo_', cast(s_suppkey % 30 as varchar(9))) as producer from supplier), consumed as (select distinct c_custkey % 40 as topic, concat('repo_', cast(c_custkey % 30 as varchar(9))) as consumer from customer)
 select p.topic, p.producer, c.consumer, a.owner as producer_owner, b.owner as consumer_owner from produced p join consumed c on p.topic = c.topic join profiles a on a.repo = p.producer join profiles b on b.repo = c.consumer where a.owner <> b.owner""", "profiles")
 def topic_coupling(c):
