@@ -141,13 +141,14 @@ def identify(sentence: Column) -> Column:
 
 
 def recognise(known: Column) -> Column:
-    """Licences (distinct, in order of name) of an array of (pos, id) in text order."""
+    """Licences (distinct, in order of name) of an array of (pos, id) in text order. Each
+    identifier has bars of its own, so that sequences that follow one another are all consumed."""
     text = F.aggregate(
         known,
-        F.struct(F.lit("|").alias("s"), F.lit(-1).alias("last")),
-        lambda acc, x: F.struct(F.concat(acc["s"], F.when((acc["last"] >= 0) & (x["pos"] - acc["last"] > MAX_GAP + 1), F.lit("||")).otherwise(F.lit("")), x["id"], F.lit("|")).alias("s"), x["pos"].alias("last")),
+        F.struct(F.lit("").alias("s"), F.lit(-1).alias("last")),
+        lambda acc, x: F.struct(F.concat(acc["s"], F.when((acc["last"] >= 0) & (x["pos"] - acc["last"] > MAX_GAP + 1), F.lit("|~|")).otherwise(F.lit("")), F.lit("|"), x["id"], F.lit("|")).alias("s"), x["pos"].alias("last")),
     )["s"]
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for name, ids in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"|{i}|" for i in ids)).alias("ids")) for name, ids in RULES])
     empty = F.array().cast("array<string>")
     # Each rule consumes its sentences, so that a shorter one does not see them again.
     state = F.aggregate(
