@@ -28,7 +28,8 @@ class Rule:
     severity: int
     pattern: str
     guard: str | None = None
-    config_only: bool = False
+    #: True: files that aren't code; False: files that aren't configuration; None: all files.
+    config_only: bool | None = False
     entropy: bool = False
     path: str | None = None
     #: Literals in lower case of which a file with a match holds one; the cheap test before the pattern.
@@ -72,10 +73,10 @@ SUSPECT = r"(?i)(?:password|passwd|secret|token|api_?key|credential|private_?key
 
 def applies(r: Rule, held: str | None = None) -> Column:
     """A rule fits a file by its class and guards: config rules skip code files,
-    others skip config files, files that are neither take all. Guards are looked for in
+    others skip config files (rules for all files skip none), files that are neither take all. Guards are looked for in
     the content, or among those that the column ``held`` says hold."""
     code, config = F.lower("path").rlike(CODE), F.lower("path").rlike(CONFIG)
-    fits = (~code | config) if r.config_only else (~config | code)
+    fits = F.lit(True) if r.config_only is None else (~code | config) if r.config_only else (~config | code)
     if r.anchors:
         anchored = [F.contains(F.col("lowered"), F.lit(a)) for a in r.anchors]
         fits = reduce(or_, anchored) & fits

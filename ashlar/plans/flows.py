@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ select b.repo, b.path, b.line, b.evidence, case when b.path like 'tests/%' or b.
   regexp_extract(f.content, '((?i)released|licensed|est|ist)', 1) as signal from both_ b join files f using (repo, path) where b.ok and regexp_matches(f.content, '(?i)released|licensed|est|ist')""", "files")
 def secret_beside_model(c):
     """Files with a token, a mail address and a word that stands for the handling of prompts."""
-    found = rules.detect(c.files(), FEW, stripped=False).select("repo", "path", "rule", "line", "context")
+    found = rules.detect(c.files(), tuple(replace(r, config_only=None) for r in FEW), stripped=False).select("repo", "path", "rule", "line", "context")
     return flow.secret_beside_model(found, c.files(), F.col("rule") == "hardcoded_credential", F.col("rule") == "email_address", "(?i)released|licensed|est|ist")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ashlar.operators import flow, symbols
 from ashlar.operators.rules import SEC, Rule
+from ashlar.plans import flows
 
 
 def frame(spark, rows):
@@ -62,6 +63,13 @@ def test_secret_counts_only_beside_prompts(spark):
     assert [(r["path"], r["line"], r["evidence"], r["severity"], r["signal"]) for r in got] == [("a.py", 1, "hardcoded_key,openai", 1, "user_input")]
 
 
+def test_query_of_secrets_takes_configuration_files(spark, tmp_path):
+    rows = [(1, f'x est\ntoken = "{"0a" * 20}" a@b.example', "es", "s"), (2, "a@b.example est", "es", "s"), (3, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = flows.QUERIES["secret_beside_model"](spark, str(tmp_path)).collect()
+    assert [(r["path"], r["line"], r["evidence"]) for r in got] == [("docs/d1.yaml", 2, "hardcoded_credential,email_address")]
+
+
 def plain_table(text):
     table = {}
     for pattern, provider in symbols.CONSTRUCTORS:
