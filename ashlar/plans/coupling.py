@@ -128,8 +128,8 @@ _INVENTORY = """inventory as (
 @query(f"""with {_INVENTORY} select score, len(m)::int as modules, count(*)::bigint as pairs from scored group by all""")
 def overlap_scores(c):
     """How many pairs of repositories have each score and number of shared markers."""
-    found = overlap.class_overlaps(overlap.classes(inventory(c)))
-    return found.groupBy("score", F.size("modules").alias("modules")).agg(F.sum("pairs").alias("pairs"))
+    found = overlap.overlap_counts(overlap.classes(inventory(c)))
+    return found.groupBy("score", "modules").agg(F.floor(F.sum(F.col("n") * F.col("peers")) / 2).cast("long").alias("pairs"))
 
 
 @query(f"""with {_INVENTORY}, ends as (select a as repo, b as peer, score from scored union all select b, a, score from scored) select repo, max(score) as overlap_score, count(*)::bigint as peers from ends group by repo""")

@@ -104,6 +104,33 @@ def test_overlaps_equal_all_pairs(spark, seed):
     assert common < every  # the commonest tags are not met on
 
 
+@pytest.mark.parametrize(("least", "most", "block"), [(4, 6, 70), (2, 1, 1 << 18), (5, 2, 40)])
+def test_counts_equal_listed_pairs(spark, least, most, block):
+    rng = random.Random(least)
+    sizes = [6, 3, 3, 4, 8, 12]
+    tags = lambda c, n: tuple(sorted(rng.sample([f"{c[0]}{j}" for j in range(n)], rng.randint(0, 3))))
+    repos = {f"r{i:03}": [tags(c, n) for c, n in zip(COLS, sizes, strict=True)] for i in range(150)}
+    repos |= {f"s{i}": repos["r001"] for i in range(20)} | {"t": repos["r002"], "none": [()] * 6}
+    df = spark.createDataFrame([(r, *map(list, x)) for r, x in repos.items()], "repo string, " + ", ".join(f"{c} array<string>" for c in COLS))
+    caps = [cap for _, cap, *_ in overlap.KINDS.values()]
+    want, risk, named = Counter(), {}, Counter()
+    for a, x in repos.items():
+        for b, y in repos.items():
+            shared = [sorted(set(p) & set(q)) for p, q in zip(x, y, strict=True)]
+            score = sum(min(len(s), cap) for s, cap in zip(shared, caps, strict=True))
+            if a != b and score >= least:
+                want[score, len(shared[5])] += 1
+                risk[a] = max(score, risk.get(a, (0, 0))[0]), risk.get(a, (0, 0))[1] + 1
+                named.update(shared[5][:most] if a < b else [])
+    sets = overlap.classes(df)
+    got = Counter()
+    for r in overlap.overlap_counts(sets, least, block=block, parts=2).collect():
+        got[r["score"], r["modules"]] += r["n"] * r["peers"]
+    assert got == want
+    assert {r["repo"]: (r["overlap_score"], r["peers"]) for r in overlap.repo_risk(df, least, block=block, parts=2).collect()} == risk
+    assert {r["module"]: r["n"] for r in overlap.module_counts(sets, least, most=most, block=block, parts=2).collect()} == named
+
+
 def test_flows_by_regex_stay_in_the_row(spark):
     plan = coupling.topics(spark.createDataFrame([("r", "x")], "repo string, content string"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and re.search("Generate", plan)
