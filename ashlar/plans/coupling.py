@@ -140,4 +140,4 @@ def repo_overlap_risk(c):
 
 @query(f"""with {_INVENTORY} select module, count(*)::bigint as n from (select unnest(m[1:6]) as module from scored) group by module""")
 def duplicate_modules(c):
-    return overlap.duplicate_modules(overlap.class_overlaps(overlap.classes(inventory(c))))
+    return overlap.module_counts(overlap.classes(inventory(c)))
