@@ -134,8 +134,7 @@ def overlap_scores(c):
 
 @query(f"""with {_INVENTORY}, ends as (select a as repo, b as peer, score from scored union all select b, a, score from scored) select repo, max(score) as overlap_score, count(*)::bigint as peers from ends group by repo""")
 def repo_overlap_risk(c):
-    rows = inventory(c)
-    return overlap.repo_overlaps(rows, overlap.class_overlaps(overlap.classes(rows)))
+    return overlap.repo_risk(inventory(c))
 
 
 @query(f"""with {_INVENTORY} select module, count(*)::bigint as n from (select unnest(m[1:6]) as module from scored) group by module""")
