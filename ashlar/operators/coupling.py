@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import web
 
 URL = r"(?i)https?://[A-Za-z0-9._:-]+(?:/[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]*)?"
@@ -12,6 +15,8 @@ URL = r"(?i)https?://[A-Za-z0-9._:-]+(?:/[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]*)?
 SENDS, RECEIVES = ("publish", "produce", "send", "emit"), ("subscribe", "consume", "listen")
 TOPIC = rf"(?i)\b(?:{'|'.join(SENDS + RECEIVES)})\s*\(?\s*[\"']([A-Za-z0-9._-]{{2,120}})[\"']"
 UNOWNED = "Unowned"
+#: Peers and repositories that meet in one task, and the bytes of bits that it keeps at hand.
+BLOCK, PART, DENSE = 1 << 18, 1 << 13, 1 << 26
 
 
 def normal_route(path: Column) -> Column:
@@ -113,11 +118,84 @@ def team_flows(ends: DataFrame) -> DataFrame:
     return met.groupBy("kind", F.when(topic, F.col("b")).otherwise(F.col("a")).alias("source"), F.when(topic, F.col("a")).otherwise(F.col("b")).alias("target")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
 
 
-def hidden_coupling(ends: DataFrame, most: int = 8) -> DataFrame:
+def _peers():
+    """What a task does; nested, so that executors need no module of this package."""
+
+    def counted(table: pa.Table) -> pa.Table:
+        """The peers of the ``left`` rows among the others, a bit each: by sort of item and all."""
+        left = table.column("left").to_numpy()
+        lists = table.column("ids").combine_chunks()
+        ends = lists.offsets.to_numpy()
+        ids = lists.values.to_numpy()[ends[0] : ends[-1]]
+        sorts = table.column("sorts").combine_chunks()
+        sorts = sorts.values.to_numpy()[sorts.offsets[0].as_py() : sorts.offsets[-1].as_py()]
+        ends = ends - ends[0]
+        right = np.flatnonzero(~left)
+        place = np.full(len(left), -1)
+        place[right] = np.arange(len(right))
+        words = -(-len(right) // 64)
+        known, code = np.unique(ids, return_inverse=True)
+        at = place[np.repeat(np.arange(len(left)), np.diff(ends))]
+        code_r, at = code[at >= 0], at[at >= 0]
+        by = np.argsort(code_r, kind="stable")
+        at, first = at[by], np.searchsorted(code_r[by], np.arange(len(known) + 1))
+
+        def plane(places: np.ndarray) -> np.ndarray:
+            out = np.zeros(words, np.uint64)
+            np.bitwise_or.at(out, places >> 6, np.left_shift(np.uint64(1), (places & 63).astype(np.uint64)))
+            return out
+
+        df = np.diff(first)
+        common = np.argsort(-df, kind="stable")[: max(DENSE // (8 * max(words, 1)), 1)]
+        dense = {t: plane(at[first[t] : first[t + 1]]) for t in common[df[common] > 32].tolist()}
+        repos, owners = table.column("repo").to_pylist(), table.column("owner").to_pylist()
+        of_owner = {}
+        for p, r in enumerate(right.tolist()):
+            of_owner.setdefault(owners[r], []).append(p)
+        others = {o: ~plane(np.array(of_owner.get(o, []), np.int64)) for o in {owners[r] for r in np.flatnonzero(left).tolist()}}
+        count, out = {}, []
+        for row in np.flatnonzero(left).tolist():
+            mine, n, every = others[owners[row]], [0, 0, 0], np.zeros(words, np.uint64)
+            for t, s in zip(code[ends[row] : ends[row + 1]].tolist(), sorts[ends[row] : ends[row + 1]].tolist(), strict=True):
+                x = dense[t] if t in dense else plane(at[first[t] : first[t + 1]]) if df[t] else None
+                if x is not None:
+                    np.bitwise_or(every, x, out=every)
+                    if (t, owners[row]) not in count:
+                        count[t, owners[row]] = int(np.bitwise_count(x & mine).sum())
+                    n[s] += count[t, owners[row]]
+            if any(n):
+                out.append((repos[row], owners[row], *n, int(np.bitwise_count(every & mine).sum())))
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        types = [pa.string(), pa.string(), *[pa.int64()] * 4]
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("repo", "owner", "dependencies", "api", "events", "peers"), columns, types, strict=True)})
+
+    return counted
+
+
+def hidden_coupling(ends: DataFrame, most: int = 8, block: int = BLOCK, part: int = PART) -> DataFrame:
     """repo, owner, dependencies, api, events, peers, coupling: each repository's couplings of
-    every sort, and their number with at most ``most`` of a sort counted."""
-    met = couplings(ends)
-    sort = F.when(F.col("kind") == "topic", "events").when(F.col("kind") == "dependency", "dependencies").otherwise("api")
-    n = lambda s: F.count_if(F.col("sort") == s).alias(s)
-    pairs = met.select("repo", "owner", sort.alias("sort"), "item", "peer").distinct().groupBy("repo", "owner").agg(n("dependencies"), n("api"), n("events"), F.count_distinct("peer").alias("peers"))
+    every sort, and their number with at most ``most`` of a sort counted.
+
+    No coupling is listed: ``part`` repositories that depend meet ``block`` others in a task, where
+    those that share an item are a row of bits; bits are united and counted. A route has a
+    slash and a host none, so an item and a peer are one coupling at most.
+    """
+    ends = written(ends.distinct(), "coupling-ends")
+    is_from = F.col("side") == "from"
+    items = ends.groupBy("kind", "item").agg(F.bool_or(is_from).alias("f"), F.bool_or(~is_from).alias("t")).filter("f and t").select("kind", "item")
+    items = written(items.withColumn("id", F.monotonically_increasing_id()), "coupling-items")
+    sort = F.when(F.col("kind") == "topic", 2).when(F.col("kind") == "dependency", 0).otherwise(1)
+    rows = ends.join(items, ["kind", "item"]).select("repo", "owner", "side", F.struct("id", sort.alias("sort")).alias("x"))
+    a = rows.filter(is_from).groupBy("repo", "owner").agg(F.collect_set("x").alias("x"))
+    # a repository has the same owners at all its ends; of several, one is another's for everybody
+    b = rows.filter(~is_from).groupBy("repo").agg(F.when(F.min("owner") == F.max("owner"), F.min("owner")).alias("owner"), F.collect_set("x").alias("x"))
+    shown = lambda df, left: written(df.select("repo", "owner", F.lit(left).alias("left"), F.col("x.id").alias("ids"), F.col("x.sort").alias("sorts")), "coupling-lists")
+    a, b = shown(a, True), shown(b, False)
+    parts, blocks = max(1, -(-a.count() // part)), max(1, -(-b.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda n: F.pmod(F.xxhash64("repo"), F.lit(n)).cast("int")
+    a = a.select("*", every(blocks).alias("o")).withColumn("task", F.col("o") * parts + of(parts)).drop("o")
+    b = b.select("*", every(parts).alias("o")).withColumn("task", of(blocks) * parts + F.col("o")).drop("o")
+    met = a.unionByName(b).repartitionById(blocks * parts, F.col("task")).groupBy("task").applyInArrow(_peers(), "repo string, owner string, dependencies long, api long, events long, peers long")
+    pairs = met.groupBy("repo", "owner").agg(*[F.sum(c).alias(c) for c in ("dependencies", "api", "events", "peers")])
     return pairs.withColumn("coupling", sum((F.least(c, F.lit(most)) for c in ("api", "events")), F.least("dependencies", F.lit(most))))

@@ -58,6 +58,24 @@ def test_couplings_equal_all_pairs(spark):
         assert r["coupling"] == sum(min(v, 2) for v in n.values()) and r["peers"] == len({p for _, _, p in mine})
 
 
+def test_hidden_coupling_lists_no_pair(spark):
+    rng = random.Random(5)
+    owners = {f"r{i}": {rng.choice("abc")} | ({"d"} if i % 9 == 0 else set()) for i in range(90)}
+    rows = {(kind, item, r, o, side) for r, os in owners.items() for kind in ("topic", "host", "route", "dependency") for side in ("from", "to") if rng.random() < 0.4 for item in [f"{kind}{rng.randrange(4)}"] for o in os}
+    ends = spark.createDataFrame(list(rows), "kind string, item string, repo string, owner string, side string")
+    want = {}
+    for k, i, r, o, side in rows:
+        peers = {(p, i) for k2, i2, p, o2, s2 in rows if (k2, i2, s2) == (k, i, "to") and o2 != o}
+        if side == "from" and peers:
+            want.setdefault((r, o), []).extend(("events" if k == "topic" else "dependencies" if k == "dependency" else "api", p) for p, _ in peers)
+    got = coupling.hidden_coupling(ends, 3, block=20, part=30)
+    n = {key: Counter(s for s, _ in v) for key, v in want.items()}
+    assert {(r["repo"], r["owner"]): (r["dependencies"], r["api"], r["events"], r["peers"], r["coupling"]) for r in got.collect()} == {
+        key: (n[key]["dependencies"], n[key]["api"], n[key]["events"], len({p for _, p in v}), sum(min(x, 3) for x in n[key].values())) for key, v in want.items()
+    }
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # ends met in pairs before
+
+
 COLS = [c for c, *_ in overlap.KINDS.values()]
 
 
