@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import distinct_chars, entropy, match_array, matches, minified, path_class, placed, stable_id, strip_comments
+from .meet import meet
 
 
 @dataclass(frozen=True)
@@ -252,7 +253,7 @@ def cross_file_clients(files: DataFrame, sink: str = SINK) -> DataFrame:
     made = matches(files, key, "content", rf"(?m)^[A-Za-z_]\w*[ \t]*=[ \t]*(?:{'|'.join(CONSTRUCTORS.values())})\(")
     made = made.select("repo", F.col("path").alias("source"), F.regexp_extract("match", r"^(\w+)", 1).alias("name"), provider.alias("provider"), "start")
     made = made.groupBy("repo", "source", "name").agg(F.max_by("provider", "start").alias("provider"))
-    return imported_names(files.filter(F.col("content").rlike(sink))).join(made, ["repo", "name"]).filter("path <> source")
+    return meet(imported_names(files.filter(F.col("content").rlike(sink))), made, ["repo", "name"]).filter("path <> source")
 
 
 def imported_names(files: DataFrame) -> DataFrame:

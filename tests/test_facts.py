@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ashlar.operators import facts, rules, threats
+from ashlar.operators import facts, meet, rules, threats
 from ashlar.sources import files as src
 
 
@@ -53,3 +53,13 @@ def test_imports_and_paths(spark):
 def test_threats_of_an_empty_table(spark):
     none = spark.createDataFrame([], "repo string, file string, rule string, category string, severity int, context string")
     assert threats.finding_threats(none).count() == threats.architecture_threats(none).count() == threats.diagram(none).count() == 0
+
+
+def test_rows_of_one_key_meet_in_pieces(spark):
+    a = spark.createDataFrame([("k" if i % 10 else f"x{i}", i) for i in range(300)] + [(None, 1), ("only", 2)], "k string, i int")
+    b = spark.createDataFrame([("k", j) for j in range(50)] + [("k", 3), ("x20", 1), ("x20", 1), (None, 2)], "k string, j int")
+    got = meet.meet(a, b, ["k"], side=8)
+    order = lambda df: sorted((r["k"], r["i"], r["j"]) for r in df.collect())
+    assert order(got) == order(a.join(b, ["k"])) and got.rdd.getNumPartitions() > 1
+    sizes = [x for x in got.rdd.glom().map(len).collect() if x]
+    assert len(sizes) > 20 and max(sizes) < 0.2 * sum(sizes)
