@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from . import web
+from .meet import meet
 
 URL = r"(?i)https?://[A-Za-z0-9._:-]+(?:/[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]*)?"
 #: Verbs of message calls; those of the second list receive.
@@ -100,10 +101,12 @@ def ties(usage: DataFrame, events: DataFrame, dependencies: DataFrame, owners: D
 
 
 def couplings(ends: DataFrame) -> DataFrame:
-    """kind, item, repo, owner, peer, peer_owner: repositories of different owners that meet on an item."""
+    """kind, item, repo, owner, peer, peer_owner: repositories of different owners that meet on an item.
+    Every pair is a row; items that very many share are spread over tasks."""
+    ends = written(ends, "coupling-ends")
     a = ends.filter("side = 'from'").drop("side")
     b = ends.filter("side = 'to'").select("kind", "item", F.col("repo").alias("peer"), F.col("owner").alias("peer_owner"))
-    return a.join(b, ["kind", "item"]).filter("owner <> peer_owner")
+    return meet(a, b, ["kind", "item"]).filter("owner <> peer_owner")
 
 
 def team_flows(ends: DataFrame) -> DataFrame:

@@ -76,6 +76,13 @@ def test_hidden_coupling_lists_no_pair(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # ends met in pairs before
 
 
+def test_couplings_of_one_item_spread_over_tasks(spark):
+    rows = [("topic", "t", f"r{i}", "ab"[i % 2], side) for i in range(6000) for side in (["from", "to"] if i % 3 else ["from"])]
+    met = coupling.couplings(spark.createDataFrame(rows, "kind string, item string, repo string, owner string, side string"))
+    parts = [r["n"] for r in met.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(parts) == 2 * 3000 * 2000 and max(parts) < 0.75 * sum(parts)
+
+
 COLS = [c for c, *_ in overlap.KINDS.values()]
 
 
