@@ -26,8 +26,9 @@ def first_wins(df: DataFrame, key: str | list[str], order: list) -> DataFrame:
 
 def with_policy(df: DataFrame, lists: DataFrame, always: tuple[str, ...] = scoring.ALWAYS_CRITICAL) -> DataFrame:
     """Policy status and severity of findings; ``lists`` (rule, policy_list) is a
-    policy table of a few rows, broadcast by Spark where small."""
-    joined = df.join(lists, "rule", "left")
+    policy table of a row a rule at most, which is broadcast: rules are few, and a shuffle
+    by rule would hold each rule's findings in one task."""
+    joined = df.join(F.broadcast(lists), "rule", "left")
     if "policy_status" not in df.columns:
         joined = joined.withColumn("policy_status", F.lit(None).cast("string"))
     status, severity = scoring.policy(always)

@@ -212,7 +212,8 @@ def rule_labels(c):
 @query("select project_key, repo, hash from findings where project_key in ('P1', 'P3') group by all", "findings")
 def row_level_security(c):
     mine = c.spark.createDataFrame([("P1",), ("P3",)], "project_key string")
-    return c.findings().join(mine, "project_key", "left_semi").select("project_key", "repo", "hash").distinct()
+    # two rows: a shuffle by project would hold each project's findings in one task
+    return c.findings().join(F.broadcast(mine), "project_key", "left_semi").select("project_key", "repo", "hash").distinct()
 
 
 @query("select repo, file, severity, rule, lower(concat_ws(' ', repo, file, rule, context)) as searched from findings where contains(lower(concat_ws(' ', repo, file, rule, context)), 'rule_1 docs') group by all", "findings")

@@ -137,7 +137,7 @@ def remediation_lookup(c):
     """Two left joins, by rule and by category, then the default."""
     by_rule = c.spark.createDataFrame([("rule_0", "rotate"), ("rule_1", "rotate")], "rule string, a string")
     by_category = c.spark.createDataFrame([("Security", "review")], "category string, b string")
-    rows = c.findings().select("hash", "rule", "category").distinct().join(by_rule, "rule", "left").join(by_category, "category", "left")
+    rows = c.findings().select("hash", "rule", "category").distinct().join(F.broadcast(by_rule), "rule", "left").join(F.broadcast(by_category), "category", "left")
     return rows.select("hash", F.coalesce("a", "b", F.lit("document")).alias("remediation"))
 
 
