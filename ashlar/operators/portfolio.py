@@ -125,12 +125,23 @@ def import_cycles(edges: DataFrame) -> DataFrame:
     return edges.groupBy("group").applyInPandas(walk, "group string, cycle string")
 
 
+def _ends(arcs: DataFrame, node: str, end: str, most: int = 64) -> DataFrame:
+    """node, ends: the ends of each node's arcs in lists of about ``most``, so that no node is one large row."""
+    pieces = arcs.groupBy(node).agg(F.ceil(F.count(F.lit(1)) / most).alias("__n"))
+    piece = F.pmod(F.xxhash64(end), F.col("__n"))
+    return arcs.join(pieces, node).groupBy(node, piece.alias("__piece")).agg(F.collect_list(end).alias("ends")).select(node, "ends")
+
+
 def short_cycles(edges: DataFrame) -> DataFrame:
     """Cycles of two and three nodes by joins: the form for graphs of any size."""
     e = edges.select("src", "dst").distinct()
     two = two_cycles(e).select(F.concat_ws(" -> ", "src", "dst", "src").alias("cycle"))
-    ab, bc, ca = e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("c", "a")
-    three = ab.join(bc, "b").join(ca, ["c", "a"]).filter("a < b and a < c").select(F.concat_ws(" -> ", "a", "b", "c", "a").alias("cycle"))
+    # paths a, b, c meet the arcs c, a as lists: an arc is sent with the ends that follow it, not once for each
+    after = _ends(e.toDF("b", "c"), "b", "c")
+    before = _ends(e.toDF("c", "a").filter("a < c"), "a", "c")
+    paths = e.toDF("a", "b").filter("a < b").join(after, "b").select("a", "b", F.filter("ends", lambda c: c > F.col("a")).alias("cs")).filter(F.size("cs") > 0)
+    closed = paths.join(before, "a").select("a", "b", F.explode(F.array_intersect("cs", "ends")).alias("c"))
+    three = closed.select(F.concat_ws(" -> ", "a", "b", "c", "a").alias("cycle"))
     return two.unionByName(three)
 
 
