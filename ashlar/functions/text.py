@@ -54,14 +54,20 @@ def matches(df: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame
 
 def entropy(c: Column) -> Column:
     """Shannon entropy in bits a character; 0 for null and empty."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    n = F.length(c).cast("double")
+    chars = F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    state = lambda rest, bits, left, n: F.struct(rest.alias("rest"), bits.alias("bits"), left.alias("left"), n.alias("n"))
 
-    def bits(x: Column) -> Column:
-        p = (F.length(c) - F.length(F.replace(c, x, F.lit("")))) / n
-        return -p * F.log2(p)
+    def step(acc: Column, x: Column) -> Column:
+        """Takes a character out of what is left, which so shrinks; its share is what went."""
 
-    return F.when(F.length(c) > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, x: acc + bits(x))).otherwise(F.lit(0.0))
+        def less(rest: Column) -> Column:
+            p = (acc["left"] - F.length(rest)) / acc["n"]
+            return state(rest, acc["bits"] + -p * F.log2(p), F.length(rest), acc["n"])
+
+        return F.transform(F.array(F.replace(acc["rest"], x, F.lit(""))), less)[0]
+
+    start = state(c, F.lit(0.0), F.length(c), F.length(c).cast("double"))
+    return F.when(F.length(c) > 0, F.aggregate(chars, start, step)["bits"]).otherwise(F.lit(0.0))
 
 
 def distinct_chars(c: Column) -> Column:
