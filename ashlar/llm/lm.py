@@ -29,7 +29,7 @@ from __future__ import annotations
 import copy
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -48,6 +48,7 @@ OWN, GROWTH = 4.0, 0.4
 FREQUENT = 100_000
 NAMED = 5
 WIDTH, NOISE, RATE = 24, 64, 0.1
+ROW = WIDTH + 2
 ROUNDS, SHARE, BATCHES, BATCH = 2, 8_000_000, 1000, 2048
 CHUNK, PACK, BLOCK, TALLY = 200, 200_000, 128, 300_000
 FLOOR = 0.05
@@ -60,12 +61,31 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def _hash(token: bytes) -> int:
-    h = xxhash.xxh64_intdigest(token)
-    return h - (1 << 64) if h >> 63 else h
+    return int(_hashes([token])[0])
+
+
+def _hashes(some: Collection[bytes]) -> np.ndarray:
+    """Signed 64-bit hashes of tokens."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some)).view(np.int64)
+
+
+class _Rests(dict):
+    """The rest class by the first two bytes, each made when first asked for."""
+
+    def __missing__(self, head: bytes) -> int:
+        self[head] = zlib.crc32(head) % REST
+        return self[head]
+
+
+_RESTS = _Rests()  # 65,793 at most
 
 
 def _rest(token: bytes) -> int:
-    return zlib.crc32(token[:2]) % REST
+    return _RESTS[token[:2]]
+
+
+def _rests(some: Collection[bytes]) -> np.ndarray:
+    return np.fromiter([_RESTS[t[:2]] for t in some], np.int32, len(some))
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,7 +102,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _tallied(tally: Counter) -> pd.DataFrame:
     names = [t.decode("utf-8", "surrogatepass") if n >= NAMED else None for t, n in tally.items()]
-    return pd.DataFrame({"h": [_hash(t) for t in tally], "n": list(tally.values()), "rest": [_rest(t) for t in tally], "token": names})
+    return pd.DataFrame({"h": _hashes(tally), "n": list(tally.values()), "rest": _rests(tally), "token": names})
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -106,7 +126,7 @@ class Vocabulary:
         self.own = min(own, len(named))
         self.classes = 1 + self.own + REST
         self.count = np.array([n for _, n in frequent], np.int64)
-        self.rest = np.array([_rest(t) for t in named], np.int64)
+        self.rest = _rests(named).astype(np.int64)
         self.n_texts = n_texts
         self.n_tokens = sum(rest_tokens.values()) + n_texts
         self.n_types = sum(rest_types.values()) + (n_texts > 0)
@@ -127,17 +147,14 @@ class Vocabulary:
         codes[:-1] = np.fromiter(map(self.index.get, toks, repeat(-2)), np.int32, len(toks))
         at = np.flatnonzero(codes == -2)
         rare = [toks[i] for i in at.tolist()]
-        codes[at] -= np.fromiter(map(_rest, rare), np.int32, len(rare))
+        codes[at] -= _rests(rare)
         return codes, Counter(rare)
 
     def classed(self, codes: np.ndarray, own: int) -> np.ndarray:
         """Class of every code, where ``own`` words have a class of their own."""
-        out = np.full(len(codes), END, np.int64)
-        rare, named = codes <= -2, codes >= 0
-        out[rare] = 1 + own + (-2 - codes[rare])
-        i = codes[named]
-        out[named] = np.where(i < own, 1 + i, 1 + own + self.rest[i])
-        return out
+        word = np.arange(len(self.rest))
+        named = np.where(word < own, 1 + word, 1 + own + self.rest)
+        return np.r_[1 + own + np.arange(REST)[::-1], END, named].take(codes + (1 + REST))  # the codes from the least on
 
     def coarse(self, codes: np.ndarray) -> np.ndarray:
         return self.classed(codes, TOP)
@@ -237,27 +254,33 @@ def _product_of_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(a[at : at + BLOCK].T @ b[at : at + BLOCK] for at in range(0, len(a), BLOCK))
 
 
+def _sums(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each of ``at`` to the next; two numbers are added at once."""
+    return np.add.reduceat(rows.view(np.complex64), at, axis=0).view(np.float32)
+
+
 def _by_row(row: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct rows, the sums of their gradients, and how often each occurs."""
     order = np.argsort(row.astype(np.min_scalar_type(int(row.max()))), kind="stable")  # narrow types sort by radix
     row = row.take(order)
     at = np.flatnonzero(np.diff(row, prepend=-1))
-    return row[at], np.add.reduceat(grad.take(order, axis=0), at, axis=0), np.diff(at, append=len(row))
+    return row[at], _sums(grad.take(order, axis=0), at), np.diff(at, append=len(row))
 
 
 class Model:
-    """Parameters of the log-bilinear model, one row of ``WIDTH`` + 1 numbers each:
-    outputs of the classes with their bias, inputs of the classes and the start,
-    topics and their start, and the matrix that transforms inputs."""
+    """Parameters of the log-bilinear model, one row of ``WIDTH`` + 1 numbers each
+    and a zero that makes them even: outputs of the classes with their bias, inputs of
+    the classes and the start, topics and their start, and the matrix that transforms inputs."""
 
     def __init__(self, class_tokens: np.ndarray):
         k = len(class_tokens)
         self.noise = (class_tokens + 1.0) / (class_tokens + 1.0).sum()
         self.classes, self.input, self.topic = k, k, 2 * k + 1
         self.mix = self.topic + GROUPS + 1
-        self.rows = np.random.default_rng(5).normal(0, 0.1, (self.mix + WIDTH, WIDTH + 1)).astype(np.float32)
+        self.rows = np.zeros((self.mix + WIDTH, ROW), np.float32)
+        self.rows[:, : WIDTH + 1] = np.random.default_rng(5).normal(0, 0.1, (self.mix + WIDTH, WIDTH + 1))
         self.rows[:k, WIDTH] = np.log(self.noise)
-        self.rows[self.mix :] = np.eye(WIDTH, WIDTH + 1)
+        self.rows[self.mix :] = np.eye(WIDTH, ROW)
         self.square = np.full(len(self.rows), 1e-3, np.float32)
         self.odds = np.log(NOISE * self.noise).astype(np.float32)
 
@@ -269,7 +292,7 @@ class Model:
 
     def carried(self, previous: np.ndarray) -> np.ndarray:
         """The previous classes' part of the contexts' vectors, zero for the bias."""
-        mix = np.zeros((WIDTH + 1, WIDTH + 1), np.float32)
+        mix = np.zeros((ROW, ROW), np.float32)
         mix[:WIDTH, :WIDTH] = self.rows[self.mix :, :WIDTH]
         return _product(self.rows.take(self.input + previous, axis=0), mix)
 
@@ -299,28 +322,39 @@ class Model:
 
     def step(self, topic: np.ndarray, previous: np.ndarray, target: np.ndarray, noise: np.ndarray, touched: np.ndarray) -> None:
         """One batch of noise-contrastive estimation; all tokens of the batch meet
-        the same noise words. Rows change by their own accumulated gradient."""
+        the same noise words, so tokens of one context do so once, with their number
+        as weight. Rows change by their own accumulated gradient."""
         p = self.rows
-        hidden, mix = self.hidden(topic, previous), p[self.mix :, :WIDTH]
+        context = previous * (GROUPS + 1) + topic
+        order = np.argsort(context.astype(np.min_scalar_type(int(context.max()))), kind="stable")
+        target = target.take(order)
+        at = np.flatnonzero(np.diff(context.take(order), prepend=-1))
+        times = np.diff(at, append=len(order))
+        one = order.take(at)  # a token of each context
+        hidden, mix = self.hidden(topic.take(one), previous.take(one)), p[self.mix :, :WIDTH]
         true, false = p.take(target, axis=0), p.take(noise, axis=0)
-        miss = _sigmoid_of_minus(self.odds[target] - np.einsum("bd,bd->b", hidden, true)) - 1.0
+        every = hidden.repeat(times, axis=0)
+        miss = _sigmoid_of_minus(self.odds[target] - np.einsum("bd,bd->b", every, true)) - 1.0
         away = -false
         away[:, WIDTH] += self.odds[noise]  # hidden has a one there
         hit = _sigmoid_of_minus(_product(hidden, away.T))
+        hit *= times.astype(np.float32)[:, None]
         back = _product(hit, false)
         true *= miss[:, None]
-        back += true
+        back += _sums(true, at)
         back[:, WIDTH] = 0.0
-        hidden_miss = miss[:, None] * hidden
-        words, outward, out_times = _by_row(np.concatenate([target, noise]), np.concatenate([hidden_miss, _product_of_rows(hit, hidden)]))
-        before, inward, in_times = _by_row(previous, back)
-        turn = np.zeros((WIDTH, WIDTH + 1), np.float32)
+        every *= miss[:, None]
+        words, outward, out_times = _by_row(np.concatenate([target, noise]), np.concatenate([every, _product_of_rows(hit, hidden)]))
+        before = previous.take(one)
+        first = np.flatnonzero(np.diff(before, prepend=-1))
+        before, inward, in_times = before[first], _sums(back, first), np.add.reduceat(times, first)
+        turn = np.zeros((WIDTH, ROW), np.float32)
         turn[:, :WIDTH] = _product_of_rows(p[self.input + before, :WIDTH], inward[:, :WIDTH])
         inward[:, :WIDTH] = _product(inward[:, :WIDTH], mix.T)
-        led, of_topic, led_times = _by_row(topic, back)
-        row = np.concatenate([words, self.input + before, self.topic + led, np.arange(self.mix, len(p))])
+        of_topic = _product_of_rows(np.eye(GROUPS + 1, dtype=np.float32).take(topic.take(one), axis=0), back)
+        row = np.concatenate([words, self.input + before, np.arange(self.topic, len(p))])
         grad = np.concatenate([outward, inward, of_topic, turn])
-        touched[row] += np.concatenate([out_times, in_times, led_times, np.ones(WIDTH, np.int64)])
+        touched[row] += np.concatenate([out_times, in_times, np.bincount(topic, minlength=GROUPS + 1), np.ones(WIDTH, np.int64)])
         square = self.square.take(row) + np.einsum("rd,rd->r", grad, grad) / (WIDTH + 1)
         self.square[row] = square
         grad *= (RATE / np.sqrt(square))[:, None]
@@ -336,7 +370,7 @@ def train(encoded: DataFrame, vocabulary: Broadcast, groups: np.ndarray) -> tupl
     trainers = -(-n_tokens // SHARE) or 1
     size = int(np.clip(n_tokens // BATCHES, 32, BATCH))
     spread = encoded.select("rid", "codes").repartition(trainers, "rid").select("codes")
-    sums = [F.sum(F.col("w") * F.col("v")[i]).alias(f"v{i}") for i in range(WIDTH + 2)]
+    sums = [F.sum(F.col("w") * F.col("v")[i]).alias(f"v{i}") for i in range(ROW + 1)]
     for turn in range(ROUNDS if n_tokens else 0):
         shared = context.broadcast(model)  # rows grow like tokens ** GROWTH
 
@@ -358,7 +392,7 @@ def train(encoded: DataFrame, vocabulary: Broadcast, groups: np.ndarray) -> tupl
 
         mean = spread.mapInPandas(trained, "row long, w double, v array<float>").groupBy("row").agg(F.sum("w").alias("w"), *sums).toPandas()  # a row for each of the model's
         row, w = mean["row"].to_numpy(np.int64), mean["w"].to_numpy(np.float64)
-        values = mean[[f"v{i}" for i in range(WIDTH + 2)]].to_numpy(np.float64) / w[:, None]
+        values = mean[[f"v{i}" for i in range(ROW + 1)]].to_numpy(np.float64) / w[:, None]
         model.rows[row], model.square[row] = values[:, :-1], values[:, -1]
     shared = context.broadcast(model)
 
@@ -400,7 +434,7 @@ def score(docs: DataFrame) -> DataFrame:
                 codes, rare = zip(*map(shared.value.encode, part["text"]), strict=True)
                 yield pd.DataFrame({
                     "rid": part["rid"], "doc_id": part["doc_id"].astype("Int64"), "codes": list(codes),
-                    "rare": [[_hash(t) for t in r] for r in rare], "times": [list(r.values()) for r in rare],
+                    "rare": [_hashes(r) for r in rare], "times": [list(r.values()) for r in rare],
                 })
 
     schema = "rid long, doc_id long, codes array<int>, rare array<long>, times array<long>"
