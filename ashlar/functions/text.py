@@ -47,9 +47,15 @@ def match_array(c: Column, pattern: str) -> Column:
     return F.when(c.rlike(pattern), placed(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)))
 
 
+def rows_of(df: DataFrame, key: list[str], array: Column, name: str) -> DataFrame:
+    """The key columns and, as ``name``, each element of an array of structs. A plain explode
+    has Spark test the array in a filter of its own, which makes the whole array once more."""
+    return df.select(*key, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def matches(df: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
     """One row a match of ``pattern`` in column ``text``: the key columns, start, line, match."""
-    return df.select(*key, F.explode(match_array(F.col(text), pattern)).alias("__m")).select(*key, "__m.start", "__m.line", "__m.match")
+    return rows_of(df, key, match_array(F.col(text), pattern), "__m").select(*key, "__m.start", "__m.line", "__m.match")
 
 
 def entropy(c: Column) -> Column:
@@ -123,10 +129,14 @@ def minified(path: Column, c: Column) -> Column:
     return path.rlike(r"\.min\.(js|ts)$") | F.exists(sizes, lambda x: x > 1001) | (mean > 501)
 
 
+def normal_match(c: Column) -> Column:
+    """White space collapsed, cut to 120."""
+    return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, 120)
+
+
 def stable_id(*parts: Column) -> Column:
-    """MD5 of the parts, the last with white space collapsed and cut to 120."""
-    last = F.substring(F.trim(F.regexp_replace(parts[-1], r"\s+", " ")), 1, 120)
-    return F.md5(F.concat_ws("::", *parts[:-1], last))
+    """MD5 of the parts, the last as ``normal_match`` has it."""
+    return F.md5(F.concat_ws("::", *parts[:-1], normal_match(parts[-1])))
 
 
 def short_id(prefix: str, *parts: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import distinct_chars, entropy, match_array, matches, minified, path_class, placed, stable_id, strip_comments
+from ..functions.text import distinct_chars, entropy, match_array, matches, minified, path_class, placed, rows_of, stable_id, strip_comments
 from .meet import meet
 
 
@@ -165,7 +165,7 @@ def detect(
         return F.transform(hits, one)
 
     text = F.struct(F.split("raw", "\n", -1).alias("raw"), F.split("content", "\n", -1).alias("code"), hits.alias("hits"))
-    out = files.select("repo", "path", F.explode(F.transform(F.array(text), shown)[0]).alias("m")).select("repo", "path", "m.*")
+    out = rows_of(files, ["repo", "path"], F.transform(F.array(text), shown)[0], "m").select("repo", "path", "m.*")
     of = lambda name: F.element_at(F.array(*[F.lit(getattr(r, name)) for r in rules]), F.col("ordinal") + 1)
     out = out.withColumns({"rule": of("slug"), "category": of("category"), "capability": of("label"), "base": of("severity")})
     context = path_class(F.col("path"))
@@ -206,7 +206,7 @@ def bundle_findings(files: DataFrame, keys: str = BUNDLE_KEYS, endpoints: str =
     more in tests (4 at most)."""
     bundles = files.filter(minified(F.col("path"), F.col("content")))
     gaps = F.transform(match_array(F.col("content"), f"{keys}|{endpoints}"), lambda m: F.struct(m["start"].alias("start"), m["match"].alias("match"), F.substring(F.col("content"), F.greatest(m["start"] - around + 1, F.lit(1)), F.length(m["match"]) + 2 * around).alias("context")))
-    rows = bundles.select("repo", "path", F.explode(gaps).alias("m")).select("repo", "path", "m.*")
+    rows = rows_of(bundles, ["repo", "path"], gaps, "m").select("repo", "path", "m.*")
     base = F.when(F.col("match").rlike(f"^(?:{keys})"), 1).otherwise(2)
     test = path_class(F.col("path")) == "test"
     return rows.withColumn("severity", F.least(base + F.when(test, 2).otherwise(0), F.lit(4))).withColumn("confidence", F.lit(80))
@@ -228,7 +228,7 @@ def high_entropy(files: DataFrame, least: float = 4.5, around: int = 200, low: i
     value = lambda m: F.substring(m["match"], F.lit(2), F.length(m["match"]) - 2)
     near = lambda m: F.substring(text, F.greatest(m["start"] - around + 1, F.lit(1)), F.length(m["match"]) + 2 * around)
     kept = F.filter(match_array(text, rf"[\"'][^\"'\s]{{{low},{high}}}[\"']"), lambda m: (distinct_chars(value(m)) >= 6) & (entropy(value(m)) >= least) & near(m).rlike(SUSPECT))
-    found = files.filter(text.rlike(SUSPECT)).select("repo", "path", F.explode(F.transform(kept, lambda m: F.struct(m["line"].alias("line"), m["start"].alias("start"), value(m).alias("value")))).alias("m"))
+    found = rows_of(files.filter(text.rlike(SUSPECT)), ["repo", "path"], F.transform(kept, lambda m: F.struct(m["line"].alias("line"), m["start"].alias("start"), value(m).alias("value"))), "m")
     return found.groupBy("repo", "path", "m.line").agg(F.min(F.struct("m.start", "m.value")).alias("v")).select("repo", "path", "line", "v.start", "v.value")
 
 

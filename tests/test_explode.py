@@ -1,0 +1,11 @@
+"""Arrays of matches are made once."""
+
+from ashlar.functions.text import matches
+from ashlar.operators import rules
+
+
+def test_arrays_of_matches_are_not_made_for_a_filter(spark):
+    files = spark.createDataFrame([("r", "a.py", "foo")], "repo string, path string, content string")
+    for found in (matches(files, ["repo"], "content", "o+"), rules.detect(files)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter (size(" not in plan
