@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import match_array, path_class, stable_id
+from ..functions.text import match_array, normal_match, path_class, rows_of, stable_id
 from .findings import secret_flow
 from .rules import SEC, Rule, around, code_text
 
@@ -40,13 +40,20 @@ def lines_of(c: Column, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(match_array(c, pattern), lambda m: m["line"])))
 
 
-def data_flows(files: DataFrame, sources: tuple[Rule, ...] = SOURCES, sink: str = SINK, before: int = BEFORE, after: int = AFTER, stripped: bool = True) -> DataFrame:
+def first_of_each(hits: Column) -> Column:
+    """Of hits with the same match, white space aside, the first by ordinal and start; by sorting, so that many hits are no square."""
+    named = F.array_sort(F.transform(hits, lambda m: F.struct(normal_match(m["match"]).alias("name"), m["ordinal"].alias("ordinal"), m["start"].alias("start"), m["line"].alias("line"), m["match"].alias("match"))))
+    return F.transform(F.array(named), lambda s: F.filter(s, lambda m, i: ~m["name"].eqNullSafe(F.get(s, i - 1)["name"])))[0]
+
+
+def data_flows(files: DataFrame, sources: tuple[Rule, ...] = SOURCES, sink: str = SINK, before: int = BEFORE, after: int = AFTER, stripped: bool = True, snippets: bool = True) -> DataFrame:
     """Sources in ``files`` (repo, path, content) with a sink from ``before`` lines above to ``after`` below.
 
     repo, path, rule, category, capability, severity, context, line, match, snippet, id,
     confidence, policy_status. A source counts if its rule's guard holds in the file; of
     sources of one text in a file the first by rule and place stays. Severity is two
-    lower in tests. Comments don't count where ``stripped``.
+    lower in tests. Comments don't count where ``stripped``. Sources of one text are made one within
+    the row, before their lines are copied; without ``snippets`` none are copied.
     """
     code = code_text(F.col("path"), F.col("content")) if stripped else F.col("content")
     rows = files.filter(F.col("content").rlike(sink)).select("repo", "path", "content", code.alias("code"))
@@ -60,10 +67,10 @@ def data_flows(files: DataFrame, sources: tuple[Rule, ...] = SOURCES, sink: str
     # one-element transforms bind what is used for every match, so that it is made once a text
     bound = F.struct(lines_of(F.col("code"), sink).alias("sinks"), *[F.coalesce(F.when(g, match_array(F.col("code"), r.pattern)), F.array()).alias(f"m{i}") for i, (r, g) in enumerate(zip(sources, guards, strict=True))])
     hits = F.transform(F.array(bound), lambda t: F.flatten(F.array(*[of(i, r, t) for i, r in enumerate(sources)])))[0]
-    rows = rows.withColumn("hits", hits)
-    lines = F.split("content", "\n", -1)
+    rows = rows.withColumn("hits", first_of_each(hits))
+    lines = F.split("content", "\n", -1) if snippets else F.array().cast("array<string>")
     shown = F.transform(F.array(F.struct(lines.alias("x"), F.col("hits").alias("h"))), lambda t: F.transform(t["h"], lambda m: F.struct(m["ordinal"].alias("ordinal"), m["start"].alias("start"), m["line"].alias("line"), m["match"].alias("match"), around(t["x"], m["line"], before, after, 200).alias("snippet"))))[0]
-    found = rows.select("repo", "path", F.explode(shown).alias("m")).withColumn("id", stable_id(F.col("repo"), F.col("path"), F.lit("ml"), F.col("m.match")))
+    found = rows_of(rows, ["repo", "path"], shown, "m").withColumn("id", stable_id(F.col("repo"), F.col("path"), F.lit("ml"), F.col("m.match")))
     found = found.groupBy("repo", "path", "id").agg(F.min_by("m", F.struct("m.ordinal", "m.start")).alias("m"))
     of_rule = lambda name: F.element_at(F.array(*[F.lit(getattr(r, name)) for r in sources]), F.col("m.ordinal") + 1)
     test = path_class(F.col("path")) == "test"

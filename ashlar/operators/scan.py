@@ -40,7 +40,7 @@ def _less_in_tests(severity: Column) -> Column:
 
 def scan(
     files: DataFrame, catalogue=ALL, sources=flow.SOURCES, sink: str = flow.SINK, prompt: str = flow.PROMPT, ignore: tuple[str, ...] = (), least_bits: float = 4.5,
-    secrets: tuple[str, ...] = SECRETS, uses: tuple[str, ...] = USES, code: str = CODE, **rule_options,
+    secrets: tuple[str, ...] = SECRETS, uses: tuple[str, ...] = USES, code: str = CODE, snippets: bool = True, **rule_options,
 ) -> DataFrame:
     """All findings of ``files`` (repo, path, content), one row an id, with their corroboration.
 
@@ -51,7 +51,7 @@ def scan(
     catalogue, then by place, stays; the confidence of findings in a file of several rules is lifted.
 
     Each detector reads the texts where they lie; what is united, joined and made
-    unique are findings.
+    unique are findings, whose bulk are their snippets: without ``snippets`` these are empty.
     """
     if ignore:
         files = rules.ignored(files, list(ignore)).filter(~F.col("ignored")).drop("ignored")
@@ -66,7 +66,7 @@ def scan(
     plain = coded.withColumn("content", rules.code_text(F.col("path"), F.col("content")))
     by_symbol = _rows(symbols.symbol_findings(plain, ["repo", "path"]), "symbol", id=key(F.lit("sym"), F.col("rule"), F.col("match")))
     by_bits = _rows(rules.high_entropy(texts, least_bits), "entropy", rule=F.lit("entropy_secret"), category=F.lit(SEC), capability=F.lit("Literal of many bits"), severity=_less_in_tests(F.lit(1)), match=F.col("value"), id=key(F.lit("bits"), F.col("value")), confidence=F.lit(75), policy_status=F.lit("CRITICAL"))
-    by_flow = _rows(flow.data_flows(coded, sources, sink), "flow")
+    by_flow = _rows(flow.data_flows(coded, sources, sink, snippets=snippets), "flow")
     keys = F.col("severity").isin(1, 3)
     by_bundle = _rows(rules.bundle_findings(files.filter(F.coalesce(bundle, F.lit(False)))), "bundle", rule=F.when(keys, "minified_bundle_secret").otherwise("minified_bundle_endpoint"), category=F.when(keys, SEC).otherwise(API), snippet=F.col("context"), context=path_class(F.col("path")), id=key(F.lit("bundle"), F.col("match")))
     cells = symbols.notebook_scan(notebook_cells(files.filter(book)), catalogue, least_bits)
@@ -75,7 +75,8 @@ def scan(
     by_cell = _rows(cells, "notebook", path=in_cell, category=F.when(F.col("kind") == "rule", category).when(F.col("kind") == "symbol", API).otherwise(SEC), id=stable_id(F.col("repo"), in_cell, F.col("rule"), F.col("match")))
 
     # written once: what follows reads findings several times, but no text again for them
-    found = written(reduce(DataFrame.unionByName, [by_rule, by_symbol, by_bits, by_flow, by_bundle, by_cell]), "scan")
+    found = reduce(DataFrame.unionByName, [by_rule, by_symbol, by_bits, by_flow, by_bundle, by_cell])
+    found = written(found if snippets else found.withColumn("snippet", F.lit("")), "scan")
     beside = flow.secret_beside_model(found.filter(F.col("detector").isin("rule", "symbol", "entropy", "flow")), texts, F.col("rule").isin(*secrets), F.col("category").isin(*uses), prompt)
     beside = _rows(beside, "correlation", rule=F.lit("secret_ai_correlation"), category=F.lit(SEC), capability=F.lit("Secret beside model calls"), match=F.col("evidence"), id=key(F.lit("secret-ai"), F.col("evidence"), F.col("signal")), policy_status=F.when(F.col("severity") > 1, "REVIEW").otherwise("CRITICAL"))
     clients = _rows(rules.cross_file_clients(coded), "client", rule=F.col("provider"), category=F.lit(API), capability=F.concat(F.lit("Client of "), "source"), severity=_less_in_tests(F.lit(2)), match=F.col("name"), id=key(F.lit("client"), F.col("name")), confidence=F.lit(65))

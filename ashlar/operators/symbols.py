@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import match_array, path_class, strip_comments
+from ..functions.text import match_array, path_class, rows_of, strip_comments
 from . import rules
 from .rules import SEC, detect, high_entropy
 
@@ -19,8 +23,15 @@ METHODS = ("chat.completions.create", "completions.create", "messages.create", "
 _CALL = rf"(?i)\w+\.(?:{'|'.join(m.replace('.', '[.]') for m in METHODS)})\s*\("
 
 
+def _holds(c: Column, literals: list[str]) -> Column:
+    """The text has one of the literals, case aside: the cheap test before a pattern that tries every word."""
+    return F.transform(F.array(F.lower(c)), lambda low: reduce(or_, [F.contains(low, F.lit(x)) for x in literals]))[0]
+
+
 def bindings(c: Column, constructors=CONSTRUCTORS) -> Column:
     """Array of (var, provider, ordinal, start) of the assignments in a text; case is ignored."""
+    heads = [None if "|" in p else re.match(r"(?:new\\s\+)?((?:\w|\\\.)+?)(?=\\[sb]|$)", p) for p, _ in constructors]
+    tested = _holds(c, sorted({h[1].replace("\\", "").lower() for h in heads})) if all(heads) else F.lit(True)
     every = rf"(?i)\w+\s*=\s*(?:{'|'.join(p for p, _ in constructors)})"
 
     def one(m: Column) -> Column:
@@ -30,12 +41,12 @@ def bindings(c: Column, constructors=CONSTRUCTORS) -> Column:
             ordinal, provider = F.when(hit, i).otherwise(ordinal), F.when(hit, name).otherwise(provider)
         return F.struct(F.regexp_extract(m["match"], r"^(\w+)", 1).alias("var"), provider.alias("provider"), ordinal.alias("ordinal"), m["start"].alias("start"))
 
-    return F.transform(match_array(c, every), one)
+    return F.transform(F.when(tested, match_array(c, every)), one)
 
 
 def calls(c: Column) -> Column:
     """Array of (var, method, start, line, match) of the model calls in a text."""
-    return F.transform(match_array(c, _CALL), lambda m: F.struct(
+    return F.transform(F.when(_holds(c, [f".{m}" for m in METHODS]), match_array(c, _CALL)), lambda m: F.struct(
         F.regexp_extract(m["match"], r"^(\w+)", 1).alias("var"), F.regexp_extract(m["match"], r"^\w+\.(.*?)\s*\($", 1).alias("method"), m["start"].alias("start"), m["line"].alias("line"), m["match"].alias("match")))
 
 
@@ -51,8 +62,8 @@ def tracked_calls(texts: DataFrame, key: list[str], text: str = "content", order
     """
     at = F.lit(0) if order is None else order
     rows = texts.withColumn("__at", at)
-    made = rows.select(*key, "__at", F.explode(bindings(F.col(text))).alias("b")).select(*key, "__at", "b.*")
-    used = rows.select(*key, "__at", F.explode(calls(F.col(text))).alias("c")).select(*key, "__at", "c.*")
+    made = rows_of(rows, [*key, "__at"], bindings(F.col(text)), "b").select(*key, "__at", "b.*")
+    used = rows_of(rows, [*key, "__at"], calls(F.col(text)), "c").select(*key, "__at", "c.*")
     if scope is None:
         last = made.groupBy(*key, "var").agg(F.max_by("provider", F.struct("ordinal", "start")).alias("provider"))
         return used.join(last, [*key, "var"]).select(*key, "var", "method", "provider", "line", "match")
