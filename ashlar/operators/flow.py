@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import match_array, normal_match, path_class, rows_of, stable_id
+from ..functions.text import match_array, normal_match, path_class, stable_id
 from .findings import secret_flow
 from .rules import SEC, Rule, around, code_text
 
@@ -70,7 +70,7 @@ def data_flows(files: DataFrame, sources: tuple[Rule, ...] = SOURCES, sink: str
     rows = rows.withColumn("hits", first_of_each(hits))
     lines = F.split("content", "\n", -1) if snippets else F.array().cast("array<string>")
     shown = F.transform(F.array(F.struct(lines.alias("x"), F.col("hits").alias("h"))), lambda t: F.transform(t["h"], lambda m: F.struct(m["ordinal"].alias("ordinal"), m["start"].alias("start"), m["line"].alias("line"), m["match"].alias("match"), around(t["x"], m["line"], before, after, 200).alias("snippet"))))[0]
-    found = rows_of(rows, ["repo", "path"], shown, "m").withColumn("id", stable_id(F.col("repo"), F.col("path"), F.lit("ml"), F.col("m.match")))
+    found = rows.select("repo", "path", F.explode(shown).alias("m")).withColumn("id", stable_id(F.col("repo"), F.col("path"), F.lit("ml"), F.col("m.match")))
     found = found.groupBy("repo", "path", "id").agg(F.min_by("m", F.struct("m.ordinal", "m.start")).alias("m"))
     of_rule = lambda name: F.element_at(F.array(*[F.lit(getattr(r, name)) for r in sources]), F.col("m.ordinal") + 1)
     test = path_class(F.col("path")) == "test"
