@@ -88,8 +88,7 @@ _LIFE = f"""{_SIGHTINGS}, grouped as (
 
 
 def _lives(c: Corpus) -> DataFrame:
-    rows = sightings(c)
-    return op.lifecycle(rows, op.fixes(scans(c), rows), triage(c), ORDER)
+    return op.lifecycle(sightings(c), op.fixes(scans(c), c.findings()), triage(c), ORDER)
 
 
 @query(f"with {_LIFE} select * from told", "findings", "triage")
@@ -99,7 +98,7 @@ def finding_lifecycle(c):
 
 @query(f"with {_SIGHTINGS} select hash, fixed.epoch as epoch, fixed.raw as raw from marks", "findings", "triage")
 def finding_fixes(c):
-    return op.fixes(scans(c), sightings(c)).select("hash", "fixed.*")
+    return op.fixes(scans(c), c.findings()).select("hash", "fixed.*")
 
 
 @query(f"""with {_LIFE} select count(*)::bigint as total, count(*) filter (status = 'open')::bigint as open, count(*) filter (status = 'sent_for_review')::bigint as sent_for_review,

@@ -75,3 +75,12 @@ def test_lifecycle_of_nothing(spark):
     t = spark.createDataFrame([], "hash string, status string, note string, marked_by string, marked_at string")
     lives = op.lifecycle(empty, marks, t, ["seq"])
     assert lives.count() == 0 and op.status_counts(lives).first()["total"] == 0
+
+
+def test_fixes_hold_no_table_of_sightings(spark):
+    """Sightings meet by sorted keys alone: tables of them in memory were the largest tasks."""
+    findings = spark.createDataFrame([("a", "h"), ("a", "h"), ("a", "k"), ("b", "k"), ("b", "k"), ("c", None), ("c", "")], "scan_id string, hash string")
+    scans = spark.createDataFrame([(s, "r", f"2024-01-0{n}T00:00:00Z", "") for n, s in enumerate("abc", 1)], "scan_id string, repo string, started string, completed string")
+    marks = op.fixes(scans, findings)
+    assert {(r["hash"], r["fixed"]["raw"]) for r in marks.collect()} == {("h", "2024-01-02T00:00:00Z"), ("k", "2024-01-03T00:00:00Z")}
+    assert "HashAggregate" not in marks._jdf.queryExecution().executedPlan().toString()
