@@ -84,3 +84,11 @@ def test_fixes_hold_no_table_of_sightings(spark):
     marks = op.fixes(scans, findings)
     assert {(r["hash"], r["fixed"]["raw"]) for r in marks.collect()} == {("h", "2024-01-02T00:00:00Z"), ("k", "2024-01-03T00:00:00Z")}
     assert "HashAggregate" not in marks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summary_holds_no_table_of_sightings(spark):
+    """The fixes within the summary: no aggregate by scan and hash."""
+    from ashlar.plans import lifecycle as plan
+
+    got = plan.QUERIES["finding_status_summary"](spark, "/root/testdata/sf0.001")
+    assert "keys=[scan_id" not in got._jdf.queryExecution().executedPlan().toString()
